@@ -269,9 +269,9 @@ def mark(
     for i, own in enumerate(all_blocks):
         block = build_block(own, window, shingle, share)
         if own:
-            rank(block, _counts(docs.select("text"), sc.broadcast(block)), shingle)
+            rank(block, _counts(docs.select("text"), sc.broadcast(vars(block))), shingle)
         text = [T.StructField("_text", T.StringType())] if i + 1 < len(all_blocks) else []
-        out = _with_block(out, sc.broadcast(block), T.StructType([*fields, *FOUND, *text]), i == 0)
+        out = _with_block(out, sc.broadcast(vars(block)), T.StructType([*fields, *FOUND, *text]), i == 0)
     hit = F.aggregate(
         F.transform("_spans", lambda x, i: F.when(i % 2 == 0, -x).otherwise(x)), F.lit(0).cast("long"), lambda a, b: a + b
     )
@@ -288,13 +288,13 @@ def _counts(texts: DataFrame, block) -> dict[tuple[int, int], int]:
     """Occurrences of the block's shingles in all documents; as many rows as the block has shingles at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
+        own, total = Block(**block.value), {}
         for b in batches:
-            for width, n in tally(b.column(0).to_pylist(), block.value).items():
+            for width, n in tally(b.column(0).to_pylist(), own).items():
                 total[width] = total[width] + n if width in total else n
         for width, n in total.items():
             at = np.flatnonzero(n)
-            h = block.value.shingles[width][at].view(np.int64)
+            h = own.shingles[width][at].view(np.int64)
             yield pa.RecordBatch.from_pydict({"width": np.full(len(at), width, np.int32), "h": h, "n": n[at]})
 
     rows = texts.mapInArrow(run, "width int, h long, n long").groupBy("width", "h").agg(F.sum("n").alias("n"))
@@ -312,8 +312,9 @@ def _with_block(docs: DataFrame, block, out_type: T.StructType, first: bool) ->
     names = out_type.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Block(**block.value)
         for b in batches:
-            n_words, spans, items = scan(b.column("_text").to_pylist(), block.value)
+            n_words, spans, items = scan(b.column("_text").to_pylist(), own)
             if not first:
                 spans = [merge_spans(x, y) for x, y in zip(b.column("_spans").to_pylist(), spans)]
                 items = [sorted({*x, *y}) for x, y in zip(b.column("_items").to_pylist(), items)]

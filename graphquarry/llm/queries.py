@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphquarry.llm import decontaminate, linedup, mixing, quality, simhash
+from graphquarry.llm import decontaminate, linedup, mixing, quality, simhash, sstable
+
+
+TOKENIZER = "byte_bpe_50k.json"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,6 +51,10 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
        fail_bits = 0 AS kept, fail_bits FROM f
 """
 
+def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sstable.store(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.components(documents(spark, sf_dir))
     return found.select("doc_id", simhash.as_hex().alias("fingerprint"), "component_id")
@@ -128,6 +136,7 @@ SELECT any_value(doc_id) AS doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_token_shards": op2_token_shards,
     "op6_simhash": op6_simhash,
     "op7_mixing": op7_mixing,
     "op8_decontamination": op8_decontamination,
