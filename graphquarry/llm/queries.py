@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphquarry.llm import decontaminate, langid, linedup, mixing, quality, secrets, simhash, sstable
+from graphquarry.llm import decontaminate, langid, linedup, mixing, quality, secrets, simhash, sstable, urlrules
 
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -59,6 +59,42 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir))
 
 
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/pages.parquet")
+
+
+def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlrules.judge(pages(spark, sf_dir)).select("page_id", "host", "path", "rule", "verdict")
+
+
+OP5_SQL = r"""
+WITH u AS (SELECT row_number() OVER () AS rid, page_id, coalesce(url, '') AS url,
+                  CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS tail FROM pages),
+h AS (SELECT *, translate(regexp_extract(tail, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(tail, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(tail, '\?([^#]*)', 1) AS query FROM u),
+s AS (SELECT v.* FROM (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'),
+                              ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')) v(verdict, rhost, rpath)),
+f AS (SELECT rid, arg_max(rhost || rpath, length(rhost || rpath)) AS rule, arg_max(verdict, length(rhost || rpath)) AS stated
+      FROM h JOIN s ON (host = rhost OR suffix(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY rid),
+t AS (SELECT rid, 'h' || (i - 1)::VARCHAR || '=' || x AS token
+      FROM (SELECT rid, unnest(ls) AS x, generate_subscripts(ls, 1) AS i
+            FROM (SELECT rid, list_filter(list_reverse(string_split(host, '.')), lambda y: y <> '') AS ls FROM h))
+      UNION SELECT rid, 'p=' || regexp_replace(x, '[0-9]+', '0', 'g') FROM (SELECT rid, unnest(string_split(path, '/')) AS x FROM h) WHERE x <> ''
+      UNION SELECT rid, 'q=' || x FROM (SELECT rid, unnest(string_split(query, '&')) AS x FROM h) WHERE x <> ''),
+l AS (SELECT t.rid, token, stated FROM t JOIN f ON t.rid = f.rid),
+n AS (SELECT count(DISTINCT rid) AS n FROM l),
+i AS (SELECT rid, token AS a, token AS b FROM t UNION ALL SELECT x.rid, x.token, y.token FROM t x JOIN t y ON x.rid = y.rid AND x.token < y.token),
+c AS (SELECT a, b, count(*) AS n_items, count(*) FILTER (stated = 'block') AS n_block, count(*) FILTER (stated = 'allow') AS n_allow
+      FROM i JOIN f ON i.rid = f.rid GROUP BY a, b),
+r AS (SELECT a, b, 'block' AS label, n_block AS hits, n_block::DOUBLE / n_items AS confidence FROM c
+      UNION ALL SELECT a, b, 'allow', n_allow, n_allow::DOUBLE / n_items FROM c),
+k AS (SELECT * FROM r WHERE hits >= ceil(0.002 * (SELECT n FROM n)) AND hits > 0 AND confidence >= 0.9),
+m AS (SELECT i.rid, arg_max(label, (confidence, hits, label = 'block')) AS mined FROM i JOIN k USING (a, b) GROUP BY i.rid)
+SELECT page_id, host, path, rule, coalesce(stated, mined, 'allow') AS verdict
+FROM h LEFT JOIN f ON h.rid = f.rid LEFT JOIN m ON h.rid = m.rid
+"""
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.components(documents(spark, sf_dir))
     return found.select("doc_id", simhash.as_hex().alias("fingerprint"), "component_id")
@@ -147,6 +183,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_token_shards": op2_token_shards,
     "op3_language_id": op3_language_id,
+    "op5_url_rules": op5_url_rules,
     "op6_simhash": op6_simhash,
     "op7_mixing": op7_mixing,
     "op8_decontamination": op8_decontamination,
@@ -155,6 +192,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": OP1_SQL,
+    "op5_url_rules": OP5_SQL,
     "op7_mixing": OP7_SQL,
     "op8_decontamination": OP8_SQL,
     "op10_line_dedup": OP10_SQL,
