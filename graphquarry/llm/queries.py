@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphquarry.llm import decontaminate, langid, linedup, mixing, quality, secrets, simhash, sstable, urlrules
+from graphquarry.llm import decontaminate, htmlblocks, langid, linedup, mixing, quality, secrets, simhash, sstable, urlrules
 
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -63,6 +63,10 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet")
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmlblocks.extract(pages(spark, sf_dir))
+
+
 def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.judge(pages(spark, sf_dir)).select("page_id", "host", "path", "rule", "verdict")
 
@@ -183,6 +187,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_token_shards": op2_token_shards,
     "op3_language_id": op3_language_id,
+    "op4_main_text": op4_main_text,
     "op5_url_rules": op5_url_rules,
     "op6_simhash": op6_simhash,
     "op7_mixing": op7_mixing,
