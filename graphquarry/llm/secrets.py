@@ -19,7 +19,7 @@ import string
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, product
 from math import log
 
 import pyarrow as pa
@@ -41,8 +41,8 @@ TRAIN_DOCS = 2000
 TRAIN_TOKENS = 200_000
 GENERATED = 4000
 ALPHABET = string.ascii_letters + string.digits + "+/_=-."
-#: The share of the model that is even over the alphabet.
-SMOOTH = 0.5
+#: So many sightings weigh as much as what the shorter context says.
+LEAN = 4.0
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -56,25 +56,29 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
-def count_chains(tokens: Counter) -> dict[str, Counter]:
-    chains: dict[str, Counter] = {}
-    for token, n in tokens.items():
-        padded = "^" * ORDER + token
-        for i in range(ORDER, len(padded)):
-            chains.setdefault(padded[i - ORDER : i], Counter())[padded[i]] += n
-    return chains
+class Markov:
+    """P(character | the ORDER before it); a context that was seen little leans on the shorter one, at last on an even chance."""
+
+    def __init__(self, tokens: Counter):
+        self.counts: dict[str, Counter] = {}
+        for token, n in tokens.items():
+            padded = "^" * ORDER + token
+            for i in range(ORDER, len(padded)):
+                for k in range(ORDER + 1):
+                    self.counts.setdefault(padded[i - k : i], Counter())[padded[i]] += n
+        self.totals = {c: sum(v.values()) for c, v in self.counts.items()}
+
+    def chance(self, context: str, x: str) -> float:
+        shorter = self.chance(context[1:], x) if context else 1 / len(ALPHABET)
+        seen = self.counts.get(context)
+        return shorter if seen is None else (seen[x] + LEAN * shorter) / (self.totals[context] + LEAN)
 
 
 def log_ratios(random_tokens: Counter, ordinary: Counter) -> dict[str, float]:
-    """context and character -> log P(random) - log P(ordinary); a context that neither has seen is left out."""
-    r, o, size = count_chains(random_tokens), count_chains(ordinary), len(ALPHABET)
-    chance = lambda c, x: (c.get(x, 0) + SMOOTH) / (sum(c.values()) + SMOOTH * size)
-    out: dict[str, float] = {}
-    for context in r.keys() | o.keys():
-        a, b = r.get(context, Counter()), o.get(context, Counter())
-        for x in ALPHABET:
-            out[context + x] = log(chance(a, x) / chance(b, x))
-    return out
+    """context and character -> log P(random) - log P(ordinary), for every context over the alphabet."""
+    r, o = Markov(random_tokens), Markov(ordinary)
+    contexts = ["^" * ORDER, *("^" * (ORDER - k) + "".join(c) for k in range(1, ORDER + 1) for c in product(ALPHABET, repeat=k))]
+    return {c + x: log(r.chance(c, x) / o.chance(c, x)) for c in contexts for x in ALPHABET}
 
 
 def ratio(token: str, ratios: dict[str, float]) -> float:
@@ -152,7 +156,7 @@ def written(spans: list[tuple[int, int, str]]) -> str:
 
 def scan(docs: DataFrame, ratios: dict[str, float], bar: float = BAR) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base (the base spans as text) and spans (all)."""
-    held = docs.sparkSession.sparkContext.broadcast(ratios)  # at most a few hundred thousand numbers: contexts x alphabet
+    held = docs.sparkSession.sparkContext.broadcast(ratios)  # contexts x alphabet: the same 330,000 numbers for any input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -1,0 +1,208 @@
+"""Language ID, main text, secrets, URL rules."""
+
+import re
+from collections import Counter, defaultdict
+from itertools import combinations
+
+import numpy as np
+import pytest
+from conftest import EDGES
+from pyspark.sql import functions as F
+
+from graphquarry.llm import htmlblocks, langid, secrets, urlrules
+
+
+# Language ID
+def test_held_out_accuracy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    held = [r for r in out if r.held_out]
+    assert sum(r.lang == r.lang_pred for r in held) >= 0.97 * len(held) > 0
+    assert all(0 <= r.score <= 1 for r in out)
+
+
+def test_vectors_are_bundles_of_bound_ngrams():
+    b = langid.Bundler(dim=64)
+    (got,), known = b.bundle(["ab c!"])
+    letters, code = b.letters.astype(int), {" ": 0, "a": 1, "b": 2, "c": 3}
+    want = np.zeros(64)
+    for gram in (" ab", "ab ", "b c", " c "):
+        want += np.prod([np.roll(letters[code[x]], i) for i, x in enumerate(gram)], axis=0)
+    assert known[0] and (got == want).all()
+
+
+def test_pieces_and_batches_do_not_show(monkeypatch):
+    texts = ["the quick brown fox " * 50, None, "", "été à la plage", "123 !?", "x"]
+    whole = langid.Bundler(dim=64).bundle(texts)
+    monkeypatch.setattr(langid, "GRAMS_AT_ONCE", 7)
+    monkeypatch.setattr(langid, "CACHE", 5)
+    parts = langid.Bundler(dim=64).bundle(texts)
+    assert (whole[0] == parts[0]).all() and whole[1].tolist() == parts[1].tolist() == [True, False, False, True, False, True]
+
+
+def test_language_of_odd_tables(edges, nothing):
+    out = langid.identify(edges).collect()
+    assert len(out) == len(EDGES)
+    for r in out:
+        if r.doc_id in (2, 3, 4):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+    assert not any(r.held_out for r in out if r.doc_id is None)
+    assert langid.identify(nothing).count() == 0
+
+
+def test_prototypes_ignore_what_is_held_out(make):
+    """The same training rows give the same model, whatever the held-out rows say."""
+    rows = [(i, f"the and of that with {i} these words" if i % 2 else f"der die das und nicht {i} ein", "en" if i % 2 else "de") for i in range(60)]
+    held = {r.doc_id for r in make(rows).where(langid.held_out()).collect()}
+    swapped = [(i, "xyzzy " * 5, "fr") if i in held else (i, t, lang) for i, t, lang in rows]
+    a, b = (langid.fit(make(x).where(~langid.held_out())) for x in (rows, swapped))
+    assert held and a == b and set(a) == {"en", "de"}
+
+
+# Main text
+@pytest.fixture(scope="module")
+def model():
+    return htmlblocks.train(htmlblocks.synthetic())
+
+
+def test_unseen_pages(model):
+    pages = htmlblocks.synthetic(150, seed=77)
+    kept = htmlblocks.label(model, [htmlblocks.leaf_blocks(h) for h, _ in pages])
+    right = sum((k == np.array(y)).sum() for k, (_, y) in zip(kept, pages))
+    assert right >= 0.985 * sum(len(y) for _, y in pages)
+
+
+def test_articles_of_test_pages(spark, model):
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    wrong = 0
+    for r, text in zip(rows, htmlblocks.texts(model, [r.html for r in rows])):
+        inner = re.search(r"<article>(.*)</article>", r.html, re.S)[1]
+        want = "\n\n".join(t for _, t, _ in htmlblocks.leaf_blocks(inner))
+        wrong += want != text
+    assert wrong <= 0.02 * len(rows)
+
+
+def test_blocks():
+    get = lambda h: [t for _, t, _ in htmlblocks.leaf_blocks(h)]
+    assert get("<p>a &amp; b&nbsp;c &eacute;&#233;<br>d</p><p>e  \n f") == ["a & b c éé d", "e f"]
+    assert get("<p><b>x<br><p>y</p>z") == ["x", "y", "z"]
+    assert get("<script>var t='</p>';</script><style>p{}</style>ok<!-- no -->") == ["ok"]
+    assert get("<ul><li>one<li>two</ul>tail") == ["one", "two", "tail"]
+    assert get("<div>a<span>b</span>c</div></div></p>d") == ["abc", "d"]
+    assert get(None) == get("") == get("<p> </p>") == [] and get("plain < text") == ["plain < text"]
+
+
+def test_gradient(model):
+    rng = np.random.default_rng(0)
+    x, mask = rng.standard_normal((5, 2, htmlblocks.INPUT)).astype(np.float32), np.array([[1, 1], [1, 1], [1, 1], [1, 0], [1, 0]], np.float32)
+    p = {k: v.astype(np.float64) for k, v in htmlblocks.gates(rng, htmlblocks.INPUT, 4).items()}
+    d = rng.standard_normal((5, 2, 4))
+    out, trace = htmlblocks.run_lstm(p, x, mask, keep=True)
+    grad = htmlblocks.back_lstm(p, x, trace, d)
+    for name, at in (("u", (1, 3)), ("b", (5,)), ("w", (7, 2))):
+        q = {k: v.copy() for k, v in p.items()}
+        q[name][at] += 1e-3
+        change = ((htmlblocks.run_lstm(q, x, mask)[0] - out) * d).sum() / 1e-3
+        assert abs(change - grad[name][at]) < 0.02 * max(1, abs(change))
+
+
+def test_pages_of_all_kinds(spark, model):
+    rows = [(1, "u", None), (2, None, ""), (None, "u", "<p>" + "word " * 50_000 + "</p>"), (3, "u", "<div>" * 3000 + "deep"), (3, "u", "<div>" * 3000 + "deep"), (4, "u", "<script>x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("x"))
+    got = htmlblocks.extract(pages, model).collect()
+    assert len(got) == 6 and all(r.n_chars == len(r.text) for r in got)
+    assert {r.text for r in got if r.page_id in (1, 2, 4)} == {""}
+    assert htmlblocks.extract(pages.where("false"), model).count() == 0
+
+
+# Secrets
+def plain_base(text):
+    out = []
+    for kind, pattern, least in (("assign", r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 8), ("access", r"AKIA[A-Z0-9]+", 16), ("hex", r"[0-9a-f]+", 32)):
+        for m in re.finditer(pattern, text or ""):
+            if len(m[2] if kind == "assign" else m[0]) >= least:
+                out.append((m.start(), ("assign", "access", "hex").index(kind), f"{kind}:{m.start()}:{m.end()}"))
+    return ",".join(x for _, _, x in sorted(out))
+
+
+def test_base_spans_and_model(spark, make):
+    key, token = "AKIA" + "Q7Z" * 5, "xK9vQ2mZr7TbW4pLs8NdY3hFg6Jc"
+    texts = [
+        f"é TOKEN = '{token}' and {key} then 0123456789abcdef0123456789abcdef0",
+        f"a stray {token} in prose", "Api_Key:abcdefgh", "password=short", "toKen: secret=12345678", "AKIA123", "ſecret=abcdefghij", "internationalization responsibilities", None, "",
+        "password = " + "a" * 40, "the extraordinarilylongcompoundword is here",
+    ]
+    prose = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(200).collect()]
+    docs = make([(i, t) for i, t in enumerate(texts + prose)])
+    got = {r.doc_id: r for r in secrets.find(docs).collect()}
+    for i, t in enumerate(texts + prose):
+        base = plain_base(t)
+        assert got[i].base == base
+        assert set(filter(None, base.split(","))) <= set(got[i].spans.split(","))
+    assert got[1].spans == f"markov:8:{8 + len(token)}"
+    assert got[7].spans == got[11].spans == ""
+    assert sum("markov" in got[i].spans for i in range(len(texts), len(got))) <= 2
+
+
+def test_held_out_strings(spark):
+    words = [w for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(300).collect() for w in secrets.WORD.findall(r.text) if w.isalpha()]
+    ratios = secrets.log_ratios(secrets.generated(), Counter(set(words[::2])))
+    caught = [secrets.ratio(s, ratios) > secrets.BAR for s in secrets.generated(400, seed=99)]
+    assert sum(caught) >= 0.99 * len(caught)
+    held_out = [w for w in set(words[1::2]) - set(words[::2]) if len(w) >= 12]
+    assert len(held_out) > 50 and sum(secrets.ratio(w, ratios) > secrets.BAR for w in held_out) <= 0.01 * len(held_out)
+
+
+def test_secrets_in_odd_tables(edges, nothing):
+    assert secrets.find(edges).count() == edges.count() and secrets.find(nothing).count() == 0
+
+
+# URL rules
+RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
+
+
+def plain_tokens(url):
+    tail = url.split("://", 1)[1] if url and "://" in url else ""
+    host = re.match(r"[^/?#]*", tail)[0]
+    path = re.match(r"[^?#]*", tail[len(host) :])[0]
+    query = re.search(r"\?([^#]*)", tail)
+    host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host)
+    out = [f"h{i}={x}" for i, x in enumerate([x for x in host.split(".")[::-1] if x])]
+    out += ["p=" + re.sub("[0-9]+", "0", x) for x in path.split("/") if x] + ["q=" + x for x in (query[1] if query else "").split("&") if x]
+    return host, path, list(dict.fromkeys(out))
+
+
+def brute_verdicts(urls, support=0.002, confidence=0.9):
+    parsed = []
+    for u in urls:
+        host, path, tokens = plain_tokens(u)
+        fits = [(len(h + p), h + p, v) for v, h, p in RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        parsed.append((host, path, tokens, max(fits)[1:] if fits else None))
+    labelled = [(t, r[1]) for _, _, t, r in parsed if r]
+    n, both = Counter(), defaultdict(Counter)
+    for t, v in labelled:
+        for k in (1, 2):
+            for c in combinations(sorted(t), k):
+                n[c] += 1
+                both[c][v] += 1
+    need = max(1, -(-len(labelled) * support // 1))
+    rules = [(both[c][v] / n[c], both[c][v], v == "block", v, c) for c in n for v in both[c] if both[c][v] >= need and both[c][v] / n[c] >= confidence]
+    out = []
+    for host, path, tokens, rule in parsed:
+        best = max((r[:4] for r in rules if set(r[4]) <= set(tokens)), default=None)
+        out.append((host, path, rule[0] if rule else None, rule[1] if rule else best[3] if best else "allow"))
+    return out
+
+
+def test_verdicts(spark):
+    urls = [r.url for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()]
+    urls += [None, "", "no scheme", "http://", "HTTP://EXAMPLE.Com/en/7x?q=1&b#f", "x://com/en/", "x://acom/en/", "http://a.org?x/es/", "http://a.example.net/de/81", "http://a.net/de/9", "http://É.ORG/es/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("verdict", F.lit("x")).withColumn("tokens", F.lit("x"))
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urlrules.judge(pages).collect()}
+    assert [got[i] for i in range(len(urls))] == brute_verdicts(urls)
+
+
+def test_url_rules_without_labels(spark):
+    pages = spark.createDataFrame([(1, "http://a.b/x"), (1, "http://a.b/x"), (None, None)], "page_id long, url string")
+    assert [r.verdict for r in urlrules.judge(pages).collect()] == ["allow"] * 3
+    assert urlrules.judge(pages.where("false")).count() == 0
