@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphquarry.functions import text as X
+from graphquarry.functions.embed import HashEmbedder, embed_distinct
 from graphquarry.operators import ingest as I
 from graphquarry.operators import insights as N
 from graphquarry.operators import matching as M
@@ -95,6 +96,23 @@ def format_relationships(g, t):
     return Q.graph_relationships(g.edges("Nation", "IN_REGION", "Region"), "IN_REGION")
 
 
+@query("SELECT c_custkey, c_name FROM customer WHERE c_nationkey = 3 AND c_acctbal > 100.5")
+def sql_params(g, t):
+    return Q.run_sql(t, ["customer"], g.spark, "SELECT c_custkey, c_name FROM customer WHERE c_nationkey = :nation AND c_acctbal > :bar", nation=3, bar=100.5)
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def flatten_nodes(g, t):
+    return Q.flatten(g.nodes("Nation").select(F.struct("*").alias("n")), "n")
+
+
+@query("SELECT p_partkey FROM part WHERE (suffix(lower(p_type), 'ard') OR suffix(lower(p_type), 'omo')) AND NOT p_size = 1")
+def file_type_filter(g, t):
+    """Types joined by OR inside an AND, and a negated condition."""
+    kinds = lambda w: w.where(F.lower("p_type").endswith("ard")).or_where(F.lower("p_type").endswith("omo"))
+    return Where().where(kinds).where(~(F.col("p_size") == 1)).apply(g.nodes("Part")).select("p_partkey")
+
+
 # Predicates
 @query("SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' ORDER BY c_custkey LIMIT 100")
 def find_by_property(g, t):
@@ -685,6 +703,14 @@ def file_pipeline(g, t):
     return X.chunk_table(cleaned, "doc_id", "text", *X.CHUNK_SIZES["txt"]).groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.sum(F.char_length("content")).alias("n_chars"))
 
 
+@query("SELECT doc_id, count(*) OVER (PARTITION BY text) AS n FROM documents")
+def embed_memo(g, t):
+    """Each distinct text is embedded once: equal texts have equal vectors, of length 1 or 0."""
+    d = embed_distinct(t("documents").select("doc_id", "text"), "text", HashEmbedder(16))
+    same = d.groupBy("text").agg(F.count("*").alias("n"), F.size(F.collect_set("embedding")).alias("kinds"))
+    return d.join(same.where("kinds = 1"), "text").select("doc_id", "n")
+
+
 # Ingestion
 @query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1")
 def latest_events(g, t):

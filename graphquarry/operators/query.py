@@ -103,3 +103,37 @@ def history_context(messages: DataFrame, n: int = 10, cut: int = 200) -> DataFra
     lines = recent.select("conv_id", "turn", F.concat(F.col("role"), F.lit(": "), text).alias("line"))
     ordered = F.array_sort(F.collect_list(F.struct("turn", "line")))
     return lines.groupBy("conv_id").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("context"))
+
+
+def flatten(df: DataFrame, column: str) -> DataFrame:
+    """The fields of a node's struct as columns."""
+    return df.select(f"{column}.*")
+
+
+def preview(df: DataFrame, n: int = 10) -> tuple[DataFrame, int]:
+    """The first n rows and how many are left."""
+    return df.limit(n), max(0, df.count() - n)
+
+
+def run_sql(read, tables: list[str], spark, sql: str, **params) -> DataFrame:
+    """SQL over tables, with named parameters that are bound, never pasted in."""
+    for t in tables:
+        read(t).createOrReplaceTempView(t)
+    check_read_only(spark, sql)
+    return spark.sql(sql, args=params)
+
+
+def check_read_only(spark, sql: str) -> None:
+    """Raises where the parsed statement is a command: only queries pass, whatever words they hold."""
+    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+    names = {plan.getClass().getSimpleName()} | {x.getClass().getSimpleName() for x in _children(plan)}
+    wrong = sorted(n for n in names if any(w in n for w in ("Command", "Insert", "Create", "Drop", "Delete", "Update", "Merge", "Alter", "Set", "Truncate")) and n != "SetOperation")
+    if wrong:
+        raise ValueError(f"not a query: {', '.join(wrong)}")
+
+
+def _children(plan):
+    kids = plan.children()
+    for i in range(kids.size()):
+        yield kids.apply(i)
+        yield from _children(kids.apply(i))

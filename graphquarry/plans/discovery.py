@@ -110,3 +110,13 @@ def traversal_scopes(graph, label: str, hop, values: dict[str, str]) -> list[Sco
         return []
     make = lambda v: lambda df: graph.related(label, [replace(hop, where=F.col(field) == v)], df)
     return [ScopeDef(name, make(v), f"{label} with {field} {v}") for v, name in values.items()]
+
+
+def inverse(entity: EntityDef, rel: RelDef) -> str:
+    """The name of a relationship seen from its target: HAS_ and the source in plural."""
+    return f"HAS_{plural(snake(entity.label)).upper()}"
+
+
+def enabled(entity: bool | None, operation: bool | None, everywhere: bool = True) -> bool:
+    """Whether a row event is followed: the entity's word counts before the operation's, and that before the general one."""
+    return next((x for x in (entity, operation) if x is not None), everywhere)

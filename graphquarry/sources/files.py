@@ -98,3 +98,21 @@ def type_histogram(df: DataFrame, name: str, separator: str = ".") -> DataFrame:
     """extension (lower case, after the last separator) and n, most frequent first."""
     extension = F.lower(F.substring_index(F.col(name), separator, -1))
     return df.groupBy(extension.alias("extension")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "extension")
+
+
+@register("pdf")
+def pdf_file(spark: SparkSession, path: str) -> DataFrame:
+    """Needs pypdf on the executors."""
+    try:
+        import pypdf  # noqa: F401
+    except ImportError as e:
+        raise RuntimeError("PDF files need pypdf, which isn't installed") from e
+
+    @F.pandas_udf(T.StringType())
+    def read(pdfs: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import pypdf
+
+        for s in pdfs:
+            yield s.map(lambda b: "\n".join(p.extract_text() or "" for p in pypdf.PdfReader(io.BytesIO(b)).pages))
+
+    return spark.read.format("binaryFile").load(path).select("path", X.clean_pdf(read("content")).alias("content"))

@@ -88,7 +88,7 @@ def test_files(spark, tmp_path):
     read = lambda n: files.load(spark, str(tmp_path / n)).first().content
     assert read("a.TXT") == "x\ny" and read("b.md") == "# T\n\ntext" and read("c.docx") == "Hi you\nthere"
     with pytest.raises(KeyError):
-        files.extractor_for("x.pdf")
+        files.extractor_for("x.exe")
     chunks = spark.createDataFrame([(1, 1, "b"), (1, 0, "a"), (2, 0, "z")], "file_id long, chunk_index int, content string")
     files.write_chunks(chunks, str(tmp_path / "chunks"))
     assert [r.content for r in files.file_chunks(spark, str(tmp_path / "chunks"), 1).collect()] == ["a", "b"]
