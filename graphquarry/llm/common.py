@@ -67,6 +67,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def hash_unit(col: str) -> Column:
+    """An even hash of a column in [0, 1): rows below p are a sample of share p, the same in every run."""
+    return F.pmod(F.xxhash64(col), F.lit(1 << 30)) / F.lit(float(1 << 30))
+
+
 HOT_SHARE = 1000
 
 

@@ -6,7 +6,7 @@ a language's prototype bundles the normalised vectors of labelled texts. A text
 with the largest cosine.
 
 The letters are those of the text in lower case, with one space for each run of other characters. Prototypes
-are learned from at most PER_LANG texts a language, those with the smallest hash of doc_id; the fit sees no other
+are learned from a sample of about PER_LANG texts a language, drawn by a hash of doc_id; the fit sees no other
 column than text and lang, and a prediction sees the text alone.
 
 Defined cases: a text that is null or has no letter is `und` with score 0; so is any text if nothing could be learned;
@@ -20,9 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphquarry.llm.common import hash_unit
+
 DIM = 512
 GRAM = 3
 PER_LANG = 400
@@ -140,11 +142,16 @@ def unit(v: np.ndarray) -> np.ndarray:
 
 
 def sample(labelled: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
-    """At most per_lang texts of each lang, by the hash of doc_id; the ranking sees no text."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    """About per_lang texts of each lang: those whose hash of doc_id is below per_lang / texts of the lang.
+
+    The counts, one row a lang, are all that is gathered; texts are filtered where they are read.
+    """
     known = labelled.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    chosen = known.select("doc_id", "lang").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_lang)
-    return known.join(chosen.select("doc_id").distinct(), "doc_id", "left_semi").select("lang", "text")
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not counts:
+        return known.select("lang", "text").limit(0)
+    shares = F.create_map(*[F.lit(x) for lang in sorted(counts) for x in (lang, min(1.0, per_lang / counts[lang]))])
+    return known.where(hash_unit("doc_id") < shares[F.col("lang")]).select("lang", "text")
 
 
 def fit(labelled: DataFrame, per_lang: int = PER_LANG, dim: int = DIM, gram: int = GRAM) -> dict[str, list[float]]:
