@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphquarry.llm.common import hash_unit
+
 # The base patterns, in the order of their kinds.
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -111,7 +113,7 @@ def samples(text: str) -> tuple[Counter, Counter]:
 
 
 def train(docs: DataFrame, n_docs: int = TRAIN_DOCS) -> dict[str, float]:
-    """The log ratios, from at most n_docs documents, those with the smallest hashes of doc_id."""
+    """The log ratios, from a sample of about n_docs documents, drawn by a hash of doc_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -124,9 +126,9 @@ def train(docs: DataFrame, n_docs: int = TRAIN_DOCS) -> dict[str, float]:
             types = [pa.string(), pa.int64(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["token", "n", "secret"])
 
-    ids = docs.select("doc_id").where(F.col("doc_id").isNotNull())
-    chosen = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n_docs).distinct()
-    tokens = docs.join(chosen, "doc_id", "left_semi").select("text").mapInArrow(run, "token string, n long, secret boolean")
+    known = docs.where(F.col("doc_id").isNotNull())
+    chosen = known.where(hash_unit("doc_id") < n_docs / max(1, known.count()))
+    tokens = chosen.select("text").mapInArrow(run, "token string, n long, secret boolean")
     summed = tokens.groupBy("secret", "token").agg(F.sum("n").alias("n"))
     most = summed.orderBy(F.desc("n"), "secret", "token").limit(TRAIN_TOKENS)
     secret, plain = generated(), Counter()
