@@ -563,7 +563,7 @@ def best_match(g, t):
 
 @query("SELECT DISTINCT c.conv_id AS question_id, n.entity FROM conversations c, (VALUES ('Greeting', 'the'), ('Hedge', 'thing'), ('Never', '§§')) n(entity, name) WHERE contains(lower(c.text), n.name)")
 def entity_match(g, t):
-    names = g.spark.createDataFrame([("Greeting", "the"), ("Hedge", "Thing"), ("Never", "§§")], "entity string, name string")
+    names = [("Greeting", "the"), ("Hedge", "Thing"), ("Never", "§§")]
     return M.entity_match(t("conversations").select(F.col("conv_id").alias("question_id"), F.col("text").alias("question")), names)
 
 

@@ -41,10 +41,14 @@ def best_match(text: Column, candidate: Column, a: Column | str, b: Column | str
     return F.when(normal(text) == normal(candidate), F.lit(1.0)).otherwise(cosine(a, b))
 
 
-def entity_match(questions: DataFrame, names: DataFrame) -> DataFrame:
-    """question_id, entity: those with a name (label, alias or scope) in the question, whatever the case."""
-    hit = F.contains(F.lower("question"), F.lower("name"))
-    return questions.join(F.broadcast(names), hit).select("question_id", "entity").distinct()
+def entity_match(questions: DataFrame, names: list[tuple[str, str]]) -> DataFrame:
+    """question_id, entity: those with a name (label, alias or scope) in the question, whatever the case.
+
+    names: the declared (entity, name) pairs, a part of the plan.
+    """
+    low = F.lower("question")
+    found = F.array_distinct(F.array_compact(F.array(*[F.when(low.contains(name.lower()), F.lit(entity)) for entity, name in names])))
+    return questions.select("question_id", F.explode(found).alias("entity")).distinct()
 
 
 def scope_match(hits: DataFrame, k: int, threshold: float = 0) -> DataFrame:

@@ -57,16 +57,26 @@ def knn(points: DataFrame, query: DataFrame, k: int, metric: str = "cosine", whe
     return out.orderBy(F.desc("score") if larger else F.asc("score"), key).limit(k)
 
 
-def knn_join(queries: DataFrame, points: DataFrame, k: int, metric: str = "cosine", key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """For each of a bounded set of queries its k best other points: query_id, key, score, rank.
+QUERY_BLOCK = 4096
 
-    Every task keeps k candidates a query before any shuffle (row_number with a limit), so what moves is k rows a query and task.
+
+def knn_join(queries: DataFrame, points: DataFrame, k: int, metric: str = "cosine", key: str = "vec_id", vector: str = "embedding", block: int = QUERY_BLOCK) -> DataFrame:
+    """For each query its k best other points: query_id, key, score, rank.
+
+    Queries are counted and dealt by hash into blocks of about `block` rows, and only a block is broadcast. Every
+    task keeps k candidates a query before any shuffle (row_number with a limit), so what moves is k rows a query and task.
     """
     measure, larger = METRICS[metric]
-    q = F.broadcast(queries.select(F.col(key).alias("query_id"), F.col(vector).alias("_query")))
-    pairs = points.join(q, F.col(key) != F.col("query_id")).select("query_id", key, measure(vector, "_query").alias("score"))
+    n = max(1, -(-queries.count() // block))
     w = Window.partitionBy("query_id").orderBy(F.desc("score") if larger else F.asc("score"), key)
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    out = None
+    for b in range(n):
+        own = queries.where(F.pmod(F.xxhash64(key), F.lit(n)) == b)
+        q = F.broadcast(own.select(F.col(key).alias("query_id"), F.col(vector).alias("_query")))
+        pairs = points.join(q, F.col(key) != F.col("query_id")).select("query_id", key, measure(vector, "_query").alias("score"))
+        best = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        out = best if out is None else out.unionByName(best)
+    return out
 
 
 def upsert_points(old: DataFrame, new: DataFrame, key: str = "vec_id") -> DataFrame:

@@ -28,6 +28,8 @@ def test_knn(points):
     assert vectors.knn(points, q, 10, threshold=0.5).count() == 2
     assert vectors.knn(points, q, 10).where("vec_id = 4").first().score == 0.0
     assert {(r.query_id, r.vec_id) for r in vectors.knn_join(q, points, 1).collect()} == {(1, 2)}
+    every = {(r.query_id, r.rank): r.vec_id for r in vectors.knn_join(points, points, 2).collect()}
+    assert every == {(r.query_id, r.rank): r.vec_id for r in vectors.knn_join(points, points, 2, block=1).collect()} and len(every) == 8
     assert vectors.count_points(points, F.col("category") == "A").first().n == 2
     assert vectors.recommend(points, [1], [3], 1).first().vec_id == 2
 
