@@ -10,27 +10,34 @@ from graphquarry.operators.ingest import latest
 
 
 class LatestTable:
-    """The newest row of each key, in versions below a folder; a batch writes a new one and readers follow the last."""
+    """The newest row of each key, in versions below a folder: batch n writes version n from the last whole one before it.
+
+    The state is in the folder alone, so a restarted driver goes on, and a batch that is run again writes the same version.
+    """
 
     def __init__(self, spark: SparkSession, path: str, schema: StructType, key: str, version: tuple[str, ...]):
         self.spark, self.path, self.schema, self.key, self.version = spark, path, schema, key, version
-        self.current: str | None = None
 
-    def read(self) -> DataFrame:
-        if self.current is None:
+    def versions(self) -> list[int]:
+        """Those that are written to the end."""
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+        done = [n for n in names if n.startswith("version=") and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))]
+        return sorted(int(n.split("=")[1]) for n in done)
+
+    def _at(self, version: int) -> str:
+        return f"{self.path}/version={version:09d}"
+
+    def read(self, before: int | None = None) -> DataFrame:
+        known = [v for v in self.versions() if before is None or v < before]
+        if not known:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(self.current)
+        return self.spark.read.schema(self.schema).parquet(self._at(known[-1]))
 
     def merge(self, batch: DataFrame, batch_id: int) -> None:
-        """A row replaces an older one of its key, so the same batch again changes nothing."""
-        target = f"{self.path}/version={batch_id:09d}"
-        if target == self.current:
-            return
-        spark = batch.sparkSession
-        new = batch.select(*self.schema.names)
-        old = new.limit(0) if self.current is None else spark.read.schema(self.schema).parquet(self.current)
-        latest(old.unionByName(new), self.key, *self.version).write.mode("overwrite").parquet(target)
-        self.current = target
+        old, new = self.read(batch_id), batch.select(*self.schema.names)
+        latest(old.unionByName(new), self.key, *self.version).write.mode("overwrite").parquet(self._at(batch_id))
 
 
 def stream_upsert(source: DataFrame, table: LatestTable, checkpoint: str) -> StreamingQuery:

@@ -114,3 +114,10 @@ def test_stream_equals_batch(spark, tmp_path):
     feed = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
     stream_upsert(feed, table, str(tmp_path / "checkpoint")).awaitTermination()
     assert {tuple(r) for r in table.read().collect()} == {(1, 3, "c"), (2, 1, "b")}
+    last = table.versions()[-1]
+    table.merge(spark.createDataFrame([rows[-1]], schema), last)  # a batch run again
+    assert table.versions()[-1] == last and {tuple(r) for r in table.read().collect()} == {(1, 3, "c"), (2, 1, "b")}
+    spark.createDataFrame([(2, 9, "z")], schema).coalesce(1).write.parquet(str(tmp_path / "in/9"))
+    again = LatestTable(spark, str(tmp_path / "table"), table.schema, "k", ("v",))  # a restarted driver
+    stream_upsert(spark.readStream.schema(schema).parquet(str(tmp_path / "in/*")), again, str(tmp_path / "checkpoint")).awaitTermination()
+    assert {tuple(r) for r in again.read().collect()} == {(1, 3, "c"), (2, 9, "z")}
