@@ -27,6 +27,7 @@ import os
 import re
 import struct
 import zlib
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -49,45 +50,108 @@ BLOOM_BITS = 10
 BLOOM_HASHES = 7
 MAGIC = b"GQSST001"
 FOOTER = "<QQQQQQBI8s"
-CACHE_PIECES = 200_000
+CACHE_PIECES = 600_000
 
 # Where a single space stands between other characters, a byte-level BPE's pre-tokens always break before it,
 # so a text of words between single spaces is the sum of its pieces. Other texts are encoded in one.
-ODD_SPACE = re.compile(r"\s\s|^ | $|[^\S \n]")
+ODD_PAIRS = ("  ", " \n", "\n ", "\n\n")
+ODD_SPACES = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+# A pre-token of Latin letters, and one of signs behind it: they break apart there, too.
+WORD_SIGNS = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([^\w\s']*)")
+PROBES = (" the", "and", " \u00e9t\u00e9", " verst\u00e4ndlich", "A")
+
+
+def byte_letters() -> list[str]:
+    """The printable letter for each byte in a byte-level vocabulary: itself, or the next one above 255."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
 
 
 class Encoder:
-    """Texts to little-endian ids. Frequent pieces are remembered, up to a bound."""
+    """Texts to little-endian ids. Pieces seen first, which the frequent ones are, stay known, up to a bound.
+
+    They and the tokenizer are kept with the imported library, once for each worker process, beyond the task.
+    """
 
-    def __init__(self, path: str, end_id: int = END_ID, cache: int = CACHE_PIECES):
+    def __init__(self, path: str, end_id: int = END_ID, most: int = CACHE_PIECES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task for each core
-        from tokenizers import Tokenizer
+        import tokenizers
 
-        self.tok = Tokenizer.from_file(path)
+        known = vars(tokenizers).setdefault("_known", {})
+        if path not in known:
+            known[path] = tokenizers.Tokenizer.from_file(path), {}
+        self.tok, self.cache = known[path]
         self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
         self.width = 2 if max(self.tok.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
-        self.dtype = np.dtype(f"<u{self.width}")
-        self.end = np.array([end_id], self.dtype).tobytes()
-        self.most, self.cache = cache, {}
+        self.code = "H" if self.width == 2 else "I"
+        self.end = self._bytes([end_id])
+        self.most = most
+        self.newline = self._whole("\n")
+        self.letters, self.model = byte_letters(), self.tok.model
+        try:
+            self.byte_level = all(self._word(p) == self._whole(p) for p in PROBES)
+        except Exception:  # another kind of model may not know these letters
+            self.byte_level = False
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        return array(self.code, ids).tobytes()  # little-endian on every machine that Spark runs on here
+
+    def _whole(self, text: str) -> bytes:
+        return self._bytes(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids)
+
+    def _word(self, word: str) -> bytes:
+        """A single pre-token, straight through the library's model."""
+        letters = self.letters
+        return self._bytes([t.id for t in self.model.tokenize("".join([letters[b] for b in word.encode()]))])
+
+    def _spaced(self, piece: str) -> bytes:
+        """The ids of a piece behind its space. Its lines break apart, and so do a word and the signs behind it."""
+        if not self.byte_level:
+            out = self._whole(" " + piece)
+        elif piece.isascii() and piece.isalpha():
+            out = array(self.code, [t.id for t in self.model.tokenize(self.letters[32] + piece)]).tobytes()
+        elif "\n" in piece:
+            first, *rest = piece.split("\n")
+            lines = [self.cache.get(first) or self._spaced(first)]
+            for line in rest:
+                lines += (self.newline, self._bare(line))
+            return b"".join(lines)
+        elif (m := WORD_SIGNS.fullmatch(piece)) is None:
+            out = self._whole(" " + piece)
+        elif m[2]:
+            out = (self.cache.get(m[1]) or self._spaced(m[1])) + self._bare(m[2])
+        else:
+            out = self._word(" " + piece)
+        if len(self.cache) < self.most:
+            self.cache[piece] = out
+        return out
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+    def _bare(self, piece: str) -> bytes:
+        """The ids of a piece with no space before it; kept under a key that no other piece has."""
+        if not piece:
+            return b""
+        key = "\n" + piece
+        if (out := self.cache.get(key)) is None:
+            m = WORD_SIGNS.fullmatch(piece) if self.byte_level else None
+            if m is None:
+                out = self._whole(piece)
+            else:
+                out = self._word(m[1]) + (self._bare(m[2]) if m[2] else b"")
+            if len(self.cache) < self.most:
+                self.cache[key] = out
+        return out
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return self.end
-        if ODD_SPACE.search(text):
-            return self._ids([text])[0] + self.end
+        odd = text[0].isspace() or text[-1] == " " or any(x in text for x in ODD_PAIRS) or any(x in text for x in ODD_SPACES)
+        if odd:
+            return self._whole(text) + self.end
         first, *rest = text.split(" ")
-        pieces = [first, *[" " + p for p in rest]]
-        cache = self.cache
-        new = [*{p for p in pieces if p not in cache}]
-        if new:
-            if len(cache) + len(new) > self.most:
-                cache.clear()
-                new = [*set(pieces)]
-            cache.update(zip(new, self._ids(new)))
-        return b"".join([cache[p] for p in pieces]) + self.end
+        head = self._whole(first) if "\n" in first else self._bare(first)
+        get, spaced = self.cache.get, self._spaced
+        return head + b"".join([get(p) or spaced(p) for p in rest]) + self.end
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -260,6 +324,8 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END
             w.close()
             w.out.close()
             path = f"{root}/shard-{part:06d}-{n:04d}.sst"
+            if fs.get_file_info(path).type != pafs.FileType.NotFound:  # of an attempt whose end got lost
+                fs.delete_file(path)
             fs.move(w.aside, path)
             rows.append((part, n, path, w.records, w.ids, w.keys[0], w.keys[-1]))
 
