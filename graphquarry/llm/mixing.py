@@ -23,7 +23,7 @@ from graphquarry.llm.common import materialise, null_safe_key, text_or_empty, wo
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_EPOCHS = 3
-ROWS_PER_RANGE = 2_000
+ROWS_PER_RANGE = 500
 
 
 def mix_key(doc_id: str | Column = "doc_id", seed: int = 7) -> Column:
