@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import reduce
@@ -40,20 +41,27 @@ def ascii_lower(text: Column) -> Column:
     )
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir.
+    """The folder that driver and executors share, from spark.checkpoint.dir, as a full URI.
 
     Where that is unset, a local master gets a temporary folder; a cluster gets an error, since
     a machine-local folder would lose files there.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if root:
-        return root
-    if not spark.sparkContext.master.split("[")[0] == "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    root = "file://" + tempfile.mkdtemp(prefix="graphquarry-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    if not root:
+        app = spark.sparkContext.applicationId
+        if app not in _OWN:
+            if spark.sparkContext.master.split("[")[0] != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            _OWN[app] = tempfile.mkdtemp(prefix="graphquarry-")
+        root = "file://" + _OWN[app]
+    # A path without a scheme is one of the cluster's default file system, which Python's readers must be told.
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return re.sub("^file:/+", "file:///", full)
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
