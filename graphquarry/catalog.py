@@ -22,7 +22,7 @@ from graphquarry.plans.graph import Hop, PropertyGraph
 from graphquarry.plans.model import EntityDef
 from graphquarry.plans.predicates import Where, temporal
 from graphquarry.sources import files, tables
-from graphquarry.streaming.changes import LatestTable, stream_upsert
+from graphquarry.streaming import changes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -654,6 +654,22 @@ def strip_markdown(g, t):
     return d.select("doc_id", X.strip_markdown(F.col("md")).alias("text"), X.markdown_metadata(F.col("md"))["n_links"].alias("n_links"))
 
 
+@query(r"""WITH m AS (SELECT doc_id, lang, '---' || chr(10) || 'title: ' || lang || chr(10) || '---' || chr(10) || '# H' || chr(10) || '[l](u) ![i](v)' || chr(10) || text AS md FROM documents)
+SELECT doc_id, len(regexp_extract_all(md, '(?m)^#{1,6}\s+\S'))::INT AS n_headers, (len(regexp_extract_all(md, '\[[^\]]+\]\([^\)]+\)')) - 1)::INT AS n_links,
+len(regexp_extract_all(md, '!\[[^\]]*\]\([^\)]+\)'))::INT AS n_images, lang AS title FROM m""")
+def md_metadata(g, t):
+    head = F.concat(F.lit("---\ntitle: "), F.col("lang"), F.lit("\n---\n# H\n[l](u) ![i](v)\n"), F.col("text"))
+    m = t("documents").select("doc_id", X.markdown_metadata(head).alias("m"))
+    return m.select("doc_id", "m.n_headers", "m.n_links", "m.n_images", F.col("m.front_matter")["title"].alias("title"))
+
+
+@query("""SELECT column_name, CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double' ELSE 'timestamp_ntz' END AS type
+FROM information_schema.columns WHERE table_name IN ('orders', 'part')""")
+def column_types(g, t):
+    rows = [x for n in ("orders", "part") for x in discovery.column_types(t(n).schema).items()]
+    return g.spark.createDataFrame(rows, "column_name string, type string")
+
+
 @query("SELECT doc_id, regexp_replace(text, '([A-Za-z0-9+/]{40})', '***', 'g') <> text OR regexp_matches(text, '(?i)(token|password|passwd|pwd)[\"'']?\\s*[:=]\\s*[\"'']?[a-zA-Z0-9_\\-]{20,}') AS redacted FROM documents")
 def redact(g, t):
     return t("documents").select("doc_id", (X.redact(F.col("text")) != F.col("text")).alias("redacted"))
@@ -783,13 +799,13 @@ def store_query(g, t):
 
 
 @query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1")
-def stream_upsert_events(g, t):
+def stream_upsert(g, t):
     """The events table as a change feed: what the stream leaves equals the batch's latest rows."""
     spark = g.spark
     source = t("events").inputFiles()[0].rsplit("/", 1)
     root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="graphquarry-")
     work = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    table = LatestTable(spark, f"{work}/rows", t("events").schema, "user_id", ("ts", "event_id"))
+    table = changes.LatestTable(spark, f"{work}/rows", t("events").schema, "user_id", ("ts", "event_id"))
     feed = spark.readStream.schema(table.schema).option("pathGlobFilter", "events*.parquet" if source[1].startswith("events") else "*.parquet").parquet(source[0])
-    stream_upsert(feed, table, f"{work}/checkpoint").awaitTermination()
+    changes.stream_upsert(feed, table, f"{work}/checkpoint").awaitTermination()
     return table.read().select("user_id", "event_id", "event_type")
