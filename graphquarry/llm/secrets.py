@@ -120,7 +120,7 @@ def train(docs: DataFrame, n_docs: int = TRAIN_DOCS) -> dict[str, float]:
             secret, plain = Counter(), Counter()
             for t in b.column(0):
                 s, p = samples(t.as_py() or "")
-                secret, plain = secret + s, plain + p
+                secret.update(s), plain.update(p)
             rows = [(k, n, True) for k, n in secret.items()] + [(k, n, False) for k, n in plain.items()]
             columns = [list(c) for c in zip(*rows)] or [[], [], []]
             types = [pa.string(), pa.int64(), pa.bool_()]
