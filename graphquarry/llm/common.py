@@ -68,6 +68,18 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt anew where it is so small that its files would keep only some of the cores busy.
+
+    A table of at least one split for each core, which is any large one, stays as it is and isn't shuffled.
+    """
+    spark = df.sparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if size < cores * split else df
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes df once as Parquet in the shared folder and reads it back: cuts lineage, survives lost executors."""
     path = new_folder(df.sparkSession, name)
