@@ -1,6 +1,7 @@
 """The training-data pipeline: documents through five stages, each written as Parquet and read again.
 
-Quality rules drop documents that a policy rejects; SimHash near-dedup keeps one document of each group;
+Quality rules drop documents that a policy rejects; near-dedup keeps one document of each group
+of five-word Jaccard similarity 0.8 or more;
 decontamination drops documents that hold a window of a benchmark item; mixing repeats or leaves
 out documents so that sources meet their target weights; the last stage writes token shards and
 returns what it reads back from them.
@@ -11,7 +12,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from graphquarry.llm import decontaminate, mixing, quality, simhash, sstable
+from graphquarry.llm import decontaminate, mixing, neardup, quality, sstable
 from graphquarry.llm.common import materialise, spread
 
 
@@ -20,7 +21,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.near_dedup(docs)
+    return neardup.near_dedup(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -176,7 +176,11 @@ def components(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, light:
     """doc_id, fp, component_id (the smallest doc_id of all that are reachable over links)."""
     marked = materialise(fingerprints(docs, shingle), "simhash-fingerprints")
     reps = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n_docs")), "simhash-reps")
-    found = links(reps, reps.count(), bits, light)
+    return grouped(marked, reps, links(reps, reps.count(), bits, light))
+
+
+def grouped(marked: DataFrame, reps: DataFrame, found: DataFrame) -> DataFrame:
+    """marked (doc_id, fp) with component_id, from reps (fp, first, n_docs) and the links found between them."""
     tree = connected(found).withColumnRenamed("node", "fp")
     known = reps.join(tree, "fp")
     roots = known.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -190,7 +194,10 @@ def near_dedup(docs: DataFrame, **how) -> DataFrame:
 
     Rows without a doc_id can't be named and stay, and so do different texts that share a doc_id.
     """
-    found = components(docs, **how)
+    return staying(docs, components(docs, **how))
+
+
+def staying(docs: DataFrame, found: DataFrame) -> DataFrame:
     stay = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     kept = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return kept.unionByName(docs.where(F.col("doc_id").isNull()))
