@@ -93,13 +93,18 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_
     A source takes floor(target / source_size) whole epochs. In the last, partial one a document is in
     if its middle is within the budget left, so a source misses its target by half a document at most.
     """
+    return planned(docs, [], weights, most, seed)
+
+
+def planned(docs: DataFrame, own: list[str], weights: tuple[float, ...] = WEIGHTS, most: int = MOST_EPOCHS, seed: int = 7) -> DataFrame:
+    """The mix with further columns of docs, own, which also break ties."""
     narrow = materialise(
-        docs.select("doc_id", "source", word_count(text_or_empty("text")).alias("size"), mix_key(seed=seed).alias("_key")),
+        docs.select("doc_id", "source", word_count(text_or_empty("text")).alias("size"), mix_key(seed=seed).alias("_key"), *own),
         "mix-sizes",
     )
     sources = targets(narrow.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
     ranked = prefix_sums(
-        narrow.withColumn("_group", null_safe_key(F.col("source"))), ["_group"], "_key", "size", ["doc_id", "size"]
+        narrow.withColumn("_group", null_safe_key(F.col("source"))), ["_group"], "_key", "size", ["doc_id", "size", *own]
     )
     plan = sources.select(null_safe_key(F.col("source")).alias("_g"), "source_size", "target")
     # One row a source; where the sources are so many that it isn't small, Spark joins by sorting and splits hot ones.
@@ -110,17 +115,16 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_
     return (
         joined.withColumn("_epochs", epochs)
         .withColumn("copies", (F.col("_epochs") + last).cast("long"))
-        .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+        .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *own)
     )
 
 
 def take(docs: DataFrame, **how) -> DataFrame:
     """The mixed corpus: the rows of docs, each as often as the mix takes it.
 
-    Rows that share a doc_id get the same number of copies, the largest that one of them was given.
+    Rows are numbered once, so that those that share a doc_id, or have none, take their own copies.
     """
-    copies = (
-        mix(docs, **how).where(F.col("copies") > 0).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies"))
-    )
-    kept = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_id")))
+    numbered = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-rows")
+    copies = planned(numbered, ["_row"], **how).where(F.col("copies") > 0).select("_row", F.col("copies").alias("_copies"))
+    kept = numbered.join(copies, "_row")
     return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
