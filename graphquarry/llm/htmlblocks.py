@@ -36,6 +36,11 @@ INLINE = frozenset(
 ENDS_P = frozenset(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
 )
+#: What may stand in a head; any other element ends it, as its end tag may be left out.
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
+#: Hidden controls that stand in a line of text: one that was never closed ends at the next block.
+CONTROLS = frozenset("object canvas audio video select option button datalist".split())
+CONTROL_TAGS = re.compile(rf"<(/?)({'|'.join(sorted(CONTROLS))})(?=[\s/>])", re.I)
 
 PATH_BUCKETS = 96
 WORD_BUCKETS = 32
@@ -56,6 +61,7 @@ class Blocks(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, tuple[str, ...]]] = []
         self.hidden = 0
+        self.ahead: dict[str, list[str]] = {}
         self.found: list[tuple[tuple[str, ...], str, int]] = []
         self.parts: list[str] = []
         self.linked = self.links = 0
@@ -70,7 +76,42 @@ class Blocks(HTMLParser):
                 self.found.append((self.path(), text, self.linked))
             self.parts, self.linked = [], 0
 
+    def feed(self, data):
+        for slash, tag in CONTROL_TAGS.findall(data):
+            self.ahead.setdefault(tag.lower(), []).append(slash)
+        for tags in self.ahead.values():
+            tags.reverse()
+        super().feed(data)
+
+    def _pass(self, tag: str) -> None:
+        if self.ahead.get(tag):
+            self.ahead[tag].pop()
+
+    def _ends(self, tag: str) -> bool:
+        """Whether the next tag of this name is an end tag (of objects, which nest, whether any is)."""
+        left = self.ahead.get(tag) or [""]
+        return "/" in left if tag == "object" else left[-1] == "/"
+
+    def _end_hidden(self, tag: str) -> None:
+        """Takes an open head, or controls left open, off the stack where tag shows that they are over."""
+        open_ = [t for t, _ in self.open]
+        if "head" in open_ and tag not in IN_HEAD:
+            at = open_.index("head")
+            if all(t not in HIDDEN for t in open_[at + 1 :]):  # not inside a noscript or template of the head
+                self._pop(at)
+        elif tag in ENDS_P or tag in ("body", "li", "tr", "td", "th"):
+            at = len(self.open)
+            while at and (self.open[at - 1][0] in CONTROLS or self.open[at - 1][0] in INLINE):
+                at -= 1
+            # One whose end tag still comes holds this block, as fallback content say.
+            first = next((i for i in range(at, len(self.open)) if self.open[i][0] in CONTROLS and not self._ends(self.open[i][0])), None)
+            if first is not None:
+                self._pop(first)
+
     def handle_starttag(self, tag, attrs):
+        self._pass(tag)
+        if self.hidden and tag != "head":
+            self._end_hidden(tag)
         if tag in VOID:
             if tag == "br" and not self.hidden:
                 self.parts.append(" ")
@@ -112,6 +153,7 @@ class Blocks(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
+        self._pass(tag)
         if tag in VOID:
             return
         at = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] == tag), None)
