@@ -68,16 +68,13 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """df, dealt anew where it is so small that its files would keep only some of the cores busy.
+def deal(df: DataFrame) -> DataFrame:
+    """df, dealt over all cores if it comes in fewer files than there are cores.
 
-    A table of at least one split for each core, which is any large one, stays as it is and isn't shuffled.
+    Other tables are read where they stand: what decides is the number of files, not their size.
     """
-    spark = df.sparkSession
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if size < cores * split else df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -109,7 +106,7 @@ def join_hot(left: DataFrame, right: DataFrame, on: list[str], weight: str, tota
     cold = right.where(F.col(weight) < bar).select(*[F.col(c).alias(f"_c_{c}") for c in on], value.alias("_cold"))
     same = lambda p: reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"{p}{c}")) for c in on])
     step = left.join(F.broadcast(hot), same("_h_"), "left")
-    # A row that has found its hot key takes no part in the shuffled join: a random salt deals it evenly.
+    # A row that has found its hot key takes no part in the shuffled join.
     parts = [
         step.where(F.col("_hot").isNotNull()).withColumn("_got", F.col("_hot")),
         step.where(F.col("_hot").isNull()).join(cold, same("_c_"), how).withColumn("_got", F.col("_cold")),

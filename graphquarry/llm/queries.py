@@ -9,14 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphquarry.llm import decontaminate, htmlblocks, langid, linedup, mixing, quality, secrets, simhash, sstable, urlrules
-from graphquarry.llm.common import spread
+from graphquarry.llm.common import deal
 
 
 TOKENIZER = "byte_bpe_50k.json"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return deal(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +61,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return deal(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
 def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,8 +13,9 @@ document's ids, end id included, as little-endian 16- or 32-bit integers. lookup
 Bloom filter, finds the block by binary search in the index and reads that block only.
 
 Texts are dealt by ranges of doc_id and sorted within, so shards ascend too. A task writes its shards under names
-made from its partition, first aside and then renamed: a retried or speculative task writes the same bytes
-to the same place. The driver sees one manifest row a shard.
+of its own attempt, and only the manifest, which Spark commits for one attempt of each task, names the shards that
+count: what a lost or speculative attempt leaves behind is never read. The driver sees one manifest row a shard.
+Strings of the vocabulary's special tokens become their ids, as the library does by default.
 
 Defined cases: a null or empty text is the end id alone; null ids come first and are found by lookup of None; rows that repeat
 a doc_id are all kept, in the order of the hash of their text; texts of any length are encoded whole, by pieces; an empty table
@@ -26,6 +27,8 @@ from __future__ import annotations
 import os
 import re
 import struct
+import sys
+import types
 import zlib
 from array import array
 from bisect import bisect_left
@@ -50,7 +53,9 @@ BLOOM_BITS = 10
 BLOOM_HASHES = 7
 MAGIC = b"GQSST001"
 FOOTER = "<QQQQQQBI8s"
+#: Pieces that a worker remembers, and the longest of them in characters: together they bound its memory.
 CACHE_PIECES = 600_000
+CACHE_CHARS = 32
 
 # Where a single space stands between other characters, a byte-level BPE's pre-tokens always break before it,
 # so a text of words between single spaces is the sum of its pieces. Other texts are encoded in one.
@@ -68,21 +73,29 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
 
 
-class Encoder:
-    """Texts to little-endian ids. Pieces seen first, which the frequent ones are, stay known, up to a bound.
+def of_worker(path: str) -> tuple:
+    """The tokenizer and the pieces known so far, kept for the life of the worker process.
 
-    They and the tokenizer are kept with the imported library, once for each worker process, beyond the task.
+    This module travels to the workers by value, anew for each task, so its own globals don't last; a module of
+    the process's own does.
     """
+    import tokenizers
+
+    held = vars(sys.modules.setdefault("graphquarry_worker", types.ModuleType("graphquarry_worker")))
+    if path not in held:
+        held[path] = tokenizers.Tokenizer.from_file(path), {}
+    return held[path]
+
+
+class Encoder:
+    """Texts to little-endian ids. Pieces seen first, which the frequent ones are, stay known, up to a bound."""
 
     def __init__(self, path: str, end_id: int = END_ID, most: int = CACHE_PIECES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task for each core
-        import tokenizers
-
-        known = vars(tokenizers).setdefault("_known", {})
-        if path not in known:
-            known[path] = tokenizers.Tokenizer.from_file(path), {}
-        self.tok, self.cache = known[path]
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tok, self.cache = of_worker(path)
+        special = sorted(t.content for t in self.tok.get_added_tokens_decoder().values() if t.content)
+        #: A text that holds one is left to the library whole.
+        self.special = re.compile("|".join(map(re.escape, special)), re.I) if special else None
         self.width = 2 if max(self.tok.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
         self.code = "H" if self.width == 2 else "I"
         self.end = self._bytes([end_id])
@@ -123,7 +136,7 @@ class Encoder:
             out = (self.cache.get(m[1]) or self._spaced(m[1])) + self._bare(m[2])
         else:
             out = self._word(" " + piece)
-        if len(self.cache) < self.most:
+        if len(self.cache) < self.most and len(piece) <= CACHE_CHARS:
             self.cache[piece] = out
         return out
 
@@ -138,13 +151,15 @@ class Encoder:
                 out = self._whole(piece)
             else:
                 out = self._word(m[1]) + (self._bare(m[2]) if m[2] else b"")
-            if len(self.cache) < self.most:
+            if len(self.cache) < self.most and len(piece) <= CACHE_CHARS:
                 self.cache[key] = out
         return out
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return self.end
+        if self.special and self.special.search(text):
+            return self._whole(text) + self.end
         odd = text[0].isspace() or text[-1] == " " or any(x in text for x in ODD_PAIRS) or any(x in text for x in ODD_SPACES)
         if odd:
             return self._whole(text) + self.end
@@ -191,8 +206,8 @@ def bloom_places(key: bytes, size: int) -> list[int]:
 class ShardWriter:
     """Writes one shard; keys must come in ascending order."""
 
-    def __init__(self, out, width: int):
-        self.out, self.width = out, width
+    def __init__(self, out, width: int, path: str = ""):
+        self.out, self.width, self.path = out, width, path
         self.at = self.records = self.ids = 0
         self.index: list[tuple[bytes, int, int, int]] = []
         self.keys: list[bytes] = []
@@ -323,19 +338,14 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END
         def close() -> None:
             w.close()
             w.out.close()
-            path = f"{root}/shard-{part:06d}-{n:04d}.sst"
-            if fs.get_file_info(path).type != pafs.FileType.NotFound:  # of an attempt whose end got lost
-                fs.delete_file(path)
-            fs.move(w.aside, path)
-            rows.append((part, n, path, w.records, w.ids, w.keys[0], w.keys[-1]))
+            rows.append((part, n, w.path, w.records, w.ids, w.keys[0], w.keys[-1]))
 
         for b in batches:
             for doc_id, text in zip(b.column(0), b.column(1)):
                 if w is None:
-                    fs.create_dir(f"{root}/_aside", recursive=True)
-                    aside = f"{root}/_aside/{part}-{n}-{attempt}"
-                    w = ShardWriter(fs.open_output_stream(aside), enc.width)
-                    w.aside = aside
+                    fs.create_dir(root, recursive=True)
+                    path = f"{root}/shard-{part:06d}-{n:04d}-{attempt}.sst"
+                    w = ShardWriter(fs.open_output_stream(path), enc.width, path)
                 w.add(key_of(doc_id.as_py()), enc.encode(text.as_py()))
                 if w.at >= shard_bytes:
                     close()

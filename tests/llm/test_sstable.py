@@ -18,9 +18,7 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 def ids_of(tokenizer, text):
@@ -28,7 +26,7 @@ def ids_of(tokenizer, text):
 
 
 TEXTS = [
-    "a  b", "\n x", "a ", " lead", "don't stop, it's fine's", "x² y² ½", "a\n\nb", "été, naïve… «ok»", "tab\there", "a_b c_d 12a", "<|endoftext|> x",
+    "a  b", "\n x", "a ", " lead", "don't stop, it's fine's", "x² y² ½", "a\n\nb", "été, naïve… «ok»", "tab\there", "a_b c_d 12a", "<|endoftext|> x", "a <|endoftext|> b", "x<|endoftext|>\ny <|endoftext|>", "a <|ENDOFTEXT|> b",
     "e\u0301a b", "日本 語", "😀 👍🏽", "\u00a0x y", "A", "a ?! b", "Ünï\ncode line\nnext", "\x85 x", "a\x1cb c", "ſ K", "o'clock ' s", "x" * 3000, " ", "\n",
 ]
 
@@ -47,7 +45,7 @@ def test_random_texts(tokenizer):
     from hypothesis import strategies as st
 
     enc = sstable.Encoder(PATH)
-    letters = st.sampled_from(list("abE éß'’.,!?-_0129 \n\t\u00a0日²½😀") + [" ", " ", "'s", " the"])
+    letters = st.sampled_from(["<|endoftext|>"] + list("abE éß'’.,!?-_0129 \n\t\u00a0日²½😀") + [" ", " ", "'s", " the"])
 
     @settings(max_examples=400, deadline=None)
     @given(st.lists(letters, max_size=24).map("".join))
@@ -57,11 +55,21 @@ def test_random_texts(tokenizer):
     check()
 
 
+def test_special_strings_have_their_ids(tokenizer):
+    enc = sstable.Encoder(PATH)
+    assert np.frombuffer(enc.encode("a <|endoftext|> b"), "<u2").tolist() == [64, 220, 50256, 275, 2]
+
+
+def test_long_pieces_are_not_kept():
+    enc = sstable.Encoder(PATH)
+    enc.encode("word " + "q7Zx" * 50_000 + " word")
+    assert max(map(len, enc.cache)) <= sstable.CACHE_CHARS + 1
+
+
 def test_another_kind_of_model():
     """A vocabulary that isn't byte-level is encoded whole, piece by piece only where that is the same."""
     path = public_tokenizers.path("word_bpe_49k.json")
     enc, t = sstable.Encoder(path), Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     assert not enc.byte_level
     for text in ("Hello World again", "été naïve"):
         assert np.frombuffer(enc.encode(text), "<u2").tolist() == t.encode(text, add_special_tokens=False).ids + [2]
