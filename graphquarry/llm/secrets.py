@@ -1,10 +1,12 @@
 """Secret scans: stated patterns, and character Markov models for what the patterns miss.
 
-Two models of order ORDER are trained: one of random strings, one of ordinary identifiers. A candidate (a
+Two models of order 2 are trained: one of random strings, one of ordinary identifiers. A candidate (a
 long token of key characters outside all base spans) is a secret if its log-likelihood ratio a
-character is above BAR. The labelled samples: random strings are the values that the base patterns find in a bounded
-sample of documents and generated strings over the usual key alphabets; ordinary ones are the other
-long tokens and the words of the same documents.
+character is above BAR. The labelled samples: random strings are generated over the alphabets and layouts of
+keys, together with the values that the base patterns find in a sample of about TRAIN_DOCS documents; ordinary ones are
+generated names, paths, UUIDs, dates, numbers and rulers, together with all other long tokens of the same documents. What
+documents add weighs DOCS_WEIGHT of what is generated. From the documents the driver gets counts of three
+characters in a row, which the alphabet bounds, whatever the documents hold.
 
 Spans are code points, end exclusive, of the whole match. Defined cases: a null or empty text has none; overlapping spans of
 different base kinds all stay, a model span that meets a base span is not added; repeated rows get equal spans; texts of any
@@ -18,10 +20,10 @@ import re
 import string
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
-from itertools import accumulate, product
-from math import log
+from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,15 +39,33 @@ KINDS = ("assign", "access", "hex", "markov")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 WORD = re.compile(r"[A-Za-z0-9+/_=-]{4,}")
 
-ORDER = 2
-BAR = 0.7
+#: Log-likelihood ratio a character: chosen on generated strings and names of another seed (README has the figures).
+BAR = 0.15
 TRAIN_DOCS = 2000
-TRAIN_TOKENS = 200_000
-GENERATED = 4000
+DOCS_WEIGHT = 0.1
+GENERATED = 6000
 ALPHABET = string.ascii_letters + string.digits + "+/_=-."
 #: So many sightings weigh as much as what the shorter context says.
 LEAN = 4.0
 
+# Common words of names in code and in file paths.
+NAME_WORDS = (
+    "abstract access account action active adapter address admin api app application archive array assets async auth author backend "
+    "backup base batch bean bin block buffer build builder bundle button cache callback category channel check class client cluster code "
+    "collection color column command common component config connection console container content context controller count create current "
+    "custom data database date debug default delete demo deploy detail device dialog dist document domain download driver element email "
+    "enable encoding engine entity entry error event example exception export factory feature field file filter first folder format frame "
+    "function gateway generator global graph group handler header height helper home host icon id image index info init input install "
+    "instance interface internal invalid item iterator java job json key label last layout level lib library limit linux list listener "
+    "loader local locale location lock log login main manager map master max media memory menu message meta method metrics migration min "
+    "model module monitor name network node null number object offset option order output package page parent parser password path pattern "
+    "payment platform plugin pool port process product profile project property protocol provider proxy public python query queue read record "
+    "registry release remote render report request resource response result role root route rule runtime sample schema scope script search "
+    "security select server service session setting singleton site size source stack state status storage store stream string style system table "
+    "target task template test text theme thread time title token tool tracker transaction type unicode unit update upload user util valid value "
+    "vendor version view web widget width window worker write"
+).split()
+
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the base kinds, by start, then kind as listed."""
@@ -58,86 +78,135 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
-class Markov:
-    """P(character | the ORDER before it); a context that was seen little leans on the shorter one, at last on an even chance."""
+#: Places in the tables: 0 is the start of a token.
+PLACE = {c: i + 1 for i, c in enumerate(ALPHABET)}
+SIDE = len(ALPHABET) + 1
+
+
+def codes(token: str) -> list[int]:
+    """For each character, the place of (the two before it, itself) in a table."""
+    x, y, out = 0, 0, []
+    for c in token:
+        z = PLACE[c]
+        out.append((x * SIDE + y) * SIDE + z)
+        x, y = y, z
+    return out
+
 
-    def __init__(self, tokens: Counter):
-        self.counts: dict[str, Counter] = {}
-        for token, n in tokens.items():
-            padded = "^" * ORDER + token
-            for i in range(ORDER, len(padded)):
-                for k in range(ORDER + 1):
-                    self.counts.setdefault(padded[i - k : i], Counter())[padded[i]] += n
-        self.totals = {c: sum(v.values()) for c, v in self.counts.items()}
+def tally(tokens: Iterable[str]) -> np.ndarray:
+    table = np.zeros(SIDE**3)
+    for t in tokens:
+        np.add.at(table, codes(t), 1)
+    return table
 
-    def chance(self, context: str, x: str) -> float:
-        shorter = self.chance(context[1:], x) if context else 1 / len(ALPHABET)
-        seen = self.counts.get(context)
-        return shorter if seen is None else (seen[x] + LEAN * shorter) / (self.totals[context] + LEAN)
 
+def chances(table: np.ndarray) -> np.ndarray:
+    """P(character | the two before it); a context that was seen little leans on the shorter one, at last on an even chance."""
+    seen = table.reshape(SIDE, SIDE, SIDE)
+    p = np.full(SIDE, 1 / len(ALPHABET))
+    for counts in (seen.sum((0, 1)), seen.sum(0), seen):
+        p = (counts + LEAN * p) / (counts.sum(-1, keepdims=True) + LEAN)
+    return p
 
-def log_ratios(random_tokens: Counter, ordinary: Counter) -> dict[str, float]:
-    """context and character -> log P(random) - log P(ordinary), for every context over the alphabet."""
-    r, o = Markov(random_tokens), Markov(ordinary)
-    contexts = ["^" * ORDER, *("^" * (ORDER - k) + "".join(c) for k in range(1, ORDER + 1) for c in product(ALPHABET, repeat=k))]
-    return {c + x: log(r.chance(c, x) / o.chance(c, x)) for c in contexts for x in ALPHABET}
 
+def log_ratios(random_table: np.ndarray, ordinary_table: np.ndarray) -> np.ndarray:
+    """log P(random) - log P(ordinary), by place; rounded, so that the order of sums can't show."""
+    return np.round(np.log(chances(random_table) / chances(ordinary_table)), 5).ravel()
 
-def ratio(token: str, ratios: dict[str, float]) -> float:
-    padded, get = "^" * ORDER + token, ratios.get
-    return sum(get(padded[i - ORDER : i + 1], 0.0) for i in range(ORDER, len(padded))) / len(token)
 
+def ratio(token: str, ratios: np.ndarray) -> float:
+    return float(ratios[codes(token)].sum()) / len(token)
 
-def generated(n: int = GENERATED, seed: int = 5) -> Counter:
-    """Random strings over the alphabets that keys are usually written in."""
+
+def random_strings(n: int = GENERATED, seed: int = 5) -> list[str]:
+    """Keys as they are usually written: over some alphabet, at times behind a short prefix or with padding."""
+    rng = random.Random(seed)
+    base62 = string.ascii_letters + string.digits
+    kinds = [base62, base62 + "+/", base62 + "_-", string.ascii_lowercase + string.digits, string.ascii_uppercase + string.digits, "0123456789abcdef", "0123456789ABCDEF"]
+    out = []
+    for i in range(n):
+        s = "".join(rng.choices(kinds[i % len(kinds)], k=rng.randint(20, 64)))
+        if i % 5 == 0:
+            s = "".join(rng.choices(string.ascii_lowercase, k=rng.randint(2, 4))) + rng.choice("_-") + s
+        elif i % 5 == 1:
+            s += "=" * rng.randint(1, 2)
+        out.append(s)
+    return out
+
+
+def ordinary_names(n: int = GENERATED, seed: int = 6) -> list[str]:
+    """Names, paths, UUIDs, dates, numbers and rulers of 20 characters or more."""
     rng = random.Random(seed)
-    kinds = [string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", "0123456789abcdef", string.ascii_uppercase + string.digits, string.ascii_lowercase + string.digits, string.ascii_letters + string.digits + "_-"]
-    return Counter("".join(rng.choices(kinds[i % len(kinds)], k=rng.randint(20, 64))) for i in range(n))
-
-
-def samples(text: str) -> tuple[Counter, Counter]:
-    """Labelled tokens of one text: values inside base spans, and words outside."""
-    spans, secret, plain = base_spans(text), Counter(), Counter()
-    for m in ASSIGN.finditer(text):
-        if m.end(2) - m.start(2) >= 8:
-            secret[m[2]] += 1
-    for start, end, kind in spans:
-        if kind != "assign":
-            secret[text[start:end]] += 1
-    at = 0
+    number = lambda: str(rng.choice((rng.randint(0, 9), rng.randint(10, 99), rng.randint(1990, 2030), rng.randint(0, 10**6))))
+    words = lambda: [rng.choice(NAME_WORDS) if rng.random() < 0.88 else rng.choice((number(), rng.choice(NAME_WORDS) + number(), "v" + number())) for _ in range(rng.randint(2, 7))]
+    date = lambda sep: sep.join((str(rng.randint(1990, 2030)), f"{rng.randint(1, 12):02d}", f"{rng.randint(1, 28):02d}"))
+    hexes = lambda k: "".join(rng.choices("0123456789abcdef", k=k))
+    kinds = [
+        lambda: "".join(w.capitalize() for w in words()),
+        lambda: (w := "".join(x.capitalize() for x in words()))[0].lower() + w[1:],
+        lambda: "_".join(words()),
+        lambda: "-".join(words()),
+        lambda: "_".join(words()).upper(),
+        lambda: "/" * rng.randint(0, 1) + "/".join(rng.choice(("_", "-", "")).join(words()[:2]) for _ in range(rng.randint(2, 6))),
+        lambda: "/".join(words()),
+        lambda: "-".join(hexes(k) for k in (8, 4, 4, 4, 12)),
+        lambda: "-".join(hexes(k) for k in (8, 4, 4, 4, 12)).upper(),
+        lambda: "_".join((rng.choice(NAME_WORDS).upper(), date(rng.choice(("", "-"))), number() + number())),
+        lambda: "/".join((date("/"), rng.choice(NAME_WORDS), "-".join(words()))),
+        lambda: "".join(rng.choices("0123456789", k=rng.randint(20, 40))),
+        lambda: "-".join(number() for _ in range(8)),
+        lambda: rng.choice("-=_+/") * rng.randint(20, 80),
+        lambda: "".join(rng.choice(("-=", "+-", "=-=", "_/")) * 12),
+        lambda: "=".join(("_".join(words()), number())) + "_" + rng.choice(NAME_WORDS),
+    ]
+    out: list[str] = []
+    while len(out) < n:
+        s = kinds[len(out) % len(kinds)]()
+        while len(s) < 20:
+            s += rng.choice("_-/") + rng.choice(NAME_WORDS)
+        out.append(s)
+    return out
+
+
+def samples(text: str) -> tuple[set[str], set[str]]:
+    """Labelled tokens of one text: values inside base spans, and tokens outside."""
+    spans = base_spans(text)
+    secret = {m[2] for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 8}
+    secret.update(text[start:end] for start, end, kind in spans if kind != "assign")
+    plain, at = set(), 0
     for start, end, _ in [*spans, (len(text), len(text), "")]:
         if start > at:
-            plain.update(m[0] for m in WORD.finditer(text[at:start]) if not any(c.isdigit() for c in m[0]))
+            plain.update(WORD.findall(text, at, start))
         at = max(at, end)
     return secret, plain
 
 
-def train(docs: DataFrame, n_docs: int = TRAIN_DOCS) -> dict[str, float]:
-    """The log ratios, from a sample of about n_docs documents, drawn by a hash of doc_id."""
+def train(docs: DataFrame, n_docs: int = TRAIN_DOCS) -> np.ndarray:
+    """The log ratios, from generated strings and a sample of about n_docs documents, drawn by a hash of doc_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            secret, plain = Counter(), Counter()
+            tables = np.zeros((2, SIDE**3))
             for t in b.column(0):
-                s, p = samples(t.as_py() or "")
-                secret.update(s), plain.update(p)
-            rows = [(k, n, True) for k, n in secret.items()] + [(k, n, False) for k, n in plain.items()]
-            columns = [list(c) for c in zip(*rows)] or [[], [], []]
-            types = [pa.string(), pa.int64(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["token", "n", "secret"])
+                for table, tokens in zip(tables, samples(t.as_py() or "")):
+                    np.add.at(table, [c for x in tokens for c in codes(x)], 1)
+            kind, code = np.nonzero(tables)
+            columns = [pa.array(kind, pa.int32()), pa.array(code, pa.int32()), pa.array(tables[kind, code].astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["kind", "code", "n"])
 
     known = docs.where(F.col("doc_id").isNotNull())
-    chosen = known.where(hash_unit("doc_id") < n_docs / max(1, known.count()))
-    tokens = chosen.select("text").mapInArrow(run, "token string, n long, secret boolean")
-    summed = tokens.groupBy("secret", "token").agg(F.sum("n").alias("n"))
-    most = summed.orderBy(F.desc("n"), "secret", "token").limit(TRAIN_TOKENS)
-    secret, plain = generated(), Counter()
-    for r in most.collect():
-        (secret if r["secret"] else plain)[r["token"]] += r["n"] if r["secret"] else 1
-    return log_ratios(secret, plain)
-
-
-def all_spans(text: str, ratios: dict[str, float], bar: float = BAR) -> tuple[list, list]:
+    chosen = known.where(hash_unit("doc_id") < n_docs / max(1, known.count())).select("text")
+    counts = chosen.mapInArrow(run, "kind int, code int, n long").groupBy("kind", "code").agg(F.sum("n").alias("n"))
+    seen = np.zeros((2, SIDE**3))
+    for r in counts.collect():  # two tables at most: SIDE ** 3 numbers each
+        seen[r["kind"], r["code"]] = r["n"]
+    tables = []
+    for own, made in zip(seen, (tally(random_strings()), tally(ordinary_names()))):
+        tables.append(made + own * (DOCS_WEIGHT * made.sum() / own.sum() if own.sum() else 0))
+    return log_ratios(*tables)
+
+
+def all_spans(text: str, ratios: np.ndarray, bar: float = BAR) -> tuple[list, list]:
     """Base spans, and base and model spans together."""
     base = base_spans(text)
     starts, reach = [s for s, _, _ in base], list(accumulate((e for _, e, _ in base), max))
@@ -156,9 +225,9 @@ def written(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for start, end, kind in spans)
 
 
-def scan(docs: DataFrame, ratios: dict[str, float], bar: float = BAR) -> DataFrame:
+def scan(docs: DataFrame, ratios: np.ndarray, bar: float = BAR) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base (the base spans as text) and spans (all)."""
-    held = docs.sparkSession.sparkContext.broadcast(ratios)  # contexts x alphabet: the same 330,000 numbers for any input
+    held = docs.sparkSession.sparkContext.broadcast(ratios)  # the same 300,000 numbers for any input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
