@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from functools import reduce
 
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,6 +85,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_folder(path: str) -> None:
+    """Deletes an intermediate folder that nothing reads any more."""
+    fs, at = pafs.FileSystem.from_uri(path)
+    if fs.get_file_info(at).type == pafs.FileType.Directory:
+        fs.delete_dir(at)
+
+
 def hash_unit(col: str) -> Column:
     """An even hash of a column in [0, 1): rows below p are a sample of share p, the same in every run."""
     return F.pmod(F.xxhash64(col), F.lit(1 << 30)) / F.lit(float(1 << 30))

@@ -151,10 +151,53 @@ def test_line_dedup(make, edges, nothing):
 
 
 def test_runs_are_compacted_by_level(make):
-    facts, store = linedup.build_runs(make([(i, f"a line that is long enough to count {i % 3}") for i in range(30)]), batches=6, fanout=2)
+    docs = make([(i, f"a line that is long enough to count {i % 3}") for i in range(30)])
+    facts, decided, store = linedup.take_in(docs, batches=6, fanout=2)
     assert [len(x) for x in store.levels] == [0, 1, 1]
-    got = {r.n_docs for r in store.merged().collect()}
-    assert got == {10} and facts.count() == 30
+    state = [r for name in store.runs() for r in store.spark.table(name).collect()]
+    total = Counter()
+    for r in state:
+        total[r.h1] += r.n_docs
+    assert set(total.values()) == {10} and facts.count() == 30
+    assert {r.h1 for r in decided.collect()} == set(total)
+    store.close()
+    assert store.runs() == []
+
+
+def test_runs_are_joined_by_their_order(make):
+    """The runs are neither shuffled nor sorted: the only exchange is that of the batch's own keys."""
+    docs = make([(i, f"a line that is long enough to count {i % 3}\nand one more of these long lines {i}") for i in range(30)])
+    facts, _, store = linedup.take_in(docs, batches=3)
+    with linedup.sorted_buckets(store.spark):
+        plan = store.met(facts)._jdf.queryExecution().executedPlan().toString()
+        both = store._merged(*(2 * store.runs())[:2])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == len(store.runs()) == 2
+    assert plan.count("Exchange hashpartitioning") == 1 and "BroadcastExchange" not in plan
+    assert both.count("SortMergeJoin") == 1 and "Exchange" not in both and " Sort [" not in both
+    store.close()
+
+
+def test_every_batch_order_gives_the_same(make):
+    """Keys that reach three documents early, late, or over many batches; largest holders that come last."""
+    import random
+
+    rng = random.Random(4)
+    rows = [(rng.choice((None, *range(-5, 60))), "\n".join(f"a shared line which is long enough, number {rng.choice((1, 2, 3, rng.randint(4, 40)))}" for _ in range(rng.randint(1, 6)))) for _ in range(120)]
+    want = deduped(rows)
+    for batches in (1, 2, 5, 9):
+        got = linedup.dedup_lines(make(rows), batches=batches).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256)).collect()
+        assert Counter(tuple(r) for r in got) == want
+
+
+def test_documents_of_many_lines(make):
+    """The time must not grow with the square of the lines of a document."""
+    import time
+
+    rows = [(i, "\n".join(f"line {k} is long enough to be counted" for k in range(16_000))) for i in range(3)]
+    began = time.time()
+    got = linedup.dedup_lines(make(rows)).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256)).collect()
+    assert Counter(tuple(r) for r in got) == deduped(rows)
+    assert time.time() - began < 25
 
 
 def test_a_hot_line_takes_the_broadcast_way(make, monkeypatch):
