@@ -92,6 +92,13 @@ def drop_folder(path: str) -> None:
         fs.delete_dir(at)
 
 
+def release(*tables: DataFrame) -> None:
+    """Deletes the files of materialised tables that nothing reads any more."""
+    for df in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            drop_folder(folder)
+
+
 def hash_unit(col: str) -> Column:
     """An even hash of a column in [0, 1): rows below p are a sample of share p, the same in every run."""
     return F.pmod(F.xxhash64(col), F.lit(1 << 30)) / F.lit(float(1 << 30))

@@ -1,18 +1,21 @@
 """SimHash near-dedup with pivot distance tables.
 
 Fingerprints are made from whole texts in Python workers; all else is DataFrame work on distinct
-fingerprints. Links are all pairs that differ in `bits` bits or fewer:
-
-* Two such fingerprints, cut into b blocks, agree on at least b - bits of them, so every link meets in the
-  bucket of some choice of b - bits blocks. b grows with the table, so that chance meetings stay rare.
-* The pivot table holds each fingerprint's Hamming distances to PIVOTS reference fingerprints. By the
-  triangle inequality the distances of linked fingerprints differ by `bits` at most, so a pair with a larger
-  difference at any pivot is discarded before its bits are compared. Alone, pivots pass 46 % of
-  random pairs each, whence the buckets.
-* A bucket with more than LIGHT members isn't paired. Its members reach out to all values at distance 1 and
-  2 over the bits that the bucket leaves open; whoever is within 1 of a value is linked to all who are
-  within 2 of it. Each value links its holders to one of those within 1, so links stay linear in
-  the bucket and the components are exactly those of all pairs.
+fingerprints. Links are all pairs that differ in `bits` bits or fewer; they are found from the pivot table alone.
+
+* The table holds each fingerprint's Hamming distances to many reference fingerprints: to BASES random ones, and
+  to each of these with one of b blocks of bits turned over.
+* The difference between the distances to a base and to its turned companion depends on the bits of that block only. So two
+  fingerprints that differ in 3 bits have equal differences, for all bases, in b - 3 blocks at least. Whoever
+  agrees on the differences of some choice of b - 3 blocks meets in one bucket: no link is lost. b grows
+  with the table, so that chance meetings stay rare.
+* By the triangle inequality the distances of linked fingerprints to any reference differ by `bits` at most: pairs of a bucket
+  with a larger difference in any coordinate are discarded, and the survivors are verified.
+* In a bucket of more than LIGHT members, most of them within a few bits of each other, pairs would be too many. There the
+  reference fingerprints are all values within two bits of a member, over the bits that the bucket leaves open, and the
+  triangle inequality is used from its other side: a member at distance 1 or less and one at distance 2 or less from the same reference are
+  linked. Any two linked ones have such a reference between them; each reference links its members to one of
+  those within 1, so links stay linear in the bucket and the components are exactly those of all pairs.
 
 Exact copies meet in one fingerprint first and are never paired. Defined cases: null, empty and wordless
 texts have fingerprint zero and are linked like any other; a null doc_id ranks above all others (a component of nulls
@@ -31,11 +34,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphquarry.llm.common import join_hot, materialise
+from graphquarry.llm.common import join_hot, materialise, release
 
 SHINGLE = 3
 BITS = 3
-PIVOTS = 16
+BASES = 8
 LIGHT = 64
 
 
@@ -73,39 +76,51 @@ def as_hex(fp: str = "fp") -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def pivot_values(n: int = PIVOTS, seed: int = 2024) -> list[int]:
+def bases(n: int = BASES, seed: int = 2024) -> list[int]:
     return [int(x) for x in np.random.default_rng(seed).integers(-(2**63), 2**63 - 1, n)]
 
 
-def block_masks(n: int, bits: int = BITS) -> list[int]:
-    """The bits of each choice of blocks: finer the more fingerprints there are."""
-    blocks = bits + 2
-    while n * 8 > 2 ** (64 * (blocks - bits) // blocks) and blocks < bits + 6:
-        blocks += 1
-    cuts = [64 * i // blocks for i in range(blocks + 1)]
-    each = [(1 << b) - (1 << a) for a, b in zip(cuts, cuts[1:])]
-    return [sum(chosen) for chosen in combinations(each, blocks - bits)]
+def blocks(n: int, bits: int = BITS) -> list[int]:
+    """The 64 bits cut into blocks, as masks: into more of them the more fingerprints there are."""
+    count = bits + 2
+    while n * 8 > 2 ** (64 * (count - bits) // count) and count < bits + 6:
+        count += 1
+    cuts = [64 * i // count for i in range(count + 1)]
+    return [(1 << b) - (1 << a) for a, b in zip(cuts, cuts[1:])]
 
 
 def signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def pivot_table(reps: DataFrame, n: int = PIVOTS) -> DataFrame:
-    return reps.select("fp", F.array(*[F.bit_count(F.col("fp").bitwiseXOR(F.lit(p))).cast("tinyint") for p in pivot_values(n)]).alias("pivots"))
+def pivot_table(reps: DataFrame, masks: list[int], n: int = BASES) -> DataFrame:
+    """fp with the distances to the bases, then to their companions, block by block."""
+    references = bases(n) + [signed((p ^ m) % (1 << 64)) for m in masks for p in bases(n)]
+    near = [F.bit_count(F.col("fp").bitwiseXOR(F.lit(p))).cast("tinyint") for p in references]
+    return reps.select("fp", F.array(*near).alias("pivots"))
 
 
-def near_pairs(members: DataFrame, bits: int = BITS, pivots: int = PIVOTS) -> DataFrame:
-    """Pairs within small buckets that pass the pivots and then hold: a, b."""
+def bucketed(table: DataFrame, masks: list[int], bits: int = BITS, n: int = BASES) -> DataFrame:
+    """mask (the bits of the chosen blocks), key (of their distance differences), fp, pivots: a row for each choice."""
+    turned = [[F.col("pivots")[i] - F.col("pivots")[n * (j + 1) + i] for i in range(n)] for j in range(len(masks))]
+    choices = [
+        F.struct(F.lit(signed(sum(masks[j] for j in chosen))).alias("mask"), F.xxhash64(*[x for j in chosen for x in turned[j]]).alias("key"))
+        for chosen in combinations(range(len(masks)), len(masks) - bits)
+    ]
+    return table.select("fp", "pivots", F.explode(F.array(*choices)).alias("k")).select("k.*", "fp", "pivots")
+
+
+def near_pairs(members: DataFrame, bits: int = BITS) -> DataFrame:
+    """Pairs within small buckets whose pivot coordinates differ little, verified: a, b."""
     left = members.select("mask", "key", F.col("fp").alias("a"), F.col("pivots").alias("pa"))
     right = members.select("mask", "key", F.col("fp").alias("b"), F.col("pivots").alias("pb"))
-    gap = F.greatest(*[F.abs(F.col("pa")[i] - F.col("pb")[i]) for i in range(pivots)]) <= bits
+    gap = F.array_max(F.zip_with("pa", "pb", lambda x, y: F.abs(x - y))) <= bits
     close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits
     return left.join(right, ["mask", "key"]).where((F.col("a") < F.col("b")) & gap & close).select("a", "b")
 
 
 def ball_links(members: DataFrame) -> DataFrame:
-    """Links within large buckets, without pairing their members: a, b. For three bits."""
+    """Links within large buckets through references near their members: a, b. For three bits."""
     open_bits = F.filter(
         F.array(*[F.lit(signed(1 << i)) for i in range(64)]), lambda x: x.bitwiseAND(F.col("mask")) == 0
     )
@@ -134,12 +149,14 @@ def links(reps: DataFrame, n: int, bits: int = BITS, light: int = LIGHT) -> Data
     """Links between distinct fingerprints, enough of them for the components of all: a, b."""
     if bits != BITS:
         raise ValueError("large buckets are linked for three bits")
-    keys = F.array(*[F.struct(F.lit(signed(m)).alias("mask"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key")) for m in block_masks(n, bits)])
-    met = pivot_table(reps).select("fp", "pivots", F.explode(keys).alias("k")).select("k.*", "fp", "pivots")
+    masks = blocks(n, bits)
+    met = bucketed(pivot_table(reps, masks), masks, bits)
     sizes = met.groupBy("mask", "key").agg(F.count("*").alias("size")).where("size > 1")
     crowded = materialise(met.join(sizes, ["mask", "key"]), "simhash-buckets")
     pairs = near_pairs(crowded.where(F.col("size") <= light).drop("size"), bits)
-    return materialise(pairs.union(ball_links(crowded.where(F.col("size") > light))).distinct(), "simhash-links")
+    found = materialise(pairs.union(ball_links(crowded.where(F.col("size") > light))).distinct(), "simhash-links")
+    release(crowded)
+    return found
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -155,7 +172,8 @@ def connected(edges: DataFrame) -> DataFrame:
         low = pairs.groupBy("node").agg(F.least(F.min("peer"), F.col("node")).alias("low"), F.count("*").alias("n"))
         return join_hot(pairs, low, ["node"], "n", pairs.count(), "inner")
 
-    now, before = edges.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("peer")).where("node <> peer").distinct(), None
+    now = materialise(edges.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("peer")).where("node <> peer").distinct(), "cc-edges")
+    before = None
     while True:
         both = materialise(now.union(now.select(F.col("peer").alias("node"), F.col("node").alias("peer"))), "cc-both")
         large = hop(both).where("peer > node").select(F.col("peer").alias("node"), F.col("low").alias("peer"))
@@ -163,7 +181,8 @@ def connected(edges: DataFrame) -> DataFrame:
         star = hop(mid)
         small = star.where("peer <> low").select(F.col("peer").alias("node"), F.col("low").alias("peer"))
         small = small.union(star.where("node <> low").select("node", F.col("low").alias("peer")))
-        now = materialise(small.distinct(), "cc-small")
+        last, now = now, materialise(small.distinct(), "cc-small")
+        release(both, mid, last)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("node", "peer").cast("decimal(38,0)"))).first()
         if tuple(state) == before:
             break

@@ -88,14 +88,38 @@ def test_links_keep_the_components(spark, light):
     assert len(set(zip(label, groups))) == len(set(label)) == len(set(groups))
 
 
-def test_masks_leave_no_pair_out():
+def coordinates(x, masks):
+    references = [p % 2**64 for p in simhash.bases()]
+    references += [p ^ m for m in masks for p in references[: simhash.BASES]]
+    return [(x ^ p).bit_count() for p in references]
+
+
+def test_pivots_bring_all_links_together(spark):
+    """Each link shares a bucket that the distances alone define, and no coordinate of it differs by more than three."""
+    rng = random.Random(7)
     for n in (10, 10**7, 10**9):
-        masks = simhash.block_masks(n)
-        rng = random.Random(n)
-        for _ in range(300):
-            flips = sum(1 << b for b in rng.sample(range(64), 3))
-            assert any(m & flips == 0 for m in masks)
-    assert len(simhash.block_masks(10**9)) > len(simhash.block_masks(10))
+        masks = simhash.blocks(n)
+        assert sum(masks) == 2**64 - 1
+        pairs = [(x := rng.getrandbits(64), x ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 3)))) for _ in range(60)]
+        reps = spark.createDataFrame([(simhash.signed(x),) for pair in pairs for x in pair], "fp long")
+        keys, pivots = {}, {}
+        for r in simhash.bucketed(simhash.pivot_table(reps, masks), masks).collect():
+            keys.setdefault(r.fp % 2**64, set()).add((r.mask, r.key))
+            pivots[r.fp % 2**64] = r.pivots
+        for a, b in pairs:
+            assert keys[a] & keys[b]
+            assert pivots[a] == coordinates(a, masks) and max(abs(x - y) for x, y in zip(pivots[a], pivots[b])) <= 3
+    assert len(simhash.blocks(10**9)) > len(simhash.blocks(10))
+
+
+def test_without_the_distances_there_are_no_candidates(spark):
+    """Fingerprints whose pivot coordinates are made unlike meet nobody."""
+    masks = simhash.blocks(10)
+    reps = spark.createDataFrame([(5,), (7,)], "fp long")
+    table = simhash.pivot_table(reps, masks)
+    shifted = table.withColumn("pivots", F.transform("pivots", lambda x, i: F.when(i < simhash.BASES, x + F.col("fp").cast("tinyint")).otherwise(x)))
+    meets = lambda t: simhash.bucketed(t, masks).groupBy("mask", "key").count().where("count > 1").count()
+    assert meets(table) > 0 == meets(shifted)
 
 
 def test_long_chain_and_star(spark):
@@ -115,16 +139,6 @@ def test_odd_tables(edges, nothing):
     assert simhash.components(nothing).count() == 0 and simhash.near_dedup(nothing).count() == 0
 
 
-def test_the_pivots_discard_no_link():
-    import numpy as np
-
-    rng = np.random.default_rng(1)
-    for _ in range(500):
-        a = int(rng.integers(0, 2**63))
-        b = a ^ sum(1 << int(k) for k in rng.choice(64, 3, replace=False))
-        assert all(abs((a ^ p % 2**64).bit_count() - (b ^ p % 2**64).bit_count()) <= 3 for p in simhash.pivot_values())
-
-
 def test_exact_copies_meet_in_one_fingerprint(make):
     docs = make([(i, "the same text for all of these documents, word for word") for i in range(40, 0, -1)])
     assert simhash.components(docs).select(F.min("component_id"), F.max("component_id")).first() == (1, 1)
