@@ -78,6 +78,32 @@ def test_a_large_group_meets_at_its_original(make):
     assert set(brute_groups(texts)) == {0} == {r.component_id for r in got}
 
 
+def test_links_that_no_hub_holds_are_found(make):
+    """A chain of edits and several families in the same crowded buckets: exact groups, whatever the hub."""
+    rng = random.Random(9)
+    shared = [f"s{i}" for i in range(200)]
+    texts = []
+    for f in range(6):  # families around a passage that all share: close to each other, but below 0.8
+        words = shared + [f"f{f}w{i}" for i in range(40)]
+        for _ in range(12):
+            texts.append(edited(rng, words, 0.8, 0.9))
+    for _ in range(15):  # each an edit of the one before
+        shared = edited(rng, shared, 0.84, 0.86).split()
+        texts.append(" ".join(shared))
+    rng.shuffle(texts)
+    want = brute_groups(texts)
+    got = {r.doc_id: r.component_id for r in neardup.components(make(list(enumerate(texts))), light=4).collect()}
+    assert [got[i] for i in range(len(texts))] == want and len(set(want)) > 3
+
+
+def test_the_fingerprint_is_that_of_the_operator(spark):
+    import xxhash
+
+    text = " ".join(f"w{i}" for i in range(40))
+    key, hashes = neardup.shingle_hashes(text)
+    assert neardup.majority(hashes) == simhash.fingerprint(text, shingle=5) and key != 0
+
+
 def test_odd_tables(edges, nothing):
     got = {r.doc_id: r.component_id for r in neardup.components(edges).where("doc_id IS NOT NULL").collect()}
     assert got[6] == 1 and got[2] == got[3] == got[4] == 2 and got[5] == 5
