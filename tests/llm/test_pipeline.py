@@ -8,8 +8,8 @@ import public_tokenizers
 import pytest
 from conftest import CLASHES
 from test_decontaminate import brute as brute_hits
+from test_neardup import brute_groups
 from test_rules import measured
-from test_simhash import brute_components, brute_fingerprint
 from tokenizers import Tokenizer
 
 import __spark_entry__
@@ -47,7 +47,7 @@ def test_stages(spark, steps):
     assert ids(steps[0]) == Counter(r.doc_id for r in quality.judge(docs).where("kept").collect())
 
     rows = sorted(steps[0].collect(), key=lambda r: r.doc_id)
-    roots = brute_components([brute_fingerprint(r.text) for r in rows])
+    roots = brute_groups([r.text for r in rows])
     assert ids(steps[1]) == Counter(rows[i].doc_id for i in set(roots))
 
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
