@@ -20,6 +20,8 @@ import random
 import re
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import numpy as np
@@ -47,161 +49,210 @@ WORD_BUCKETS = 32
 SHAPE = 8
 INPUT = PATH_BUCKETS + WORD_BUCKETS + SHAPE
 HIDDEN_UNITS = 16
-WORDS_READ = 16
 PAGES = 600
-EPOCHS = 14
-SEED = 3
+EPOCHS = 18
+SEED = 4
+#: Words whose buckets a worker remembers; blocks that are read at a time, in one page or several.
+KNOWN_WORDS = 200_000
+BLOCKS_AT_ONCE = 4_096
+CHARS_AT_ONCE = 4_000_000
 SPACE = re.compile(r"\s+")
 
 
+def bucket(word: str, n: int, salt: int) -> tuple[int, float]:
+    h = zlib.crc32(word.encode("utf-8", "surrogatepass"), salt)
+    return h % n, 1.0 if h >> 31 else -1.0
+
+
+class Hashed:
+    """Buckets of words; those seen first, which the frequent ones are, are remembered up to a bound."""
+
+    def __init__(self, n: int, salt: int):
+        self.n, self.salt, self.known = n, salt, {}
+
+    def __call__(self, word: str) -> tuple[int, float]:
+        got = self.known.get(word)
+        if got is None:
+            got = bucket(word, self.n, self.salt)
+            if len(self.known) < KNOWN_WORDS and len(word) <= 32:
+                self.known[word] = got
+        return got
+
+
+@dataclass
+class Element:
+    """An open element: its place among the open ones, and the path buckets of its tag, classes and ids."""
+
+    tag: str
+    place: int
+    marks: list[tuple[int, float]]
+    open: bool = True
+
+
 class Blocks(HTMLParser):
-    """Leaf blocks of a page: (tag path, text, characters inside links)."""
+    """Leaf blocks of a page: (path vector, text, characters inside links).
+
+    The path vector sums the hashed tags, classes and ids of all open elements that aren't inline; it is kept up to date as
+    elements open and close. Elements are looked up by tag and by kind, and one that is closed out of turn is only marked, so a
+    page of very many open tags takes no longer for each further one.
+    """
 
-    def __init__(self):
+    def __init__(self, hashed: Hashed):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, tuple[str, ...]]] = []
-        self.hidden = 0
+        self.hashed = hashed
+        self.open: list[Element] = []
+        self.by_tag: dict[str, list[Element]] = {}
+        #: Open elements by kind: hidden ones; hidden controls; blocks (not inline); all but inline ones and controls.
+        self.hidden: list[Element] = []
+        self.controls: list[Element] = []
+        self.blocks: list[Element] = []
+        self.others: list[Element] = []
+        self.path = np.zeros(PATH_BUCKETS, np.float32)
         self.ahead: dict[str, list[str]] = {}
-        self.found: list[tuple[tuple[str, ...], str, int]] = []
+        self.ends_ahead: dict[str, int] = {}
+        self.found: list[tuple[np.ndarray, str, int]] = []
         self.parts: list[str] = []
-        self.linked = self.links = 0
-
-    def path(self) -> tuple[str, ...]:
-        return tuple(m for tag, marks in self.open if tag not in INLINE for m in marks)
+        self.linked = 0
+
+    def kinds(self, tag: str) -> list[list[Element]]:
+        out = [self.by_tag.setdefault(tag, [])]
+        if tag in HIDDEN:
+            out.append(self.hidden)
+        if tag in CONTROLS:
+            out.append(self.controls)
+        if tag not in INLINE:
+            out.append(self.blocks)
+            if tag not in CONTROLS:
+                out.append(self.others)
+        return out
+
+    def push(self, tag: str, marks: list[tuple[int, float]]) -> None:
+        e = Element(tag, len(self.open), marks)
+        self.open.append(e)
+        for kind in self.kinds(tag):
+            kind.append(e)
+        for k, sign in marks:
+            self.path[k] += sign
+
+    def shut(self, e: Element) -> None:
+        """Marks one element as closed; the lists lose it as soon as it is their last."""
+        e.open = False
+        for k, sign in e.marks:
+            self.path[k] -= sign
+        for kind in [self.open, *self.kinds(e.tag)]:
+            while kind and not kind[-1].open:
+                kind.pop()
+
+    def pop(self, first: Element) -> None:
+        """Closes an element and all that were opened after it."""
+        while self.open and self.open[-1].place >= first.place:
+            self.shut(self.open[-1])
 
     def end_block(self) -> None:
         if self.parts:
             text = SPACE.sub(" ", "".join(self.parts)).strip()
             if text:
-                self.found.append((self.path(), text, self.linked))
+                self.found.append((self.path.copy(), text, self.linked))
             self.parts, self.linked = [], 0
 
     def feed(self, data):
         for slash, tag in CONTROL_TAGS.findall(data):
             self.ahead.setdefault(tag.lower(), []).append(slash)
-        for tags in self.ahead.values():
+        for tag, tags in self.ahead.items():
             tags.reverse()
+            self.ends_ahead[tag] = tags.count("/")
         super().feed(data)
 
-    def _pass(self, tag: str) -> None:
+    def passed(self, tag: str) -> None:
         if self.ahead.get(tag):
-            self.ahead[tag].pop()
+            self.ends_ahead[tag] -= self.ahead[tag].pop() == "/"
 
-    def _ends(self, tag: str) -> bool:
+    def ends(self, tag: str) -> bool:
         """Whether the next tag of this name is an end tag (of objects, which nest, whether any is)."""
-        left = self.ahead.get(tag) or [""]
-        return "/" in left if tag == "object" else left[-1] == "/"
-
-    def _end_hidden(self, tag: str) -> None:
-        """Takes an open head, or controls left open, off the stack where tag shows that they are over."""
-        open_ = [t for t, _ in self.open]
-        if "head" in open_ and tag not in IN_HEAD:
-            at = open_.index("head")
-            if all(t not in HIDDEN for t in open_[at + 1 :]):  # not inside a noscript or template of the head
-                self._pop(at)
+        return self.ends_ahead.get(tag, 0) > 0 if tag == "object" else bool(self.ahead.get(tag)) and self.ahead[tag][-1] == "/"
+
+    def end_hidden(self, tag: str) -> None:
+        """Closes an open head, or controls left open, where tag shows that they are over."""
+        head = self.by_tag.get("head")
+        if head and tag not in IN_HEAD:
+            if self.hidden[-1] is head[-1]:  # not inside a noscript or template of the head
+                self.pop(head[-1])
         elif tag in ENDS_P or tag in ("body", "li", "tr", "td", "th"):
-            at = len(self.open)
-            while at and (self.open[at - 1][0] in CONTROLS or self.open[at - 1][0] in INLINE):
-                at -= 1
+            after = self.others[-1].place if self.others else -1
             # One whose end tag still comes holds this block, as fallback content say.
-            first = next((i for i in range(at, len(self.open)) if self.open[i][0] in CONTROLS and not self._ends(self.open[i][0])), None)
-            if first is not None:
-                self._pop(first)
+            while self.controls and self.controls[-1].place > after and not self.ends(self.controls[-1].tag):
+                self.pop(self.controls[-1])
 
     def handle_starttag(self, tag, attrs):
-        self._pass(tag)
+        self.passed(tag)
         if self.hidden and tag != "head":
-            self._end_hidden(tag)
+            self.end_hidden(tag)
         if tag in VOID:
             if tag == "br" and not self.hidden:
                 self.parts.append(" ")
             elif tag not in INLINE:
                 self.end_block()
             return
-        if tag not in INLINE:
-            self.end_block()
-        if tag in ENDS_P:
-            self._close_p()
+        if tag in INLINE:
+            self.push(tag, [])
+            return
+        self.end_block()
+        if tag in ENDS_P and self.blocks and self.blocks[-1].tag == "p":
+            self.pop(self.blocks[-1])
         marks = [tag]
         for name, value in attrs:
             if name in ("class", "id", "role") and value:
-                marks += [f"{tag}.{w}" for w in value.lower().split()] + [f".{w}" for v in value.lower().split() for w in re.split(r"[^a-z]+", v) if w]
-        self.open.append((tag, tuple(marks)))
-        self.hidden += tag in HIDDEN
-        self.links += tag == "a"
-
-    def _close_p(self) -> None:
-        for i in range(len(self.open) - 1, -1, -1):
-            tag = self.open[i][0]
-            if tag == "p":
-                self._pop(i)
-                return
-            if tag not in INLINE:
-                return
-
-    def _pop(self, at: int) -> None:
-        for tag, _ in self.open[at:]:
-            self.hidden -= tag in HIDDEN
-            self.links -= tag == "a"
-        del self.open[at:]
+                words = value.lower().split()
+                marks += [f"{tag}.{w}" for w in words] + [f".{w}" for v in words for w in re.split(r"[^a-z]+", v) if w]
+        self.push(tag, [self.hashed(m) for m in marks])
 
     def handle_startendtag(self, tag, attrs):
-        if tag in VOID:
-            self.handle_starttag(tag, attrs)
-        else:
-            self.handle_starttag(tag, attrs)
+        self.handle_starttag(tag, attrs)
+        if tag not in VOID:
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        self._pass(tag)
-        if tag in VOID:
+        self.passed(tag)
+        own = self.by_tag.get(tag)
+        if tag in VOID or not own:
             return
-        at = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] == tag), None)
-        if at is None:
-            return
-        if any(t not in INLINE for t, _ in self.open[at:]):
+        if self.blocks and self.blocks[-1].place >= own[-1].place:
             if tag in INLINE:  # an inline end tag doesn't close blocks that it never opened
-                del self.open[at]
-                self.links -= tag == "a"
+                self.shut(own[-1])
                 return
             self.end_block()
-        self._pop(at)
+        self.pop(own[-1])
 
     def handle_data(self, data):
         if not self.hidden:
             self.parts.append(data)
-            if self.links:
+            if self.by_tag.get("a"):
                 self.linked += len(data)
 
 
-def leaf_blocks(html: str | None) -> list[tuple[tuple[str, ...], str, int]]:
+def leaf_blocks(html: str | None, hashed: Hashed | None = None) -> list[tuple[np.ndarray, str, int]]:
     if not html:
         return []
-    p = Blocks()
+    p = Blocks(hashed or Hashed(PATH_BUCKETS, 1))
     p.feed(html)
     p.close()
     p.end_block()
     return p.found
 
 
-def bucket(word: str, n: int, salt: int) -> tuple[int, float]:
-    h = zlib.crc32(word.encode("utf-8", "surrogatepass"), salt)
-    return h % n, 1.0 if h >> 31 else -1.0
-
-
-def features(blocks: list[tuple[tuple[str, ...], str, int]]) -> np.ndarray:
-    x = np.zeros((len(blocks), INPUT), np.float32)
+def features(blocks: list[tuple[np.ndarray, str, int]], hashed: Hashed | None = None, first: int = 0, last: int | None = None) -> np.ndarray:
+    """A row for each of the blocks from first to last; shares and places are those in the whole page."""
+    word_bucket = hashed or Hashed(WORD_BUCKETS, 2)
+    own = blocks[first:last]
+    x = np.zeros((len(own), INPUT), np.float32)
     total = sum(len(t) for _, t, _ in blocks) or 1
-    for i, (path, text, linked) in enumerate(blocks):
-        for mark in path:
-            k, sign = bucket(mark, PATH_BUCKETS, 1)
-            x[i, k] += sign
+    at = PATH_BUCKETS + WORD_BUCKETS
+    for i, (path, text, linked) in enumerate(own):
         words = text.split(" ")
-        some = words[:WORDS_READ] if len(words) <= WORDS_READ else words[: WORDS_READ // 2] + words[-WORDS_READ // 2 :]
-        for w in some:
-            k, sign = bucket(w.lower(), WORD_BUCKETS, 2)
-            x[i, PATH_BUCKETS + k] += sign / len(some)
-        n, at = len(words), PATH_BUCKETS + WORD_BUCKETS
+        n = len(words)
+        got = [word_bucket(w) for w in text.lower().split(" ")]
+        x[i, :PATH_BUCKETS] = path
+        x[i, PATH_BUCKETS:at] = np.bincount([k for k, _ in got], [sign for _, sign in got], WORD_BUCKETS) / n
         x[i, at : at + SHAPE] = (
             np.log1p(n) / 6,
             linked / len(text),
@@ -210,7 +261,7 @@ def features(blocks: list[tuple[tuple[str, ...], str, int]]) -> np.ndarray:
             float(n <= 4),
             float(text[-1] in ".!?…\"'"),
             sum(text.count(c) for c in "©|»·•") / n,
-            i / len(blocks),
+            (first + i) / len(blocks),
         )
     return x
 
@@ -228,11 +279,15 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 def run_lstm(p: dict, x: np.ndarray, mask: np.ndarray, keep: bool = False):
     """Hidden states of sequences x (time, batch, inputs); padded steps carry the state on."""
-    steps, batch, _ = x.shape
+    return run_steps(p, x @ p["w"] + p["b"], mask, keep)
+
+
+def run_steps(p: dict, pre: np.ndarray, mask: np.ndarray, keep: bool = False):
+    """The same from the inputs' share of the gates (time, batch, 4 * units)."""
+    steps, batch, _ = pre.shape
     units = p["u"].shape[0]
     h, c = np.zeros((batch, units), np.float32), np.zeros((batch, units), np.float32)
     out, trace = np.empty((steps, batch, units), np.float32), []
-    pre = x @ p["w"] + p["b"]
     for t in range(steps):
         z = pre[t] + h @ p["u"]
         i, f, o = (sigmoid(z[:, k * units : (k + 1) * units]) for k in range(3))
@@ -293,7 +348,8 @@ def train(pages: list[tuple[str, list[bool]]], epochs: int = EPOCHS, seed: int =
     data = [(features(leaf_blocks(html)), np.array(y, np.float32)) for html, y in pages]
     moments = {(a, b): [np.zeros_like(v), np.zeros_like(v)] for a, part in model.items() for b, v in part.items()}
     step = 0
-    for _ in range(epochs):
+    for epoch in range(epochs):
+        rate = 0.012 * (1 - epoch / epochs)
         order = rng.permutation(len(data))
         for lo in range(0, len(order), 16):
             own = [data[k] for k in order[lo : lo + 16]]
@@ -315,7 +371,7 @@ def train(pages: list[tuple[str, list[bool]]], epochs: int = EPOCHS, seed: int =
                 g = grads[a][b]
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
-                model[a][b] -= 0.01 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+                model[a][b] -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return model
 
 
@@ -334,7 +390,7 @@ def synthetic(n: int = PAGES, seed: int = SEED) -> list[tuple[str, list[bool]]]:
         if rng.random() < 0.85:
             parts.append(f"<h1>{line(2, 10)}</h1>")
             count += 1
-        for _ in range(rng.randint(1, 14)):
+        for _ in range(rng.randint(1, pick((2, 8, 14, 20)))):
             kind = rng.random()
             if rng.random() < odd:  # poor prose is prose: one word again and again, or a few words
                 parts.append(f"<p>{' '.join([word()] * rng.randint(1, 40)) if rng.random() < 0.5 else line(1, 4)}</p>")
@@ -375,7 +431,8 @@ def synthetic(n: int = PAGES, seed: int = SEED) -> list[tuple[str, list[bool]]]:
         return pick(("<header><div>{}</div><p>{}</p></header>", '<div class="header"><div class="logo">{}</div><p>{}</p></div>', '<div id="masthead"><h2>{}</h2><p>{}</p></div>')).format(line(1, 3), line(2, 8)), 2
 
     def footer() -> tuple[str, int]:
-        inner = pick(("&copy; {} &middot; {}", "{} | {}", "Copyright {} {}")).format(word(), sentence())
+        site = pick((word(), f"{word()}.{word()}.com", f"www.{word()}.org", f"{word()} {word()}"))
+        inner = pick(("&copy; {} &middot; {}", "&copy; {} {}", "{} | {}", "Copyright {} {}")).format(site, " ".join(sentence() for _ in range(rng.randint(1, 3))))
         return pick(("<footer>{}</footer>", '<div class="footer">{}</div>', '<div id="footer"><p>{}</p></div>', "<footer><p>{}</p></footer>")).format(inner), 1
 
     def ad() -> tuple[str, int]:
@@ -394,22 +451,50 @@ def synthetic(n: int = PAGES, seed: int = SEED) -> list[tuple[str, list[bool]]]:
 
     def comments() -> tuple[str, int]:
         k = rng.randint(1, 5)
-        one = pick(('<div class="comment"><p>{}</p></div>', "<li><p>{}</p></li>", '<article class="comment"><p>{}</p></article>'))
-        items = "".join(one.format(" ".join(sentence() for _ in range(rng.randint(1, 4)))) for _ in range(k))
-        return pick(('<section class="comments"><h3>{}</h3>{}</section>', '<div id="comments"><h3>{}</h3>{}</div>', '<div class="comment-list"><h2>{}</h2>{}</div>', '<div class="responses comments"><h4>{}</h4>{}</div>')).format(line(1, 3), items), k + 1
+        told = lambda: " ".join(sentence() for _ in range(rng.randint(1, 4)))
+        if rng.random() < 0.35:  # a list of them, at times without a heading
+            name = pick(("comments", "comment-list", "commentlist", "comments-list", "responses"))
+            one = pick(("<li>{}</li>", "<li><p>{}</p></li>", '<li class="comment">{}</li>', '<li class="comment"><div>{}</div></li>'))
+            tag, head = pick(("ul", "ol")), pick((f"<h3>{line(1, 3)}</h3>", ""))
+            mark = pick((f'class="{name}"', f'id="{name}"'))
+            return f"{head}<{tag} {mark}>{''.join(one.format(told()) for _ in range(k))}</{tag}>", k + bool(head)
+        one = pick(('<div class="comment"><p>{}</p></div>', "<li><p>{}</p></li>", '<article class="comment"><p>{}</p></article>', '<div class="comment">{}</div>'))
+        items = "".join(one.format(told()) for _ in range(k))
+        return pick(('<section class="comments"><h3>{}</h3>{}</section>', '<div id="comments"><h3>{}</h3>{}</div>', '<div class="comment-list"><h2>{}</h2>{}</div>', '<div class="responses comments"><h4>{}</h4>{}</div>', '<section id="reader-comments"><h3>{}</h3>{}</section>')).format(line(1, 3), items), k + 1
+
+    def cells() -> tuple[str, int]:
+        """A menu in the cells of a table."""
+        k = rng.randint(2, 6)
+        if rng.random() < 0.5:
+            return f"<table><tr>{''.join(f'<td><a href=/m>{line(1, 2)}</a></td>' for _ in range(k))}</tr></table>", k
+        return f"<table>{''.join(f'<tr><td><a href=/m>{line(1, 2)}</a></td></tr>' for _ in range(k))}</table>", k
+
+    def column() -> tuple[str, int]:
+        """A menu as one column of a page laid out as a table."""
+        if rng.random() < 0.5:
+            k = rng.randint(2, 8)
+            return f"<td{pick(('', ' class=menu', ' class=left', ' id=nav'))}>{pick(('<br>', ' ', ' | ')).join(f'<a href=/m>{line(1, 2)}</a>' for _ in range(k))}</td>", 1
+        html, k = pick((menu, cells))()
+        return f"<td>{html}</td>", k
 
     out = []
     while len(out) < n:
         style[0] = pick(("",) * 6 + ("***", " |", " &middot;", "&amp;&amp;", "!!", " 2024", " &raquo;"))
         before = [f() for f in (header, menu, notice, ad, sidebar) if rng.random() < 0.45]
+        if rng.random() < 0.12:
+            before.append(cells())
         after = [f() for f in (ad, sidebar, comments, form, menu, notice, footer) if rng.random() < 0.45]
         body, count = article()
         if rng.random() < 0.3:  # an advert or a list of related pages inside the article
-            inner, k = pick((ad, sidebar, notice))()
+            inner, k = pick((ad, sidebar, notice, comments, comments))()
             cut = body.rfind("</")
             body, tail, inside = body[:cut] + inner + body[cut:], [False] * k, True
         else:
             tail, inside = [], False
+        if rng.random() < 0.12:  # a page laid out as a table
+            left, k = column()
+            before.append(("", k))
+            body = f"<table><tr>{left}<td>{body}</td></tr></table>"
         labels = [False for _, k in before for _ in range(k)] + [True] * count + (tail if inside else [])
         labels += [False for _, k in after for _ in range(k)]
         html = f"<html><head><title>{line(2, 6)}</title></head><body>{''.join(h for h, _ in before)}{body}{''.join(h for h, _ in after)}</body></html>"
@@ -418,37 +503,76 @@ def synthetic(n: int = PAGES, seed: int = SEED) -> list[tuple[str, list[bool]]]:
     return out
 
 
-def label(model: dict, pages: list[list]) -> list[np.ndarray]:
-    """Content or not for the blocks of each page; pages of like length run through the network together."""
+def odds_of(model: dict, pages: list[list], hashed: Hashed) -> np.ndarray:
+    """Log odds of content (time, batch). The features of a long page are made and projected in pieces."""
+    steps, names = max(map(len, pages)), ("ahead", "behind")
+    pre = {k: np.zeros((steps, len(pages), 4 * HIDDEN_UNITS), np.float32) for k in names}
+    mask = np.zeros((steps, len(pages)), np.float32)
+    for j, blocks in enumerate(pages):
+        mask[: len(blocks), j] = 1
+        for lo in range(0, len(blocks), BLOCKS_AT_ONCE):
+            x = features(blocks, hashed, lo, lo + BLOCKS_AT_ONCE)
+            for k in names:
+                pre[k][lo : lo + len(x), j] = x @ model[k]["w"] + model[k]["b"]
+    n, w = HIDDEN_UNITS, model["out"]["w"]
+    ahead = run_steps(model["ahead"], pre["ahead"], mask)[0] @ w[:n]
+    behind = run_steps(model["behind"], pre["behind"][::-1], mask[::-1])[0] @ w[n:]
+    return ahead + behind[::-1] + model["out"]["b"]
+
+
+def label(model: dict, pages: list[list], hashed: Hashed | None = None) -> list[np.ndarray]:
+    """Content or not for the blocks of each page; pages of like length run through the network together,
+    BLOCKS_AT_ONCE blocks of them or a single page."""
+    hashed = hashed or Hashed(WORD_BUCKETS, 2)
     out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
     order = sorted((i for i, p in enumerate(pages) if p), key=lambda i: len(pages[i]))
     lo = 0
     while lo < len(order):
         hi = lo + 1
-        while hi < len(order) and hi - lo < 64 and len(pages[order[hi]]) <= 1.25 * len(pages[order[lo]]) + 2:
+        while hi < len(order) and (hi + 1 - lo) * len(pages[order[hi]]) <= BLOCKS_AT_ONCE and len(pages[order[hi]]) <= 1.25 * len(pages[order[lo]]) + 2:
             hi += 1
-        x, mask = pad([features(pages[i]) for i in order[lo:hi]])
-        odds = forward(model, x, mask)[0]
+        odds = odds_of(model, [pages[i] for i in order[lo:hi]], hashed)
         for k, i in enumerate(order[lo:hi]):
             out[i] = odds[: len(pages[i]), k] > 0
         lo = hi
     return out
 
 
-def texts(model: dict, htmls: list[str | None]) -> list[str]:
-    pages = [leaf_blocks(h) for h in htmls]
-    return ["\n\n".join(t for (_, t, _), keep in zip(p, kept) if keep) for p, kept in zip(pages, label(model, pages))]
+def texts(model: dict, htmls: list[str | None], hashed: tuple[Hashed, Hashed] | None = None) -> list[str]:
+    of_paths, of_words = hashed or (Hashed(PATH_BUCKETS, 1), Hashed(WORD_BUCKETS, 2))
+    pages = [leaf_blocks(h, of_paths) for h in htmls]
+    return ["\n\n".join(t for (_, t, _), keep in zip(p, kept) if keep) for p, kept in zip(pages, label(model, pages, of_words))]
+
+
+def portions(htmls: list[str | None]) -> Iterator[list[str | None]]:
+    """Some pages at a time, of CHARS_AT_ONCE characters or a single one."""
+    out, size = [], 0
+    for h in htmls:
+        if out and (size + len(h or "") > CHARS_AT_ONCE or len(out) == 256):
+            yield out
+            out, size = [], 0
+        out.append(h)
+        size += len(h or "")
+    if out:
+        yield out
+
+
+@lru_cache(maxsize=1)
+def trained() -> dict:
+    """The labeller of the synthetic pages; trained once in a driver's life."""
+    return train(synthetic())
 
 
 def extract(pages: DataFrame, model: dict | None = None) -> DataFrame:
     """page_id, url, text, n_chars."""
-    held = pages.sparkSession.sparkContext.broadcast(model or train(synthetic()))  # tens of thousands of numbers
+    held = pages.sparkSession.sparkContext.broadcast(model or trained())  # tens of thousands of numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashed = Hashed(PATH_BUCKETS, 1), Hashed(WORD_BUCKETS, 2)
         for b in batches:
             out: list[str] = []
-            for lo in range(0, b.num_rows, 256):
-                out += texts(held.value, b.column(2).slice(lo, 256).to_pylist())
+            for own in portions(b.column(2).to_pylist()):
+                out += texts(held.value, own, hashed)
             columns = [b.column(0), b.column(1), pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text", "n_chars"])
 

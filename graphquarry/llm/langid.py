@@ -25,17 +25,19 @@ from pyspark.sql import functions as F
 
 from graphquarry.llm.common import hash_unit
 
-DIM = 512
+DIM = 1024
 GRAM = 3
 PER_LANG = 400
 SEED = 11
 #: a-z have vectors of their own; all other letters share the rest, by code point.
 LETTERS = 128
 UNKNOWN = "und"
-#: n-gram vectors that a worker remembers, n-grams and texts that are counted at once.
-CACHE = 20_000
+#: Texts whose vectors are held at once.
+ROWS_AT_ONCE = 1024
+#: n-gram vectors that a worker holds at once, n-grams and texts that are counted at once: they bound its memory.
+CACHE = 12_000
 GRAMS_AT_ONCE = 400_000
-PARTS_AT_ONCE = 256
+PARTS_AT_ONCE = 128
 
 
 def letter_vectors(dim: int = DIM, seed: int = SEED) -> np.ndarray:
@@ -87,17 +89,27 @@ class Bundler:
         return out.astype(np.float32)
 
     def _sum(self, parts: list[np.ndarray]) -> np.ndarray:
-        """A vector for each list of n-grams: counts times n-gram vectors."""
+        """A vector for each list of n-grams: counts times n-gram vectors, at most CACHE distinct n-grams at a time."""
         flat = np.concatenate(parts)
+        row = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+        distinct = np.unique(flat)
+        if len(distinct) <= CACHE:
+            return self._slice(flat, row, len(parts))
+        total = np.zeros((len(parts), self.dim), np.float32)
+        group = np.searchsorted(distinct, flat) // CACHE
+        for g in range(group.max() + 1):
+            own = group == g
+            total += self._slice(flat[own], row[own], len(parts))
+        return total
+
+    def _slice(self, flat: np.ndarray, row: np.ndarray, n_rows: int) -> np.ndarray:
         new = np.unique(flat[self.slot[flat] < 0])
         if self.used + len(new) > CACHE:
             self._forget()
             new = np.unique(flat)
         if len(new):
-            if self.used + len(new) > len(self.vectors):
-                grown = np.empty((max(CACHE, self.used + len(new)), self.dim), np.float32)
-                grown[: self.used] = self.vectors[: self.used]
-                self.vectors = grown
+            if not len(self.vectors):
+                self.vectors = np.empty((CACHE, self.dim), np.float32)
             self.vectors[self.used : self.used + len(new)] = self.bind(new)
             self.slot[new] = np.arange(self.used, self.used + len(new))
             self.used += len(new)
@@ -105,9 +117,12 @@ class Bundler:
         present = np.flatnonzero(np.bincount(slots, minlength=self.used))
         place = np.empty(self.used, np.int64)
         place[present] = np.arange(len(present))
-        row = np.repeat(np.arange(len(parts)) * len(present), [len(p) for p in parts])
-        counts = np.bincount(row + place[slots], minlength=len(parts) * len(present)).reshape(len(parts), -1)
-        return counts.astype(np.float32) @ self.vectors[present]
+        counts = np.bincount(row * len(present) + place[slots], minlength=n_rows * len(present)).reshape(n_rows, -1)
+        out = np.zeros((n_rows, self.dim), np.float32)
+        for lo in range(0, len(present), 4096):  # copies of a bounded number of vectors
+            own = present[lo : lo + 4096]
+            out += counts[:, lo : lo + 4096].astype(np.float32) @ self.vectors[own]
+        return out
 
     def bundle(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The vectors of the texts, and which of them have letters."""
@@ -141,6 +156,12 @@ def unit(v: np.ndarray) -> np.ndarray:
     return v / norm if norm else v
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for lo in range(0, b.num_rows, ROWS_AT_ONCE):
+            yield b.slice(lo, ROWS_AT_ONCE)
+
+
 def sample(labelled: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
     """About per_lang texts of each lang: those whose hash of doc_id is below per_lang / texts of the lang.
 
@@ -159,7 +180,7 @@ def fit(labelled: DataFrame, per_lang: int = PER_LANG, dim: int = DIM, gram: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, total = Bundler(dim, gram), {}
-        for b in batches:
+        for b in slices(batches):
             vectors, known = own.bundle(b.column(1).to_pylist())
             for lang, v, has in zip(b.column(0).to_pylist(), vectors, known):
                 if has:
@@ -182,7 +203,7 @@ def predict(docs: DataFrame, prototypes: dict[str, list[float]], dim: int = DIM,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Bundler(dim, gram)
-        for b in batches:
+        for b in slices(batches):
             vectors, known = own.bundle(b.column(1).to_pylist())
             names, scores = [UNKNOWN] * len(known), [0.0] * len(known)
             at = np.flatnonzero(known) if langs else []
