@@ -93,7 +93,7 @@ c AS (SELECT a, b, count(*) AS n_items, count(*) FILTER (stated = 'block') AS n_
       FROM i JOIN f ON i.rid = f.rid GROUP BY a, b),
 r AS (SELECT a, b, 'block' AS label, n_block AS hits, n_block::DOUBLE / n_items AS confidence FROM c
       UNION ALL SELECT a, b, 'allow', n_allow, n_allow::DOUBLE / n_items FROM c),
-k AS (SELECT * FROM r WHERE hits >= ceil(0.002::DOUBLE * (SELECT n FROM n)) AND hits > 0 AND confidence >= 0.9),
+k AS (SELECT * FROM r WHERE hits >= ceil(0.002::DOUBLE * (SELECT n FROM n)) AND hits > 0 AND confidence >= 0.8),
 m AS (SELECT i.rid, arg_max(label, (confidence, hits, label = 'block')) AS mined FROM i JOIN k USING (a, b) GROUP BY i.rid)
 SELECT page_id, host, path, rule, coalesce(stated, mined, 'allow') AS verdict
 FROM h LEFT JOIN f ON h.rid = f.rid LEFT JOIN m ON h.rid = m.rid
