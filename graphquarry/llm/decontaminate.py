@@ -7,8 +7,10 @@ shingles are looked up. Rarity is each shingle's number of occurrences in all do
 word p of a document, which stands at place o of a window, puts the window at p - o: it has to lie within
 the document (length and position), and only then are its words compared.
 
-The items are taken in blocks of a bounded number of words; a block's index is broadcast, and every
-document passes all blocks in the task that reads it, so documents are never shuffled.
+The items, a stated query set, are taken in blocks of a bounded number of words, and a block's index is broadcast. Documents are
+read twice, once for the rarity of shingles and once for the windows; each time a text is cut into words once and passes
+all blocks in the task that reads it, so documents are never shuffled. The blocks together must fit in a worker:
+about a hundred bytes for each word of the benchmark.
 
 Defined cases: null, empty and wordless texts have no words and no hits; an item without words is in no document; items
 that share an item_id count once; a null item_id counts as an item named by the empty string; an
@@ -152,15 +154,16 @@ def lookup(keys: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return hit, k[hit]
 
 
-def tally(texts: list[str | None], block: Block) -> dict[int, np.ndarray]:
-    """Occurrences of each shingle of the block."""
-    out = {w: np.zeros(len(k), np.int64) for w, k in block.shingles.items()}
+def tally(texts: list[str | None], blocks: list[Block]) -> list[dict[int, np.ndarray]]:
+    """Occurrences of each shingle of each block."""
+    out = [{w: np.zeros(len(k), np.int64) for w, k in block.shingles.items()} for block in blocks]
     for _, rows in chunks(texts):
-        ids, _ = known_ids(rows, block.vocab)
-        for width, keys in block.shingles.items():
-            _, h = rolling(ids, width)
-            _, k = lookup(keys, h)
-            out[width] += np.bincount(k, minlength=len(keys))
+        for block, counts in zip(blocks, out):
+            ids, _ = known_ids(rows, block.vocab)
+            for width, keys in block.shingles.items():
+                _, h = rolling(ids, width)
+                _, k = lookup(keys, h)
+                counts[width] += np.bincount(k, minlength=len(keys))
     return out
 
 
@@ -202,21 +205,22 @@ def occurrences(rows: list[list[bytes]], block: Block) -> tuple[np.ndarray, np.n
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def scan(texts: list[str | None], block: Block) -> tuple[list[int], list[list[int]], list[list[str]]]:
+def scan(texts: list[str | None], blocks: list[Block]) -> tuple[list[int], list[list[int]], list[list[str]]]:
     """For each text: words, merged hit spans (first word, end, first word, end ...) and items."""
     n_words, spans, items = [], [], []
     for _, rows in chunks(texts):
-        s, n, w = occurrences(rows, block)
         starts = np.cumsum([0] + [len(r) + 1 for r in rows])
         edge = np.zeros(starts[-1] + 1, np.int64)
-        np.add.at(edge, s, 1)
-        np.add.at(edge, s + n, -1)
+        own: dict[int, set[str]] = defaultdict(set)
+        for block in blocks:
+            s, n, w = occurrences(rows, block)
+            np.add.at(edge, s, 1)
+            np.add.at(edge, s + n, -1)
+            row = np.searchsorted(starts, s, "right") - 1
+            for r, i in set(zip(row.tolist(), block.item[w].tolist())):
+                own[r].add(block.items[i])
         inside = (np.cumsum(edge) > 0).astype(np.int8)
         step = np.flatnonzero(np.diff(np.concatenate([[0], inside]))).tolist()
-        row = np.searchsorted(starts, s, "right") - 1
-        own: dict[int, set[str]] = defaultdict(set)
-        for r, i in set(zip(row.tolist(), block.item[w].tolist())):
-            own[r].add(block.items[i])
         j = 0
         for r, words in enumerate(rows):
             mine: list[int] = []
@@ -227,16 +231,6 @@ def scan(texts: list[str | None], block: Block) -> tuple[list[int], list[list[in
     return n_words, spans, items
 
 
-def merge_spans(a, b) -> list[int]:
-    out: list[int] = []
-    for s, e in sorted(zip([*a[::2], *b[::2]], [*a[1::2], *b[1::2]])):
-        if out and s <= out[-1]:
-            out[-1] = max(out[-1], e)
-        else:
-            out += [int(s), int(e)]
-    return out
-
-
 def item_blocks(items: DataFrame, block_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
     """The items with words, streamed to the driver one block of at most block_words (or one item) at a time."""
     rows = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("name"), "text").orderBy("name", "text")
@@ -261,17 +255,15 @@ def mark(
     share: float = 1.0,
     block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
-    """The kept columns of docs with _n_words, _spans, _items and _n_hit."""
+    """_doc (the kept columns of docs as one struct, so that none can clash), _n_words, _spans, _items and _n_hit."""
     sc = docs.sparkSession.sparkContext
-    fields = docs.select(*keep).schema.fields
-    out = docs.select(*keep, F.col("text").alias("_text"))
-    all_blocks = [*item_blocks(items, block_words)] or [[]]
-    for i, own in enumerate(all_blocks):
-        block = build_block(own, window, shingle, share)
-        if own:
-            rank(block, _counts(docs.select("text"), sc.broadcast(vars(block))), shingle)
-        text = [T.StructField("_text", T.StringType())] if i + 1 < len(all_blocks) else []
-        out = _with_block(out, sc.broadcast(vars(block)), T.StructType([*fields, *FOUND, *text]), i == 0)
+    blocks = [build_block(own, window, shingle, share) for own in item_blocks(items, block_words)]
+    if blocks:
+        counts = _counts(docs.select("text"), [sc.broadcast(vars(b)) for b in blocks])
+        for b, own in zip(blocks, counts):
+            rank(b, own, shingle)
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_doc"), F.col("text").alias("_text"))
+    out = _found(packed, [sc.broadcast(vars(b)) for b in blocks])
     hit = F.aggregate(
         F.transform("_spans", lambda x, i: F.when(i % 2 == 0, -x).otherwise(x)), F.lit(0).cast("long"), lambda a, b: a + b
     )
@@ -281,24 +273,30 @@ def mark(
 def find(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
     """doc_id, n_words, spans (merged hits: first word, end, first word, end ...), items (sorted) and n_hit."""
     found = mark(docs, items, ("doc_id",), **how)
-    return found.select("doc_id", *[F.col(f"_{c}").alias(c) for c in ("n_words", "spans", "items", "n_hit")])
+    return found.select("_doc.doc_id", *[F.col(f"_{c}").alias(c) for c in ("n_words", "spans", "items", "n_hit")])
 
 
-def _counts(texts: DataFrame, block) -> dict[tuple[int, int], int]:
-    """Occurrences of the block's shingles in all documents; as many rows as the block has shingles at most."""
+def _counts(texts: DataFrame, blocks: list) -> list[dict[tuple[int, int], int]]:
+    """Occurrences of the blocks' shingles in all documents, in one pass; as many rows as they have shingles at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, total = Block(**block.value), {}
+        own = [Block(**b.value) for b in blocks]
+        total: list[dict[int, np.ndarray]] = [{} for _ in own]
         for b in batches:
-            for width, n in tally(b.column(0).to_pylist(), own).items():
-                total[width] = total[width] + n if width in total else n
-        for width, n in total.items():
-            at = np.flatnonzero(n)
-            h = own.shingles[width][at].view(np.int64)
-            yield pa.RecordBatch.from_pydict({"width": np.full(len(at), width, np.int32), "h": h, "n": n[at]})
-
-    rows = texts.mapInArrow(run, "width int, h long, n long").groupBy("width", "h").agg(F.sum("n").alias("n"))
-    return {(r["width"], r["h"] % (1 << 64)): r["n"] for r in rows.collect()}
+            for sums, counts in zip(total, tally(b.column(0).to_pylist(), own)):
+                for width, n in counts.items():
+                    sums[width] = sums[width] + n if width in sums else n
+        for k, sums in enumerate(total):
+            for width, n in sums.items():
+                at = np.flatnonzero(n)
+                h = own[k].shingles[width][at].view(np.int64)
+                yield pa.RecordBatch.from_pydict({"block": np.full(len(at), k, np.int32), "width": np.full(len(at), width, np.int32), "h": h, "n": n[at]})
+
+    rows = texts.mapInArrow(run, "block int, width int, h long, n long").groupBy("block", "width", "h").agg(F.sum("n").alias("n"))
+    out: list[dict[tuple[int, int], int]] = [{} for _ in blocks]
+    for r in rows.collect():
+        out[r["block"]][r["width"], r["h"] % (1 << 64)] = r["n"]
+    return out
 
 
 FOUND = [
@@ -308,26 +306,19 @@ FOUND = [
 ]
 
 
-def _with_block(docs: DataFrame, block, out_type: T.StructType, first: bool) -> DataFrame:
-    names = out_type.names
+def _found(docs: DataFrame, blocks: list) -> DataFrame:
+    """_doc with what was found in _text, in one pass over all blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Block(**block.value)
+        own = [Block(**b.value) for b in blocks]
         for b in batches:
             n_words, spans, items = scan(b.column("_text").to_pylist(), own)
-            if not first:
-                spans = [merge_spans(x, y) for x, y in zip(b.column("_spans").to_pylist(), spans)]
-                items = [sorted({*x, *y}) for x, y in zip(b.column("_items").to_pylist(), items)]
-            new = {
-                "_n_words": pa.array(n_words, pa.int64()),
-                "_spans": pa.array(spans, pa.list_(pa.int64())),
-                "_items": pa.array(items, pa.list_(pa.string())),
-            }
-            yield pa.RecordBatch.from_arrays([new[c] if c in new else b.column(c) for c in names], names=names)
+            columns = [b.column("_doc"), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["_doc", *[f.name for f in FOUND]])
 
-    return docs.mapInArrow(run, out_type)
+    return docs.mapInArrow(run, T.StructType([docs.schema["_doc"], *FOUND]))
 
 
 def clean(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
     """The rows of docs that hold no window of any item."""
-    return mark(docs, items, tuple(docs.columns), **how).where("_n_hit = 0").select(*docs.columns)
+    return mark(docs, items, tuple(docs.columns), **how).where("_n_hit = 0").select("_doc.*")

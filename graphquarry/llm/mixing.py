@@ -5,8 +5,9 @@ distributed prefix sum of their sizes along that order tells which of them fit t
 budget above the source's size repeats it in whole epochs and cuts the last one.
 
 The prefix sum never sorts a source in one task: keys are evenly spread, so fixed key ranges of the same
-width hold about the same number of rows, whichever source is the hot one. Ranges are summed first, the sums
-are accumulated along each source, and only then are rows accumulated inside their range.
+width hold about the same number of rows, whichever source is the hot one. Ranges are summed first, and spans of
+ranges; the sums are accumulated along each source, and only then are rows accumulated inside their range. Only the
+summary of one row a source is ever in one task.
 
 Defined cases: a null text has size 0; null is a source of its own, after all others; documents with equal
 keys (a repeated doc_id, or null ids) stand in the order of doc_id and size, and rows alike in all of these
@@ -24,6 +25,7 @@ from graphquarry.llm.common import materialise, null_safe_key, text_or_empty, wo
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_EPOCHS = 3
 ROWS_PER_RANGE = 500
+RANGES_PER_SPAN = 500
 
 
 def mix_key(doc_id: str | Column = "doc_id", seed: int = 7) -> Column:
@@ -65,18 +67,24 @@ def prefix_sums(rows: DataFrame, group: list[str], key: str, value: str, tie: li
     """rows with `before`: the sum of value over the rows of the group that stand earlier by key, tie.
 
     key holds hex digits of an even hash. Its ranges get narrower as the table grows, so that one range
-    of a group has about ROWS_PER_RANGE rows even where a single group holds them all.
+    of a group has about ROWS_PER_RANGE rows even where a single group holds them all; RANGES_PER_SPAN ranges are
+    a span. Spans are added up along each group, ranges within their span, rows within their range.
     """
     n = max(1, -(-rows.count() // ROWS_PER_RANGE))
     unit = F.conv(F.substring(key, 1, 8), 16, 10).cast("long")
     dealt = rows.withColumn("_range", F.floor(unit * n / F.lit(float(1 << 32))).cast("long"))
-    along = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = dealt.groupBy(*group, "_range").agg(F.sum(value).alias("_sum"))
-    starts = sums.select(
-        *[F.col(g).alias(f"_s_{g}") for g in group],
-        F.col("_range").alias("_s_range"),
-        F.coalesce(F.sum("_sum").over(along), F.lit(0)).alias("_start"),
-    )
+    earlier = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    so_far = lambda value, *by: F.coalesce(F.sum(value).over(earlier(*by)), F.lit(0))
+    own = [F.col(g).alias(f"_s_{g}") for g in group]
+    named = [f"_s_{g}" for g in group]
+    ranges = dealt.groupBy(*own, F.col("_range").alias("_s_range")).agg(F.sum(value).alias("_sum")).withColumn("_span", F.floor(F.col("_s_range") / RANGES_PER_SPAN))
+    spans = ranges.groupBy(*[F.col(g).alias(f"_{g}") for g in named], F.col("_span").alias("_in_span")).agg(F.sum("_sum").alias("_span_sum"))
+    begun = spans.withColumn("_begun", so_far("_span_sum", *[f"_{g}" for g in named], "_in_span"))
+    within = ranges.withColumn("_within", so_far("_sum", *named, "_span", "_s_range"))
+    both = F.col("_span") == F.col("_in_span")
+    for g in named:
+        both = both & F.col(g).eqNullSafe(F.col(f"_{g}"))
+    starts = within.join(begun, both).select(*named, "_s_range", (F.col("_begun") + F.col("_within")).alias("_start"))
     same = F.col("_range") == F.col("_s_range")
     for g in group:
         same = same & F.col(g).eqNullSafe(F.col(f"_s_{g}"))
@@ -122,9 +130,12 @@ def planned(docs: DataFrame, own: list[str], weights: tuple[float, ...] = WEIGHT
 def take(docs: DataFrame, **how) -> DataFrame:
     """The mixed corpus: the rows of docs, each as often as the mix takes it.
 
-    Rows are numbered once, so that those that share a doc_id, or have none, take their own copies.
+    Rows are numbered once, so that those that share a doc_id, or have none, take their own copies. Each travels as
+    one struct, so no column of docs can clash with the operator's own.
     """
-    numbered = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-rows")
-    copies = planned(numbered, ["_row"], **how).where(F.col("copies") > 0).select("_row", F.col("copies").alias("_copies"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    numbered = materialise(docs.select(whole.alias("_doc"), F.monotonically_increasing_id().alias("_row")), "mix-rows")
+    narrow = numbered.select("_doc.doc_id", "_doc.source", "_doc.text", "_row")
+    copies = planned(narrow, ["_row"], **how).where(F.col("copies") > 0).select("_row", F.col("copies").alias("_copies"))
     kept = numbered.join(copies, "_row")
-    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select("_doc.*")

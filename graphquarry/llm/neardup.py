@@ -130,7 +130,7 @@ def band_candidates(marked: DataFrame, light: int = LIGHT) -> tuple[DataFrame, D
 def sets_of(docs: DataFrame, reps: DataFrame, fps: DataFrame) -> DataFrame:
     """fp, hashes: a row for each of fps, read from the text of its first document."""
     need = materialise(reps.join(fps, "fp").select("fp", "first"), "neardup-need")
-    rows = docs.join(need.select("first").distinct(), F.col("doc_id").eqNullSafe(F.col("first")), "left_semi")
+    rows = docs.select("doc_id", "text").join(need.select("first").distinct(), F.col("doc_id").eqNullSafe(F.col("first")), "left_semi")
     return materialise(shingle_sets(rows).join(need.select("fp"), "fp", "left_semi").dropDuplicates(["fp"]), "neardup-sets")
 
 

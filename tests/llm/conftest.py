@@ -2,7 +2,7 @@ import pytest
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: A column for each name that an operator uses itself.
-CLASHES = ("n_words", "kept", "fail_bits", "size", "taken", "fp", "component_id", "items", "spans", "n_hit", "start", "lang_pred", "base", "verdict", "tokens", "batch")
+CLASHES = ("n_words", "kept", "fail_bits", "size", "taken", "fp", "component_id", "items", "spans", "n_hit", "start", "lang_pred", "base", "verdict", "tokens", "batch", "first", "key", "bands", "copies", "before", "target", "source_size", "text_hash", "place", "_text", "_n_words", "_spans", "_items", "_n_hit", "_doc", "_row", "_id", "_copy", "_copies", "_h", "_t", "_w", "_l")
 
 
 @pytest.fixture(scope="session")
