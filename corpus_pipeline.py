@@ -49,7 +49,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = deal(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    docs, last = deal(spark.read.parquet(f"{sf_dir}/documents.parquet")), None
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if last is not None:
+            release(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)
