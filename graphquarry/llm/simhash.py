@@ -167,26 +167,26 @@ def connected(edges: DataFrame) -> DataFrame:
     lineage stays short, and a node with a great many edges doesn't meet them in one task.
     """
 
-    def hop(pairs: DataFrame) -> DataFrame:
-        """(node, peer) -> with low, the least of node and peers."""
+    def hop(pairs: DataFrame, most: int) -> DataFrame:
+        """(node, peer), of which there are `most` at most, with low, the least of node and peers."""
         low = pairs.groupBy("node").agg(F.least(F.min("peer"), F.col("node")).alias("low"), F.count("*").alias("n"))
-        return join_hot(pairs, low, ["node"], "n", pairs.count(), "inner")
+        return join_hot(pairs, low, ["node"], "n", most, "inner")
+
+    def state(pairs: DataFrame) -> tuple:
+        return tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("node", "peer").cast("decimal(38,0)"))).first())
 
     now = materialise(edges.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("peer")).where("node <> peer").distinct(), "cc-edges")
-    before = None
-    while True:
-        both = materialise(now.union(now.select(F.col("peer").alias("node"), F.col("node").alias("peer"))), "cc-both")
-        large = hop(both).where("peer > node").select(F.col("peer").alias("node"), F.col("low").alias("peer"))
+    seen, before = state(now), None
+    while seen != before:
+        both = now.union(now.select(F.col("peer").alias("node"), F.col("node").alias("peer")))
+        large = hop(both, 2 * seen[0]).where("peer > node").select(F.col("peer").alias("node"), F.col("low").alias("peer"))
         mid = materialise(large.where("node <> peer").distinct(), "cc-large")
-        star = hop(mid)
+        star = hop(mid, 2 * seen[0])
         small = star.where("peer <> low").select(F.col("peer").alias("node"), F.col("low").alias("peer"))
         small = small.union(star.where("node <> low").select("node", F.col("low").alias("peer")))
         last, now = now, materialise(small.distinct(), "cc-small")
-        release(both, mid, last)
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("node", "peer").cast("decimal(38,0)"))).first()
-        if tuple(state) == before:
-            break
-        before = tuple(state)
+        release(mid, last)
+        seen, before = state(now), seen
     roots = now.select("node", F.col("peer").alias("root"))
     return roots.union(now.select(F.col("peer").alias("node"), F.col("peer").alias("root")).distinct())
 
