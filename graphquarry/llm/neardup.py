@@ -10,8 +10,9 @@ similar ones still surer. Each candidate pair is verified on the whole shingle s
 The members of a bucket of more than LIGHT texts are not paired with each other. First each is tried against the
 bucket's hub, the member that shares its buckets with most texts (the original, where a bucket holds edits of one). Then all
 texts of such buckets go through an exact prefix-filtered join: of a text's shingles, ordered by how few of these texts hold them,
-similar texts share one of the first n - ceil(0.8 n) + 1. Only texts that aren't connected yet are paired by it, so a group of
-thousands of copies of one text costs no pair, and no link is lost.
+similar texts share one of the first n - ceil(0.8 n) + 1. Only texts that aren't connected yet are paired by it, and only if
+the shingles that others hold, and those before and after the shared one, can still add up to the similarity. So a group of
+thousands of copies of one text costs no pair, texts that share a passage cost none, and no link is lost.
 
 Defined cases: null, empty and wordless texts are copies of each other; keys and shingle hashes have 64 bits; a null doc_id
 ranks above all others; rows without a doc_id stay; an empty table gives an empty result; further columns are kept.
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphquarry.llm import simhash
@@ -33,7 +34,7 @@ from graphquarry.llm.common import join_hot, materialise, release
 SHINGLE = 5
 BANDS = 20
 ROWS = 4
-LIGHT = 64
+LIGHT = 8
 SEED = 11
 
 
@@ -70,21 +71,22 @@ def majority(hashes: np.ndarray) -> int:
 
 
 def marks(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the key of the folded text), sim (its fingerprint), bands."""
+    """doc_id, fp (the key of the folded text), sim (its fingerprint), n (its distinct shingles), bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps, sims, bands = [], [], []
+            fps, sims, sizes, bands = [], [], [], []
             for t in b.column(1):
                 key, hashes = shingle_hashes(t.as_py())
                 fps.append(key)
                 sims.append(majority(hashes))
+                sizes.append(len(hashes))
                 bands.append(band_keys(hashes))
-            columns = [b.column(0), pa.array(fps, pa.int64()), pa.array(sims, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "sim", "bands"])
+            columns = [b.column(0), pa.array(fps, pa.int64()), pa.array(sims, pa.int64()), pa.array(sizes, pa.int32()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "sim", "n", "bands"])
 
     narrow = docs.select("doc_id", "text")
-    return narrow.mapInArrow(run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, fp long, sim long, bands array<long>")
+    return narrow.mapInArrow(run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, fp long, sim long, n int, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -104,6 +106,11 @@ def ordered(x: str, y: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
+def sizes_fit(x: str, y: str) -> Column:
+    """Whether sets of these sizes can have a Jaccard similarity of 0.8."""
+    return 5 * F.least(x, y) >= 4 * F.greatest(x, y)
+
+
 def pivot_candidates(marked: DataFrame, light: int = LIGHT) -> DataFrame:
     """Pairs of distinct texts by the SimHash operator: those with equal fingerprints, and with linked ones: a, b."""
     sims = materialise(marked.groupBy("sim").agg(F.min("fp").alias("least")), "neardup-sims")
@@ -115,15 +122,16 @@ def pivot_candidates(marked: DataFrame, light: int = LIGHT) -> DataFrame:
 
 def band_candidates(marked: DataFrame, light: int = LIGHT) -> tuple[DataFrame, DataFrame]:
     """Pairs of distinct texts that share a small bucket, or a large one with its hub: a, b. The texts of large buckets: fp."""
-    met = materialise(marked.select("fp", F.explode("bands").alias("key")).distinct(), "neardup-bands")
+    met = materialise(marked.select("fp", "n", F.explode("bands").alias("key")).distinct(), "neardup-bands")
     sizes = met.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    crowded = materialise(join_hot(met, sizes.withColumn("n", F.col("size")), ["key"], "n", met.count(), "inner"), "neardup-buckets")
+    crowded = materialise(join_hot(met, sizes.withColumn("weight", F.col("size")), ["key"], "weight", met.count(), "inner"), "neardup-buckets")
     small, large = crowded.where(F.col("size") <= light), crowded.where(F.col("size") > light)
-    left, right = (small.select("key", F.col("fp").alias(c)) for c in ("a", "b"))
-    pairs = left.join(right, "key").where("a < b").select("a", "b")
+    left, right = (small.select("key", F.col("fp").alias(c), F.col("n").alias(f"n{c}")) for c in ("a", "b"))
+    pairs = left.join(right, "key").where((F.col("a") < F.col("b")) & sizes_fit("na", "nb")).select("a", "b")
     score = crowded.groupBy("fp").agg(F.sum("size").alias("score"))
-    hubs = large.join(score, "fp").groupBy("key").agg(F.max(F.struct("score", "fp"))["fp"].alias("hub"), F.count("*").alias("n"))
-    starred = join_hot(large, hubs, ["key"], "n", met.count(), "inner").where("fp <> hub").select(*ordered("fp", "hub"))
+    best = F.max(F.struct("score", "fp", "n"))
+    hubs = large.join(score, "fp").groupBy("key").agg(best["fp"].alias("hub"), best["n"].alias("nh"), F.count("*").alias("weight"))
+    starred = join_hot(large, hubs, ["key"], "weight", met.count(), "inner").where((F.col("fp") != F.col("hub")) & sizes_fit("n", "nh")).select(*ordered("fp", "hub"))
     return pairs.union(starred), large.select("fp").distinct()
 
 
@@ -150,15 +158,20 @@ def prefix_candidates(sets: DataFrame, tree: DataFrame) -> DataFrame:
     ranked = join_hot(each, held.withColumn("texts", F.col("held")), ["h"], "held", each.count(), "inner")
     order = F.array_sort(F.collect_list(F.struct("texts", "h")))
     length = F.col("n") - F.floor((F.col("n") * 4 + 4) / 5).cast("int") + 1  # n - ceil(0.8 n) + 1
-    prefix = F.filter(F.slice("_o", 1, length), lambda x: x["texts"] > 1)
-    firsts = ranked.groupBy("fp", "n").agg(order.alias("_o")).select("fp", prefix.alias("_p"))
-    rooted = firsts.join(tree.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.explode("_p.h").alias("h"))
+    own = F.size(F.filter("_o", lambda x: x["texts"] == 1))  # shingles that no other text holds: they come first
+    prefix = F.filter(F.transform(F.slice("_o", 1, length), lambda x, i: F.struct(x["h"].alias("h"), x["texts"].alias("texts"), i.alias("at"))), lambda x: x["texts"] > 1)
+    firsts = ranked.groupBy("fp", "n").agg(order.alias("_o")).select("fp", "n", own.alias("own"), F.explode(prefix).alias("_p"))
+    rooted = firsts.join(tree.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "n", "own", "_p.h", "_p.at")
     lists = materialise(rooted, "neardup-prefixes")
     groups = lists.groupBy("h", "root").agg(F.count("*").alias("n"))
     largest = groups.groupBy("h").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count("*").alias("roots")).where("roots > 1")
-    others = lists.join(largest, "h").where("root <> main").select("h", F.col("fp").alias("x"), F.col("root").alias("xr"))
-    met = others.join(lists.select("h", F.col("fp").alias("y"), F.col("root").alias("yr")), "h").where("xr <> yr")
-    return met.select(*ordered("x", "y")).distinct()
+    side = lambda df, p: df.select("h", *[F.col(c).alias(p + c) for c in ("fp", "root", "n", "own", "at")])
+    others, every = side(lists.join(largest, "h").where("root <> main"), "x_"), side(lists, "y_")
+    # Of the shingles before the shared one, those that others hold may be shared; of those behind it, all.
+    before = F.least(F.expr("x_at - x_own"), F.expr("y_at - y_own"))
+    behind = F.least(F.expr("x_n - x_at"), F.expr("y_n - y_at"))
+    fits = (F.col("x_root") != F.col("y_root")) & sizes_fit("x_n", "y_n") & (9 * (before + behind) >= 4 * F.expr("x_n + y_n"))
+    return others.join(every, ["h"]).where(fits).select(*ordered("x_fp", "y_fp")).distinct()
 
 
 def links(docs: DataFrame, marked: DataFrame, reps: DataFrame, light: int = LIGHT) -> DataFrame:
