@@ -111,10 +111,10 @@ def sizes_fit(x: str, y: str) -> Column:
     return 5 * F.least(x, y) >= 4 * F.greatest(x, y)
 
 
-def pivot_candidates(marked: DataFrame, light: int = LIGHT) -> DataFrame:
+def pivot_candidates(marked: DataFrame) -> DataFrame:
     """Pairs of distinct texts by the SimHash operator: those with equal fingerprints, and with linked ones: a, b."""
     sims = materialise(marked.groupBy("sim").agg(F.min("fp").alias("least")), "neardup-sims")
-    linked = simhash.links(sims.select(F.col("sim").alias("fp")), sims.count(), light=light)
+    linked = simhash.links(sims.select(F.col("sim").alias("fp")), sims.count())
     texts = marked.select("sim", "fp").distinct().join(sims, "sim").where("fp <> least").select(*ordered("fp", "least"))
     x, y = (sims.select(F.col("sim").alias(c), F.col("least").alias(f"_{c}")) for c in ("a", "b"))
     return texts.union(linked.join(x, "a").join(y, "b").select(*ordered("_a", "_b")))
@@ -177,7 +177,7 @@ def prefix_candidates(sets: DataFrame, tree: DataFrame) -> DataFrame:
 def links(docs: DataFrame, marked: DataFrame, reps: DataFrame, light: int = LIGHT) -> DataFrame:
     """Links between similar texts, enough of them for the components of all: a, b."""
     banded, crowd = band_candidates(marked, light)
-    found = materialise(banded.union(pivot_candidates(marked, light)).distinct(), "neardup-candidates")
+    found = materialise(banded.union(pivot_candidates(marked)).distinct(), "neardup-candidates")
     crowd = materialise(crowd, "neardup-crowd")
     ends = found.select(F.col("a").alias("fp")).union(found.select(F.col("b").alias("fp"))).union(crowd).distinct()
     sets = sets_of(docs, reps, ends)
