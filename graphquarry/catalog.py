@@ -803,7 +803,11 @@ def stream_upsert(g, t):
     """The events table as a change feed: what the stream leaves equals the batch's latest rows."""
     spark = g.spark
     source = t("events").inputFiles()[0].rsplit("/", 1)
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="graphquarry-")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="graphquarry-")
     work = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
     table = changes.LatestTable(spark, f"{work}/rows", t("events").schema, "user_id", ("ts", "event_id"))
     feed = spark.readStream.schema(table.schema).option("pathGlobFilter", "events*.parquet" if source[1].startswith("events") else "*.parquet").parquet(source[0])
