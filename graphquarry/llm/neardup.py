@@ -11,8 +11,9 @@ The members of a bucket of more than LIGHT texts are not paired with each other.
 bucket's hub, the member that shares its buckets with most texts (the original, where a bucket holds edits of one). Then all
 texts of such buckets go through an exact prefix-filtered join: of a text's shingles, ordered by how few of these texts hold them,
 similar texts share one of the first n - ceil(0.8 n) + 1. Only texts that aren't connected yet are paired by it, and only if
-the shingles that others hold, and those before and after the shared one, can still add up to the similarity. So a group of
-thousands of copies of one text costs no pair, texts that share a passage cost none, and no link is lost.
+the shingles from the shared one on can add up to the similarity. So a group of
+thousands of copies of one text costs no pair, texts that share a passage cost none, and no link is lost. What it
+does pair are unconnected texts that differ in few shingles each and still fall below 0.8: their pairs grow with the square of their number.
 
 Defined cases: null, empty and wordless texts are copies of each other; keys and shingle hashes have 64 bits; a null doc_id
 ranks above all others; rows without a doc_id stay; an empty table gives an empty result; further columns are kept.
@@ -158,19 +159,17 @@ def prefix_candidates(sets: DataFrame, tree: DataFrame) -> DataFrame:
     ranked = join_hot(each, held.withColumn("texts", F.col("held")), ["h"], "held", each.count(), "inner")
     order = F.array_sort(F.collect_list(F.struct("texts", "h")))
     length = F.col("n") - F.floor((F.col("n") * 4 + 4) / 5).cast("int") + 1  # n - ceil(0.8 n) + 1
-    own = F.size(F.filter("_o", lambda x: x["texts"] == 1))  # shingles that no other text holds: they come first
     prefix = F.filter(F.transform(F.slice("_o", 1, length), lambda x, i: F.struct(x["h"].alias("h"), x["texts"].alias("texts"), i.alias("at"))), lambda x: x["texts"] > 1)
-    firsts = ranked.groupBy("fp", "n").agg(order.alias("_o")).select("fp", "n", own.alias("own"), F.explode(prefix).alias("_p"))
-    rooted = firsts.join(tree.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "n", "own", "_p.h", "_p.at")
+    firsts = ranked.groupBy("fp", "n").agg(order.alias("_o")).select("fp", "n", F.explode(prefix).alias("_p"))
+    rooted = firsts.join(tree.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "n", "_p.h", "_p.at")
     lists = materialise(rooted, "neardup-prefixes")
     groups = lists.groupBy("h", "root").agg(F.count("*").alias("n"))
     largest = groups.groupBy("h").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count("*").alias("roots")).where("roots > 1")
-    side = lambda df, p: df.select("h", *[F.col(c).alias(p + c) for c in ("fp", "root", "n", "own", "at")])
+    side = lambda df, p: df.select("h", *[F.col(c).alias(p + c) for c in ("fp", "root", "n", "at")])
     others, every = side(lists.join(largest, "h").where("root <> main"), "x_"), side(lists, "y_")
-    # Of the shingles before the shared one, those that others hold may be shared; of those behind it, all.
-    before = F.least(F.expr("x_at - x_own"), F.expr("y_at - y_own"))
-    behind = F.least(F.expr("x_n - x_at"), F.expr("y_n - y_at"))
-    fits = (F.col("x_root") != F.col("y_root")) & sizes_fit("x_n", "y_n") & (9 * (before + behind) >= 4 * F.expr("x_n + y_n"))
+    # At the first shingle that two texts share, none before it is shared, so what follows in either bounds what they have in common.
+    rest = F.least(F.expr("x_n - x_at"), F.expr("y_n - y_at"))
+    fits = (F.col("x_root") != F.col("y_root")) & sizes_fit("x_n", "y_n") & (9 * rest >= 4 * F.expr("x_n + y_n"))
     return others.join(every, ["h"]).where(fits).select(*ordered("x_fp", "y_fp")).distinct()
 
 
