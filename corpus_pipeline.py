@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from graphquarry.llm import decontaminate, mixing, neardup, quality, sstable
-from graphquarry.llm.common import materialise, deal
+from graphquarry.llm.common import deal, materialise, release
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
