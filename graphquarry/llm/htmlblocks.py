@@ -243,6 +243,7 @@ def leaf_blocks(html: str | None, hashed: Hashed | None = None) -> list[tuple[np
 def features(blocks: list[tuple[np.ndarray, str, int]], hashed: Hashed | None = None, first: int = 0, last: int | None = None) -> np.ndarray:
     """A row for each of the blocks from first to last; shares and places are those in the whole page."""
     word_bucket = hashed or Hashed(WORD_BUCKETS, 2)
+    known = word_bucket.known.get
     own = blocks[first:last]
     x = np.zeros((len(own), INPUT), np.float32)
     total = sum(len(t) for _, t, _ in blocks) or 1
@@ -250,7 +251,7 @@ def features(blocks: list[tuple[np.ndarray, str, int]], hashed: Hashed | None =
     for i, (path, text, linked) in enumerate(own):
         words = text.split(" ")
         n = len(words)
-        got = [word_bucket(w) for w in text.lower().split(" ")]
+        got = [known(w) or word_bucket(w) for w in text.lower().split(" ")]
         x[i, :PATH_BUCKETS] = path
         x[i, PATH_BUCKETS:at] = np.bincount([k for k, _ in got], [sign for _, sign in got], WORD_BUCKETS) / n
         x[i, at : at + SHAPE] = (
