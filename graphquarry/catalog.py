@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphquarry.functions import text as X
-from graphquarry.functions.embed import HashEmbedder, embed_distinct
+from graphquarry.functions.embed import embed_distinct
 from graphquarry.operators import ingest as I
 from graphquarry.operators import insights as N
 from graphquarry.operators import matching as M
@@ -21,7 +19,7 @@ from graphquarry.plans import patterns as P
 from graphquarry.plans.graph import Hop, PropertyGraph
 from graphquarry.plans.model import EntityDef
 from graphquarry.plans.predicates import Where, temporal
-from graphquarry.sources import files, tables
+from graphquarry.sources import files, scratch, tables
 from graphquarry.streaming import changes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -648,7 +646,19 @@ def clean_text(g, t):
     return t("documents").select("doc_id", F.md5(X.clean_document(F.col("text"))).alias("cleaned"))
 
 
-@query()
+# The same patterns without references to earlier groups, which DuckDB's expressions lack.
+UNREFERENCED = {r"(\*\*|__)(.*?)\1": r"\*\*(.*?)\*\*|__(.*?)__", r"(\*|_)(.*?)\1": r"\*(.*?)\*|_(.*?)_"}
+
+
+def chain_sql(text: str, steps) -> str:
+    for find, put in steps:
+        put = r"\1\2" if find in UNREFERENCED else put.replace("$", "\\")
+        text = "regexp_replace({}, '{}', '{}', 'g')".format(text, UNREFERENCED.get(find, find).replace("'", "''"), put)
+    return text
+
+
+@query(f"""WITH m AS (SELECT doc_id, '# Title' || chr(10) || '- **' || lang || '** [link](http://x)' || chr(10) || '> ' || text AS md FROM documents)
+SELECT doc_id, {chain_sql("md", X.MARKDOWN)} AS text, (len(regexp_extract_all(md, '\\[[^\\]]+\\]\\([^\\)]+\\)')) - len(regexp_extract_all(md, '!\\[[^\\]]+\\]\\([^\\)]+\\)')))::INT AS n_links FROM m""")
 def strip_markdown(g, t):
     d = t("documents").select("doc_id", F.concat(F.lit("# Title\n- **"), F.col("lang"), F.lit("** [link](http://x)\n> "), F.col("text")).alias("md"))
     return d.select("doc_id", X.strip_markdown(F.col("md")).alias("text"), X.markdown_metadata(F.col("md"))["n_links"].alias("n_links"))
@@ -670,9 +680,9 @@ def column_types(g, t):
     return g.spark.createDataFrame(rows, "column_name string, type string")
 
 
-@query("SELECT doc_id, regexp_replace(text, '([A-Za-z0-9+/]{40})', '***', 'g') <> text OR regexp_matches(text, '(?i)(token|password|passwd|pwd)[\"'']?\\s*[:=]\\s*[\"'']?[a-zA-Z0-9_\\-]{20,}') AS redacted FROM documents")
+@query(f"SELECT doc_id, md5({chain_sql('text', X.SECRETS)}) AS redacted FROM documents")
 def redact(g, t):
-    return t("documents").select("doc_id", (X.redact(F.col("text")) != F.col("text")).alias("redacted"))
+    return t("documents").select("doc_id", F.md5(X.redact(F.col("text"))).alias("redacted"))
 
 
 @query("SELECT doc_id, CASE WHEN text[1] IN ('{', '[') THEN ceil(ceil(length(text) / 4.0) * 1.2::DOUBLE) ELSE ceil(length(text) / 4.0) END::BIGINT AS tokens FROM documents")
@@ -691,7 +701,25 @@ def char_chunks(g, t):
     return X.char_chunks(t("documents").select("doc_id", "text"), "text").select("doc_id", "chunk_index", F.md5("content").alias("chunk"))
 
 
-@query()
+def chunks_sql(text: str, size: int, overlap: int) -> str:
+    """c: doc_id, n, content. Paragraphs (p) or sentences (q) are packed by their cumulative lengths (a), a chunk a step; else windows."""
+    longest = "list_max(list_transform({}, lambda x: length(x)))".format
+    return rf"""WITH RECURSIVE d AS (SELECT doc_id, regexp_replace({text}, '\r\n?', chr(10), 'g') AS t FROM documents),
+s AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '\n\s*\n'), lambda x: x <> '') AS p,
+list_filter(string_split(regexp_replace(t, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS q FROM d WHERE regexp_matches(t, '\S')),
+h AS (SELECT *, CASE WHEN length(t) <= {size} THEN 'whole' WHEN {longest("p")} <= {size} THEN 'p' WHEN {longest("q")} <= {size} THEN 'q' ELSE 'windows' END AS how FROM s),
+u AS (SELECT doc_id, CASE how WHEN 'p' THEN p ELSE q END AS us, CASE how WHEN 'p' THEN chr(10) || chr(10) ELSE ' ' END AS glue FROM h WHERE how IN ('p', 'q')),
+l AS (SELECT *, length(glue) AS g, list_transform(us, lambda x: length(x) + length(glue)) AS ls FROM u),
+k AS (SELECT *, list_transform(range(0, len(ls) + 1), lambda i: coalesce(list_sum(ls[1:i]), 0)::BIGINT) AS a FROM l),
+r AS (SELECT doc_id, 0::BIGINT AS n, 0::BIGINT AS f, greatest(1, len(list_filter(a, lambda x: x <= {size})) - 1)::BIGINT AS e FROM k
+UNION ALL SELECT doc_id, n + 1, nf, greatest(e + 1, len(list_filter(a, lambda x: x <= a[nf + 1] + {size} + CASE WHEN nf < e THEN g ELSE 0 END)) - 1)::BIGINT
+FROM (SELECT r.*, k.a, k.g, greatest(r.f, len(list_filter(k.a, lambda x: x < k.a[r.e + 1] - k.g - {overlap})))::BIGINT AS nf FROM r JOIN k USING (doc_id) WHERE r.e < len(k.us))),
+c AS (SELECT * FROM (SELECT doc_id, n, CASE g WHEN 2 THEN array_to_string(us[f + 1:e], chr(10) || chr(10)) ELSE array_to_string(us[f + 1:e], ' ') END AS content FROM r JOIN k USING (doc_id) UNION ALL SELECT doc_id, 0, t FROM h WHERE how = 'whole'
+UNION ALL SELECT doc_id, i, substr(t, i + 1, {size}) FROM (SELECT doc_id, t, unnest(range(0, length(t), {size - overlap})) AS i FROM h WHERE how = 'windows')) WHERE regexp_matches(content, '\S'))
+"""
+
+
+@query(chunks_sql("text", 1000, 200) + "SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1)::INT AS chunk_index, (count(*) OVER (PARTITION BY doc_id))::INT AS total_chunks, content FROM c")
 def chunk_semantic(g, t):
     return X.chunk_table(t("documents"), "doc_id", "text")
 
@@ -712,19 +740,27 @@ def file_chunks(g, t):
     return c.orderBy("chunk_index").select("chunk_index", F.md5("content").alias("chunk"))
 
 
-@query()
+@query(chunks_sql(CLEAN_SQL, *X.CHUNK_SIZES["txt"]) + "SELECT doc_id, count(*) AS n_chunks, sum(length(content))::BIGINT AS n_chars FROM c GROUP BY doc_id")
 def file_pipeline(g, t):
     """Clean, chunk, count: a file's way from text to chunk rows."""
     cleaned = t("documents").select("doc_id", X.clean_text(F.col("text")).alias("text"))
     return X.chunk_table(cleaned, "doc_id", "text", *X.CHUNK_SIZES["txt"]).groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.sum(F.char_length("content")).alias("n_chars"))
 
 
-@query("SELECT doc_id, count(*) OVER (PARTITION BY text) AS n FROM documents")
+class LetterEmbedder:
+    """Counts of some letters: an embedder that SQL can follow."""
+
+    letters = "aeiou"
+
+    def embed(self, texts: DataFrame, text: str, out: str = "embedding") -> DataFrame:
+        return texts.withColumn(out, F.array(*[F.regexp_count(text, F.lit(x)).cast("float") for x in self.letters]))
+
+
+@query("SELECT doc_id, " + ", ".join(f"len(regexp_extract_all(text, '{x}'))::BIGINT AS n_{x}" for x in LetterEmbedder.letters) + " FROM documents")
 def embed_memo(g, t):
-    """Each distinct text is embedded once: equal texts have equal vectors, of length 1 or 0."""
-    d = embed_distinct(t("documents").select("doc_id", "text"), "text", HashEmbedder(16))
-    same = d.groupBy("text").agg(F.count("*").alias("n"), F.size(F.collect_set("embedding")).alias("kinds"))
-    return d.join(same.where("kinds = 1"), "text").select("doc_id", "n")
+    """Each distinct text is embedded once, and each row gets its text's vector."""
+    d = embed_distinct(t("documents").select("doc_id", "text"), "text", LetterEmbedder())
+    return d.select("doc_id", *[F.col("embedding")[i].cast("long").alias(f"n_{x}") for i, x in enumerate(LetterEmbedder.letters)])
 
 
 # Ingestion
@@ -803,12 +839,7 @@ def stream_upsert(g, t):
     """The events table as a change feed: what the stream leaves equals the batch's latest rows."""
     spark = g.spark
     source = t("events").inputFiles()[0].rsplit("/", 1)
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.conf.get("spark.master", "local").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="graphquarry-")
-    work = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    work = scratch.folder(spark, "stream")
     table = changes.LatestTable(spark, f"{work}/rows", t("events").schema, "user_id", ("ts", "event_id"))
     feed = spark.readStream.schema(table.schema).option("pathGlobFilter", "events*.parquet" if source[1].startswith("events") else "*.parquet").parquet(source[0])
     changes.stream_upsert(feed, table, f"{work}/checkpoint").awaitTermination()

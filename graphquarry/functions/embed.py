@@ -33,6 +33,6 @@ class HashEmbedder:
 
 
 def embed_distinct(df: DataFrame, text: str, embedder: Embedder, out: str = "embedding") -> DataFrame:
-    """df with vectors, each distinct text embedded once."""
-    once = embedder.embed(df.select(text).distinct(), text, out).withColumnRenamed(text, "_text")
-    return df.join(once, F.col(text).eqNullSafe(F.col("_text")), "left").drop("_text")
+    """df with vectors, each distinct text embedded once. Texts meet by a hash, so that whole ones are compared but not sorted by."""
+    once = embedder.embed(df.select(text).distinct(), text, out).withColumnRenamed(text, "_text").withColumn("_hash", F.xxhash64("_text"))
+    return df.join(once, (F.xxhash64(text) == F.col("_hash")) & F.col(text).eqNullSafe(F.col("_text")), "left").drop("_text", "_hash")

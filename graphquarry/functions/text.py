@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from functools import reduce
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -82,8 +85,15 @@ def strip_markdown(text: Column) -> Column:
     return _chain(text, MARKDOWN)
 
 
+# What a text holds, in lower case, if a pattern above can match it; the pattern without a keyword stands for itself.
+SECRET_SIGNS = ("key", "bearer", "sk-", "token", "passw", "pwd", "akia", "authorization", "//")
+
+
 def redact(text: Column) -> Column:
-    return _chain(text, SECRETS)
+    """The patterns run over the few texts that show a sign of a secret, the signs over all."""
+    low = F.lower(text)
+    suspect = reduce(lambda a, b: a | b, [low.contains(sign) for sign in SECRET_SIGNS]) | F.rlike(text, F.lit("[A-Za-z0-9+/]{40}"))
+    return F.when(suspect, _chain(text, SECRETS)).otherwise(text)
 
 
 def markdown_metadata(text: Column) -> Column:
@@ -141,25 +151,21 @@ def semantic_chunks(text: str | None, size: int = 1000, overlap: int = 200, para
 
 
 def _pack(units: list[str], size: int, overlap: int, glue: str) -> list[str] | None:
-    """None if a unit is larger than a chunk. A chunk starts with the last units of the one before it, up to overlap."""
+    """None if a unit is larger than a chunk. A chunk starts with the last units of the one before it, up to overlap.
+
+    Cuts are places in the cumulative lengths, each unit counted with a glue. A chunk that starts with
+    repeated units counts one glue less, and holds one new unit at least.
+    """
     if any(len(u) > size for u in units):
         return None
-    out: list[str] = []
-    own: list[str] = []
-    length = 0
-    for unit in units:
-        if length > 0 and length + len(unit) + len(glue) > size:
-            out.append(glue.join(own))
-            kept, total = 0, 0
-            while kept < len(own) and total + len(own[-1 - kept]) <= overlap:
-                total += len(own[-1 - kept]) + len(glue)
-                kept += 1
-            own = own[len(own) - kept :]
-            length = len(glue.join(own))
-        own.append(unit)
-        length += len(unit) + len(glue)
-    out.append(glue.join(own))
-    return [c for c in out if c.strip()]
+    g = len(glue)
+    at = [0, *accumulate(len(u) + g for u in units)]
+    chunks, first, fresh = [], 0, 0
+    while fresh < len(units):
+        end = max(fresh + 1, bisect_right(at, at[first] + size + g * (first < fresh)) - 1)
+        chunks.append(glue.join(units[first:end]))
+        first, fresh = max(first, bisect_left(at, at[end] - g - overlap)), end
+    return [c for c in chunks if c.strip()]
 
 
 def chunk_table(df: DataFrame, key: str, text: str, size: int = 1000, overlap: int = 200) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphquarry.plans.model import EntityDef, RelDef
+from graphquarry.sources.scratch import materialise
 
 
 @dataclass(frozen=True)
@@ -136,12 +137,19 @@ class PropertyGraph:
         return self.spark.createDataFrame(sorted(names), "kind string, name string")
 
     def reach(self, label: str, parent: str, roots: Column, max_hops: int = 10) -> DataFrame:
-        """id and hops of every node below the roots along a self-reference, up to max_hops; cycles end there."""
+        """id and hops (the fewest) of every node below the roots along a self-reference, up to max_hops.
+
+        Each hop starts from the nodes that the one before it found first, once each, and is written out: cycles and
+        several ways to a node cost nothing, and the plan stays as long as the number of hops.
+        """
         e = self.entity(label)
         pairs = self.nodes(label).select(F.col(e.id).alias("id"), F.col(parent).alias("up"))
-        found = self.nodes(label).where(roots).select(F.col(e.id).alias("id"), F.lit(0).alias("hops"))
-        front = found
+        start = self.nodes(label).where(roots).select(F.col(e.id).alias("id")).distinct()
+        found = front = materialise(start.withColumn("hops", F.lit(0)), "reach")
         for hop in range(1, max_hops + 1):
-            front = front.select(F.col("id").alias("up")).join(pairs, "up").select("id", F.lit(hop).alias("hops"))
+            below = front.select(F.col("id").alias("up")).join(pairs, "up").select("id").distinct()
+            front = materialise(below.join(found, "id", "left_anti").withColumn("hops", F.lit(hop)), "reach")
+            if front.isEmpty():
+                break
             found = found.unionByName(front)
-        return found.groupBy("id").agg(F.min("hops").alias("hops"))
+        return found

@@ -13,6 +13,7 @@ class LatestTable:
     """The newest row of each key, in versions below a folder: batch n writes version n from the last whole one before it.
 
     The state is in the folder alone, so a restarted driver goes on, and a batch that is run again writes the same version.
+    Of older versions one stays, for readers and for a batch that is run again.
     """
 
     def __init__(self, spark: SparkSession, path: str, schema: StructType, key: str, version: tuple[str, ...]):
@@ -38,6 +39,9 @@ class LatestTable:
     def merge(self, batch: DataFrame, batch_id: int) -> None:
         old, new = self.read(batch_id), batch.select(*self.schema.names)
         latest(old.unionByName(new), self.key, *self.version).write.mode("overwrite").parquet(self._at(batch_id))
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        for old_version in [v for v in self.versions() if v < batch_id][:-1]:
+            root.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(self.spark._jvm.org.apache.hadoop.fs.Path(self._at(old_version)), True)
 
 
 def stream_upsert(source: DataFrame, table: LatestTable, checkpoint: str) -> StreamingQuery:
