@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +22,7 @@ from graphquarry.plans.graph import Hop, PropertyGraph
 from graphquarry.plans.model import EntityDef
 from graphquarry.plans.predicates import Where, temporal
 from graphquarry.sources import files, scratch, tables
+from graphquarry.sources.collections import Collections
 from graphquarry.streaming import changes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -490,6 +493,19 @@ def vec_upsert(g, t):
     return V.upsert_points(e, e.where("label = 3").withColumn("label", F.lit(-1))).select("vec_id", "label")
 
 
+@query("SELECT vec_id, CASE WHEN label = 5 THEN -5 ELSE label END AS label, len(embedding)::INT AS size, (count(*) OVER ())::BIGINT AS points FROM embeddings WHERE label <> 3")
+def collection_points(g, t):
+    """A collection from its first upsert to its deletion: points are inserted, replaced and removed in between."""
+    store, e = Collections(g.spark, f"vec_{uuid.uuid4().hex[:8]}_"), t("embeddings")
+    store.upsert("docs", e)
+    store.upsert("docs", e.where("label = 5").withColumn("label", F.lit(-5).cast(e.schema["label"].dataType)))
+    store.remove("docs", e.where("label = 3"))
+    info = store.info("docs")
+    left = scratch.materialise(store.points("docs").select("vec_id", "label", F.lit(info.size).alias("size"), F.lit(info.points).cast("long").alias("points")), "points")
+    store.delete("docs")
+    return left
+
+
 @query("""WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 100 = 0),
 s AS (SELECT query_id, vec_id, list_cosine_similarity(embedding::DOUBLE[], q) AS s FROM embeddings, q WHERE vec_id <> query_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM s)
@@ -521,8 +537,17 @@ def hybrid_search(g, t):
 
 @query("SELECT doc_id, source, n_chars FROM documents WHERE source IN ('src1', 'src2') AND n_chars BETWEEN 2000 AND 20000 AND doc_id IN (SELECT doc_id FROM labels) ORDER BY n_chars DESC, doc_id LIMIT 10")
 def metadata_search(g, t):
-    d = t("documents").where(F.col("source").isin("src1", "src2") & F.col("n_chars").between(2000, 20000))
-    return d.join(t("labels").select("doc_id"), "doc_id", "left_semi").select("doc_id", "source", "n_chars").orderBy(F.desc("n_chars"), "doc_id").limit(10)
+    d = t("documents").join(t("labels").select("doc_id"), "doc_id", "left_semi").select("doc_id", "source", "n_chars")
+    return Q.search_metadata(d, {"source": ["src1", "src2"], "n_chars": (2000, 20000)}, "n_chars", key="doc_id")
+
+
+@query("""SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderstatus IN ('O', 'P') AND o_totalprice >= 100000 AND o_orderdate BETWEEN '1995-01-01' AND '1997-06-30'
+ORDER BY o_orderdate DESC, o_orderkey LIMIT 50""")
+def metadata_dates(g, t):
+    """Orders as uploads: criteria and bounds of dates."""
+    criteria = {"o_orderstatus": ["O", "P"], "o_totalprice": (100000, None)}
+    found = Q.search_metadata(g.nodes("Order"), criteria, "o_orderdate", datetime(1995, 1, 1), datetime(1997, 6, 30), "o_orderkey", 50)
+    return found.select("o_orderkey", "o_orderdate")
 
 
 @query("SELECT o_orderkey, o_orderdate FROM orders WHERE o_custkey = 5 ORDER BY o_orderdate DESC, o_orderkey LIMIT 10")
@@ -740,6 +765,15 @@ def file_chunks(g, t):
     return c.orderBy("chunk_index").select("chunk_index", F.md5("content").alias("chunk"))
 
 
+@query("""SELECT doc_id AS file_id, count(*) AS n_chunks FROM (SELECT doc_id, lang, text, unnest(range(0, length(text), 800)) AS i FROM documents)
+WHERE trim(substr(text, i + 1, 1000)) <> '' AND lang IS DISTINCT FROM 'de' GROUP BY doc_id""")
+def chunk_store(g, t):
+    """Chunks are written by file, those of German files are deleted, and the rest is counted."""
+    d, path = t("documents").withColumnRenamed("doc_id", "file_id"), scratch.folder(g.spark, "chunks")
+    files.write_chunks(X.char_chunks(d.select("file_id", "text"), "text").drop("text"), path)
+    return files.count_chunks(files.without_file(g.spark.read.parquet(path), d.where("lang = 'de'")))
+
+
 @query(chunks_sql(CLEAN_SQL, *X.CHUNK_SIZES["txt"]) + "SELECT doc_id, count(*) AS n_chunks, sum(length(content))::BIGINT AS n_chars FROM c GROUP BY doc_id")
 def file_pipeline(g, t):
     """Clean, chunk, count: a file's way from text to chunk rows."""

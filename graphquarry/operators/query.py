@@ -137,3 +137,18 @@ def _children(plan):
     for i in range(kids.size()):
         yield kids.apply(i)
         yield from _children(kids.apply(i))
+
+
+def search_metadata(rows: DataFrame, criteria: dict, newest: str = "uploaded_at", after=None, before=None, key: str = "id", limit: int = 10) -> DataFrame:
+    """The newest rows that meet all criteria: a value, a list of values, or (low, high) with None for an open end.
+
+    after and before bound the column newest; all bounds are inclusive, and nulls meet no criterion.
+    """
+    for column, want in [*criteria.items(), (newest, (after, before))]:
+        if isinstance(want, tuple):
+            low, high = want
+            rows = rows if low is None else rows.where(F.col(column) >= F.lit(low))
+            rows = rows if high is None else rows.where(F.col(column) <= F.lit(high))
+        else:
+            rows = rows.where(F.col(column).isin(*want) if isinstance(want, list) else F.col(column) == F.lit(want))
+    return rows.orderBy(F.desc(newest), key).limit(limit)

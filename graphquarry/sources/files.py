@@ -84,6 +84,15 @@ def file_chunks(spark: SparkSession, path: str, file_id) -> DataFrame:
     return spark.read.parquet(path).where(F.col("file_id") == file_id).orderBy("chunk_index")
 
 
+def has_chunks(spark: SparkSession, path: str, file_id) -> bool:
+    return not spark.read.parquet(path).where(F.col("file_id") == file_id).isEmpty()
+
+
+def count_chunks(chunks: DataFrame) -> DataFrame:
+    """file_id, n_chunks."""
+    return chunks.groupBy("file_id").agg(F.count("*").alias("n_chunks"))
+
+
 def without_file(chunks: DataFrame, file_ids: DataFrame) -> DataFrame:
     return chunks.join(file_ids.select("file_id"), "file_id", "left_anti")
 

@@ -139,3 +139,20 @@ def test_pages_and_insights(spark):
     assert out["count"] == 4 and out.high_outlier and out.low_outlier
     assert insights.insights(spark.createDataFrame([("x",)], "s string")).first()["count"] == 0
     assert insights.suggest_charts(["count"], 1) == ["number"] and insights.suggest_charts(["a"], 1) == ["table"]
+
+
+def test_reach_ends_at_cycles_and_takes_the_shortest_way(spark):
+    rows = spark.createDataFrame([(1, 4), (2, 1), (3, 1), (4, 3), (5, 2), (5, 3), (6, None)], "id long, up long")
+    view = PropertyGraph(spark, {"parts": rows}.__getitem__, [EntityDef("Part", "parts", "id")])
+    got = {r.id: r.hops for r in view.reach("Part", "up", F.col("id") == 1).collect()}
+    assert got == {1: 0, 2: 1, 3: 1, 4: 2, 5: 2}
+    assert {r.id for r in view.reach("Part", "up", F.col("id") == 1, max_hops=1).collect()} == {1, 2, 3}
+    assert view.reach("Part", "up", F.col("id") == 9).count() == 0
+
+
+def test_metadata_criteria(spark):
+    rows = spark.createDataFrame([(1, "pdf", 10, "2024-01-01"), (2, "pdf", 20, "2024-02-01"), (3, "txt", 30, "2024-03-01"), (4, None, 5, None)], "id long, kind string, size long, uploaded_at string")
+    ids = lambda *a, **k: [r.id for r in query.search_metadata(rows, *a, **k).collect()]
+    assert ids({}) == [3, 2, 1, 4] and ids({}, limit=1) == [3]
+    assert ids({"kind": "pdf", "size": (15, None)}) == [2] and ids({"kind": ["pdf", "txt"], "size": (None, 20)}) == [2, 1]
+    assert ids({}, after="2024-02-01") == [3, 2] and ids({}, before="2024-02-01") == [2, 1]

@@ -121,3 +121,32 @@ def test_stream_equals_batch(spark, tmp_path):
     again = LatestTable(spark, str(tmp_path / "table"), table.schema, "k", ("v",))  # a restarted driver
     stream_upsert(spark.readStream.schema(schema).parquet(str(tmp_path / "in/*")), again, str(tmp_path / "checkpoint")).awaitTermination()
     assert {tuple(r) for r in again.read().collect()} == {(1, 3, "c"), (2, 9, "z")}
+    table.merge(spark.createDataFrame([(3, 1, "n")], schema), last + 5)
+    assert len(table.versions()) == 2 and table.read().count() == 3  # superseded versions go
+
+
+def test_redaction_by_signs(spark):
+    """Texts without any sign of a secret come back as they are; each pattern alone shows one."""
+    secrets = ["API-KEY: 'abcdefghijklmnopqrstu'", "Bearer abcdefghijklmnopqrstuvw", "sk-" + "a" * 48, "sk-ant-" + "b" * 95, "Token=abcdefghijklmnopqrstu", "PassWord: abc", "passwd=abc", "PWD=abc", "db_password=abc", "AKIA" + "A1B2C3D4E5F6G7H8", "a/b+" * 10, "Authorization: Basic dXNlcg==", "//u:p@h"]
+    rows = spark.createDataFrame([(s,) for s in [*secrets, "plain words", ""]] + [(None,)], "t string")
+    got = rows.select("t", X.redact(F.col("t")).alias("r"), X._chain(F.col("t"), X.SECRETS).alias("w")).collect()
+    assert len(secrets) == len(X.SECRETS) and all(r.r == r.w for r in got)
+    assert sum(r.t is not None and r.r != r.t for r in got) == len(secrets)
+
+
+def test_chunks_repeat_whole_units():
+    units = [f"Sentence number {i} of them." for i in range(40)]
+    chunks = X.semantic_chunks(" ".join(units), 100, 30)
+    assert all(len(c) <= 100 for c in chunks) and chunks[0].startswith(units[0]) and chunks[-1].endswith(units[-1])
+    for a, b in zip(chunks, chunks[1:]):  # the last sentence of a chunk opens the next one
+        assert b.startswith(a[a.rindex("Sentence") :])
+
+
+def test_chunk_store(spark, tmp_path):
+    path = str(tmp_path / "chunks")
+    chunks = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (2, 0, "c")], "file_id long, chunk_index int, content string")
+    files.write_chunks(chunks, path)
+    assert files.has_chunks(spark, path, 1) and not files.has_chunks(spark, path, 3)
+    assert [r.content for r in files.file_chunks(spark, path, 1).collect()] == ["a", "b"]
+    left = files.without_file(spark.read.parquet(path), chunks.where("file_id = 1"))
+    assert {tuple(r) for r in files.count_chunks(left).collect()} == {(2, 1)}
