@@ -21,7 +21,6 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 from html.parser import HTMLParser
 
 import numpy as np
@@ -558,10 +557,15 @@ def portions(htmls: list[str | None]) -> Iterator[list[str | None]]:
         yield out
 
 
-@lru_cache(maxsize=1)
+#: Kept in a plain dict: a cached function would be pickled by its name, which executors can't import.
+_TRAINED: dict[str, dict] = {}
+
+
 def trained() -> dict:
     """The labeller of the synthetic pages; trained once in a driver's life."""
-    return train(synthetic())
+    if not _TRAINED:
+        _TRAINED["pages"] = train(synthetic())
+    return _TRAINED["pages"]
 
 
 def extract(pages: DataFrame, model: dict | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphquarry.llm import decontaminate, htmlblocks, langid, linedup, mixing, quality, secrets, simhash, sstable, urlrules
+from graphquarry.llm import decontaminate, htmlblocks, langid, linedup, mixing, quality, runs, secrets, sharding, simhash, sstable, trie, urlrules
 from graphquarry.llm.common import deal
 
 
@@ -184,6 +184,65 @@ SELECT any_value(doc_id) AS doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER
 """
 
 
+#: CRC-32 as SQL has none: the table of the 256 remainders, and a fold over bytes given as a list.
+CRC_TABLE_SQL = "(SELECT list(list_reduce(list_prepend(i::BIGINT, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) FROM range(256) t(i))"
+
+
+def crc_sql(text: str, table: str) -> str:
+    fold = f"list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: ('0x' || h)::BIGINT)), lambda c, y: xor({table}[(xor(c, y) & 255) + 1], c >> 8))"
+    return f"xor({fold}, 4294967295)"
+
+
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = trie.build(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return found.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+OP11_SQL = f"""
+WITH crc AS (SELECT {CRC_TABLE_SQL} AS tab),
+t AS (SELECT conv_id, turn, coalesce(text, '') AS text, md5(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS k FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list(k ORDER BY turn NULLS FIRST, k) AS ks, list(length(text) ORDER BY turn NULLS FIRST, k) AS ns FROM t GROUP BY conv_id),
+h AS (SELECT own.*, ({crc_sql("conv_id::VARCHAR", "tab")} % 6)::INT AS h FROM own, crc),
+r AS (SELECT h.conv_id, coalesce(b.ks[1:h], []) || h.ks[h + 1:] AS ks, coalesce(b.ns[1:h], []) || h.ns[h + 1:] AS ns FROM h LEFT JOIN own b ON b.conv_id = h.conv_id - h.conv_id % 100),
+p AS (SELECT conv_id, d, array_to_string(ks[1:d], ',') AS path, list_transform(range(0, d + 1), lambda i: array_to_string(ks[1:i], ',')) AS above, ns[d] AS n, d = len(ks) AS ended
+      FROM (SELECT *, unnest(range(0, len(ks) + 1)) AS d FROM r)),
+v AS (SELECT path, any_value(d) AS depth, any_value(above) AS above, coalesce(any_value(n), 0) AS n, min(conv_id) AS conv_id, count(*) AS n_convs,
+             string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ended) AS ends FROM p GROUP BY path),
+c AS (SELECT above[depth] AS path, count(*) AS n_children FROM v WHERE depth > 0 GROUP BY 1),
+w AS (SELECT v.*, coalesce(n_children, 0) AS n_children FROM v LEFT JOIN c USING (path)),
+s AS (SELECT up AS path, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * n)::BIGINT AS saved_tokens FROM (SELECT *, unnest(above) AS up FROM w) GROUP BY up)
+SELECT w.conv_id, w.depth::BIGINT AS depth, q.conv_id AS parent_conv_id, w.n_convs, w.n_children, s.n_leaves, s.saved_tokens, sha256(coalesce(w.ends, '')) AS ends_sha256
+FROM w JOIN s USING (path) LEFT JOIN v q ON w.depth > 0 AND q.path = w.above[w.depth]
+"""
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.place(documents(spark, sf_dir))
+
+
+def least_draw_sql(children: list[tuple[int, float]], path: str) -> str:
+    draw = "-ln((('0x' || substr(md5(k || '{}'), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE) / {}::DOUBLE".format
+    items = ", ".join(f"{{'d': {draw(f'{path}/{c}', w)}, 'c': {c}}}" for c, w in children)
+    return f"list_sort([{items}])[1].c"
+
+
+OP12_SQL = f"""
+WITH crc AS (SELECT {CRC_TABLE_SQL} AS tab),
+d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 8 AS size, coalesce(doc_id::VARCHAR, 'null') AS k, {crc_sql("coalesce(text, '')", "tab")} AS text_crc32 FROM documents, crc),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, size, text_crc32) - 1 AS copy FROM d),
+r AS (SELECT *, md5(concat_ws(':', k, size, text_crc32, copy // 10000)) AS spread, {least_draw_sql([(0, 12.0), (1, 12.0)], "")} AS r, {least_draw_sql([(0, 12.0), (1, 12.0), (2, 1.0)], "")} AS g FROM n),
+w AS (SELECT *, CASE r {" ".join(f"WHEN {r} THEN {least_draw_sql([(x, 4.0) for x in range(3)], f'/{r}')}" for r in range(2))} END AS w FROM r),
+s AS (SELECT *, CASE 3 * r + w {" ".join(f"WHEN {3 * r + w} THEN {least_draw_sql([(12 * r + 4 * w + x, 1.0) for x in range(4)], f'/{r}/{w}')}" for r in range(2) for w in range(3))} END AS shard FROM w)
+SELECT doc_id, size::BIGINT AS size, text_crc32, 'key' AS law, shard::INT AS shard, row_number() OVER (PARTITION BY shard ORDER BY spread, copy) - 1 AS slot,
+       CASE WHEN g = 2 THEN 24 ELSE shard END::INT AS grown_shard FROM s
+"""
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.detect(documents(spark, sf_dir), planted=True, digests=True)
+    return found.withColumnRenamed("runs", "runs_sha256").withColumnRenamed("collapsed", "collapsed_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_token_shards": op2_token_shards,
@@ -195,6 +254,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_secrets": op9_secrets,
     "op10_line_dedup": op10_line_dedup,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_sharding": op12_sharding,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": OP1_SQL,
@@ -202,4 +264,6 @@ ORACLE_SQL: dict[str, str] = {
     "op7_mixing": OP7_SQL,
     "op8_decontamination": OP8_SQL,
     "op10_line_dedup": OP10_SQL,
+    "op11_prefix_trie": OP11_SQL,
+    "op12_sharding": OP12_SQL,
 }
