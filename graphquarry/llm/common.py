@@ -69,13 +69,14 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def deal(df: DataFrame) -> DataFrame:
-    """df, dealt over all cores if it comes in fewer files than there are cores.
+def deal(table: DataFrame) -> DataFrame:
+    """A table as read, dealt over all cores if Spark would read it in fewer tasks than there are cores.
 
-    Other tables are read where they stand: what decides is the number of files, not their size.
+    Such a table has at most that many scan tasks' worth of bytes, so the shuffle is bounded by
+    cores times spark.sql.files.maxPartitionBytes (a row group is never split), whatever files it comes in.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

@@ -9,10 +9,11 @@ width hold about the same number of rows, whichever source is the hot one. Range
 ranges; the sums are accumulated along each source, and only then are rows accumulated inside their range. Only the
 summary of one row a source is ever in one task.
 
-Defined cases: a null text has size 0; null is a source of its own, after all others; documents with equal
-keys (a repeated doc_id, or null ids) stand in the order of doc_id and size, and rows alike in all of these
-take from the mix in either order; an empty table gives an empty mix; further columns are ignored by mix()
-and kept by take().
+The key is a hash of doc_id and text, so rows without an id, or with a repeated one, are spread like all others. Rows alike in id,
+source and text are counted first and planned in blocks: they are interchangeable, and no task gets all of them.
+
+Defined cases: a null text has size 0; null is a source of its own, after all others; rows that are alike take from the mix in
+any order; an empty table gives an empty mix; further columns are ignored by mix() and kept by take().
 """
 
 from __future__ import annotations
@@ -20,10 +21,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphquarry.llm.common import materialise, null_safe_key, text_or_empty, word_count
+from graphquarry.llm.common import join_hot, materialise, null_safe_key, text_or_empty, word_count
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_EPOCHS = 3
+#: Rows that are alike are planned in blocks of so many.
+COPIES_AT_ONCE = 10_000
 ROWS_PER_RANGE = 500
 RANGES_PER_SPAN = 500
 
@@ -34,6 +37,11 @@ def mix_key(doc_id: str | Column = "doc_id", seed: int = 7) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(col.cast("string"), F.lit("null"))))
 
 
+def block_key(seed: int = 7) -> Column:
+    """The key of a block of rows that are alike: from id, text and block number, so that no id and no text is hot in it."""
+    return mix_key(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("text_md5"), F.col("_block").cast("string")), seed)
+
+
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_EPOCHS) -> DataFrame:
     """source, source_size -> target: shares by weight, none above most times its source.
 
@@ -95,47 +103,69 @@ def prefix_sums(rows: DataFrame, group: list[str], key: str, value: str, tie: li
     return summed.select(*rows.columns, "before")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_EPOCHS, seed: int = 7) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken: how often each document is in the mix.
+ALIKE = ("doc_id", "source", "size", "text_md5")
 
-    A source takes floor(target / source_size) whole epochs. In the last, partial one a document is in
-    if its middle is within the budget left, so a source misses its target by half a document at most.
-    """
-    return planned(docs, [], weights, most, seed)
 
+def sized(docs: DataFrame, *own: str) -> DataFrame:
+    """ALIKE, and further columns."""
+    text = text_or_empty("text")
+    return docs.select("doc_id", "source", word_count(text).alias("size"), F.md5(text).alias("text_md5"), *own)
 
-def planned(docs: DataFrame, own: list[str], weights: tuple[float, ...] = WEIGHTS, most: int = MOST_EPOCHS, seed: int = 7) -> DataFrame:
-    """The mix with further columns of docs, own, which also break ties."""
-    narrow = materialise(
-        docs.select("doc_id", "source", word_count(text_or_empty("text")).alias("size"), mix_key(seed=seed).alias("_key"), *own),
-        "mix-sizes",
-    )
-    sources = targets(narrow.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
-    ranked = prefix_sums(
-        narrow.withColumn("_group", null_safe_key(F.col("source"))), ["_group"], "_key", "size", ["doc_id", "size", *own]
+
+def planned(rows: DataFrame, weights: tuple[float, ...], most: int, seed: int) -> DataFrame:
+    """A row for each block of at most COPIES_AT_ONCE rows that are alike: ALIKE, source_size, target, n, epochs, n_more.
+
+    Each of the block's n rows is taken `epochs` times, and the first n_more of them once more. Rows alike are counted before
+    they are shuffled, so however many there are, no task gets them all.
+    """
+    alike = rows.groupBy(*ALIKE).agg(F.count("*").alias("_n"))
+    block = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / COPIES_AT_ONCE)))
+    blocks = alike.withColumn("_block", block).withColumn("n", F.least(F.lit(COPIES_AT_ONCE), F.col("_n") - F.col("_block") * COPIES_AT_ONCE).cast("long"))
+    held = materialise(
+        blocks.select(*ALIKE, "n", (F.col("n") * F.col("size")).alias("_weight"), block_key(seed).alias("_key"), null_safe_key(F.col("source")).alias("_group")), "mix-sizes"
     )
+    sources = targets(held.groupBy("source").agg(F.sum("_weight").alias("source_size")), weights, most)
+    ranked = prefix_sums(held, ["_group"], "_key", "_weight", ["doc_id", "size"])
     plan = sources.select(null_safe_key(F.col("source")).alias("_g"), "source_size", "target")
     # One row a source; where the sources are so many that it isn't small, Spark joins by sorting and splits hot ones.
     joined = ranked.join(plan, F.col("_group") == F.col("_g"))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    left = F.col("target") - F.col("_epochs") * F.col("source_size")
-    last = F.when((F.col("size") > 0) & (2 * F.col("before") + F.col("size") <= 2 * left), 1).otherwise(0)
-    return (
-        joined.withColumn("_epochs", epochs)
-        .withColumn("copies", (F.col("_epochs") + last).cast("long"))
-        .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *own)
-    )
+    # Row i of the block stands at before + i * size; it is in if its middle is within what the last epoch may take.
+    left = 2 * (F.col("target") - F.col("epochs") * F.col("source_size")) - 2 * F.col("before") - F.col("size")
+    more = F.when((F.col("size") > 0) & (left >= 0), F.least(F.col("n"), F.floor(left / (2 * F.col("size"))) + 1)).otherwise(0).cast("long")
+    return joined.withColumn("epochs", epochs).select(*ALIKE, "source_size", "target", "n", "epochs", more.alias("n_more"))
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_EPOCHS, seed: int = 7) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies, taken: how often each document is in the mix.
+
+    A source takes floor(target / source_size) whole epochs. In the last, partial one a document is in
+    if its middle is within the budget left, so a source misses its target by half a document at most.
+    """
+    each = planned(sized(docs), weights, most, seed).withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    copies = each.withColumn("copies", F.col("epochs") + F.when(F.col("_i") <= F.col("n_more"), 1).otherwise(0))
+    return copies.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def take(docs: DataFrame, **how) -> DataFrame:
+def take(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_EPOCHS, seed: int = 7) -> DataFrame:
     """The mixed corpus: the rows of docs, each as often as the mix takes it.
 
-    Rows are numbered once, so that those that share a doc_id, or have none, take their own copies. Each travels as
-    one struct, so no column of docs can clash with the operator's own.
+    Each row travels as one struct, so no column of docs can clash with the operator's own. Rows that are alike take the
+    same, but where the cut goes through them: then as many as the mix says take one more, drawn by an even hash of their row numbers.
     """
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     numbered = materialise(docs.select(whole.alias("_doc"), F.monotonically_increasing_id().alias("_row")), "mix-rows")
-    narrow = numbered.select("_doc.doc_id", "_doc.source", "_doc.text", "_row")
-    copies = planned(narrow, ["_row"], **how).where(F.col("copies") > 0).select("_row", F.col("copies").alias("_copies"))
-    kept = numbered.join(copies, "_row")
-    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select("_doc.*")
+    rows = sized(numbered.select("_doc.doc_id", "_doc.source", "_doc.text", "_doc", "_row"), "_doc", "_row")
+    blocks = planned(rows, weights, most, seed)
+    groups = materialise(blocks.groupBy(*ALIKE).agg(F.sum("n").alias("_n"), F.first("epochs").alias("_epochs"), F.sum("n_more").alias("_more")), "mix-plan")
+    taken = groups.where((F.col("_epochs") > 0) | (F.col("_more") > 0)).withColumn("_group", F.md5(F.to_json(F.struct(*ALIKE))))
+    total = groups.agg(F.sum("_n")).first()[0] or 0
+    # The join weighs keys by _w; _n comes along as a value.
+    known = join_hot(rows, taken.withColumn("_w", F.col("_n")), list(ALIKE), "_w", total, "inner").where(F.col("_group").isNotNull())
+    cut = (F.col("_more") > 0) & (F.col("_more") < F.col("_n"))
+    some = materialise(known.where(cut).select("_group", "_row", "_more", F.md5(F.col("_row").cast("string")).alias("_key"), F.lit(1).cast("long").alias("_one")), "mix-cut")
+    drawn = prefix_sums(some, ["_group"], "_key", "_one", ["_row"]).where(F.col("before") < F.col("_more")).select(F.col("_row").alias("_drawn"))
+    final = known.join(drawn, F.col("_row") == F.col("_drawn"), "left")
+    more = F.when(cut, F.col("_drawn").isNotNull()).otherwise(F.col("_more") > 0).cast("long")
+    kept = final.withColumn("_copies", F.col("_epochs") + more).where(F.col("_copies") > 0)
+    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select("_doc.*")

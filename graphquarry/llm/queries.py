@@ -110,8 +110,9 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP7_SQL = r"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-                  md5('7:' || coalesce(doc_id::VARCHAR, 'null')) AS k FROM documents),
+WITH x AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(coalesce(text, '')) AS h FROM documents),
+y AS (SELECT *, row_number() OVER (PARTITION BY doc_id, source, size, h) - 1 AS copy FROM x),
+d AS (SELECT *, md5('7:' || coalesce(doc_id::VARCHAR, 'null') || ':' || h || ':' || (copy // 10000)) AS k FROM y),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 a AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS w,
              3 * source_size AS lim, sum(source_size) OVER () AS total FROM s),
@@ -121,7 +122,7 @@ c AS (SELECT *, coalesce(sum(lim) OVER (ORDER BY ratio, source NULLS LAST ROWS B
 e AS (SELECT *, (total - before)::DOUBLE / rest AS lev FROM c),
 t AS (SELECT source, source_size, least(lim::DOUBLE, w * (SELECT lev FROM e WHERE lev <= ratio ORDER BY ratio, lev LIMIT 1)) AS target FROM e),
 r AS (SELECT d.*, t.source_size, t.target,
-             coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+             coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size, copy ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 f AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs FROM r),
 g AS (SELECT *, (epochs + CASE WHEN size > 0 AND 2 * before + size <= 2 * (target - epochs * source_size) THEN 1 ELSE 0 END)::BIGINT AS copies FROM f)
