@@ -15,6 +15,7 @@ from graphquarry.operators import ingest as I
 from graphquarry.operators import insights as N
 from graphquarry.operators import matching as M
 from graphquarry.operators import query as Q
+from graphquarry.operators import vector_index as vector_lists
 from graphquarry.operators import vectors as V
 from graphquarry.plans import discovery, templates
 from graphquarry.plans import patterns as P
@@ -24,6 +25,7 @@ from graphquarry.plans.predicates import Where, temporal
 from graphquarry.sources import files, scratch, tables
 from graphquarry.sources.collections import Collections
 from graphquarry.streaming import changes
+from graphquarry.streaming.changelog import ChangeFeed, ChangeTable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -515,6 +517,27 @@ def knn_join(g, t):
     return V.knn_join(e.where("vec_id % 100 = 0"), e, 3).withColumn("score", F.round("score", 6))
 
 
+@query()
+def vector_index(g, t):
+    """Inverted lists over all vectors, tuned for ten neighbours; tests hold its recall against the exact join."""
+    e = t("embeddings")
+    q = e.where("vec_id % 100 = 0")
+    index = vector_lists.build(e, scratch.folder(g.spark, "vector-index")).tune(q)
+    return index.search(q, 10).withColumn("score", F.round("score", 6))
+
+
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 100 = 0),
+s AS (SELECT query_id, vec_id, list_distance(embedding::DOUBLE[], q) AS s FROM embeddings, q WHERE vec_id <> query_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s, vec_id) AS rank FROM s)
+SELECT query_id, vec_id, rank::INT AS rank, round(s, 6) AS score FROM r WHERE rank <= 5""")
+def vector_index_exact(g, t):
+    """The same lists by distance, all of them probed and re-ranked as a whole: the index loses no row."""
+    e = t("embeddings")
+    index = vector_lists.build(e, scratch.folder(g.spark, "vector-index"), "euclid")
+    found = index.search(e.where("vec_id % 100 = 0"), 5, probes=len(index.model.centres), depth=0)
+    return found.withColumn("score", F.round("score", 6))
+
+
 GROUPED_SQL = """WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0),
 h AS (SELECT vec_id, label, list_cosine_similarity(embedding::DOUBLE[], q) AS s FROM embeddings, q ORDER BY 3 DESC, 1 LIMIT 30)
 SELECT label, round(avg(s), 6) AS avg_score, count(*) AS n_chunks, arg_max(vec_id, (s, -vec_id)) AS best_chunk FROM h GROUP BY label"""
@@ -878,3 +901,17 @@ def stream_upsert(g, t):
     feed = spark.readStream.schema(table.schema).option("pathGlobFilter", "events*.parquet" if source[1].startswith("events") else "*.parquet").parquet(source[0])
     changes.stream_upsert(feed, table, f"{work}/checkpoint").awaitTermination()
     return table.read().select("user_id", "event_id", "event_type")
+
+
+@query("""SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events)
+WHERE k = 1 AND event_type <> 'error'""")
+def change_feed(g, t):
+    """Events as row changes in five micro-batches: an error deletes its user's row, anything else writes it; late ones don't bring it back."""
+    work, events = scratch.folder(g.spark, "feed"), t("events")
+    # Dealt by a hash, so that batches come out of order: the newest change counts, not the last one.
+    events.repartition(5, "event_id").write.parquet(f"{work}/in")
+    table = ChangeTable(g.spark, f"{work}/table", "latest", events.schema, ("user_id",), ("ts", "event_id"), buckets=8, most_runs=3)
+    feed = ChangeFeed(table, lambda: F.col("event_type") == "error")
+    source = g.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{work}/in")
+    feed.follow(source, f"{work}/checkpoint").awaitTermination()
+    return feed.read().select("user_id", "event_id", "event_type", "value")

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,26 +62,90 @@ def knn(points: DataFrame, query: DataFrame, k: int, metric: str = "cosine", whe
     return out.orderBy(F.desc("score") if larger else F.asc("score"), key).limit(k)
 
 
+#: Queries that meet all points in one scan, and points that meet them at once: a task holds a block of their scores.
 QUERY_BLOCK = 4096
+POINTS_AT_ONCE = 512
+
+
+def matrix(vectors: pa.Array | pa.ChunkedArray, size: int | None = None) -> np.ndarray:
+    """rows x size, from lists of numbers of equal length."""
+    vectors = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
+    lengths = np.diff(vectors.offsets.to_numpy())
+    size = size if size is not None else int(lengths[0]) if len(lengths) else 0
+    if (lengths != size).any():
+        raise ValueError("vectors differ in length")
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lengths), size)
+
+
+def block_scores(metric: str, x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """points x queries, larger is better. Rounded, so that equal vectors score alike wherever they stand in a block."""
+    if metric in ("euclid", "euclidean"):
+        return np.round(-np.sqrt(np.maximum((x * x).sum(1)[:, None] - 2 * x @ q.T + (q * q).sum(1), 0)), 9)
+    out = x @ q.T
+    if metric == "cosine":
+        norms = np.sqrt((x * x).sum(1))[:, None] * np.sqrt((q * q).sum(1))
+        out = np.divide(out, norms, out=np.zeros_like(out), where=norms > 0)
+    return np.round(out, 12)
+
+
+class BestRows:
+    """The k best rows of each query so far, by score, then key."""
+
+    def __init__(self, k: int, ids: np.ndarray, q: np.ndarray, metric: str):
+        self.k, self.ids, self.q, self.metric = k, ids, q, metric
+        self.scores, self.keys = np.full((k, len(ids)), -np.inf), np.full((k, len(ids)), np.iinfo(np.int64).max)
+
+    def add(self, keys: np.ndarray, x: np.ndarray) -> None:
+        scores = block_scores(self.metric, x, self.q)
+        scores[keys[:, None] == self.ids] = -np.inf
+        # Only queries that the block may change are sorted again: few, once the first blocks are in.
+        change = np.flatnonzero(scores.max(0) >= self.scores[-1])
+        if len(change):
+            s = np.vstack([self.scores[:, change], scores[:, change]])
+            k = np.vstack([self.keys[:, change], np.broadcast_to(keys[:, None], (len(keys), len(change)))])
+            best = np.lexsort((k, -s), axis=0)[: self.k]
+            self.scores[:, change], self.keys[:, change] = np.take_along_axis(s, best, 0), np.take_along_axis(k, best, 0)
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray]:
+        """Queries and keys."""
+        at, query = np.nonzero(np.isfinite(self.scores))
+        return self.ids[query], self.keys[at, query]
 
 
 def knn_join(queries: DataFrame, points: DataFrame, k: int, metric: str = "cosine", key: str = "vec_id", vector: str = "embedding", block: int = QUERY_BLOCK) -> DataFrame:
-    """For each query its k best other points: query_id, key, score, rank.
+    """For each query its k best other points: query_id, key, score, rank. Exact; keys are whole numbers, null vectors take no part.
 
-    Queries are counted and dealt by hash into blocks of about `block` rows, and only a block is broadcast. Every
-    task keeps k candidates a query before any shuffle (row_number with a limit), so what moves is k rows a query and task.
+    Queries are counted and dealt by hash into blocks of about `block` rows; a block is held by every task as a matrix, meets the
+    points in products of matrices, and k candidates a query and task move on. These are scored once more as Columns.
     """
     measure, larger = METRICS[metric]
-    n = max(1, -(-queries.count() // block))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score") if larger else F.asc("score"), key)
-    out = None
+    spark = points.sparkSession
+    asked = queries.where(F.col(vector).isNotNull()).select(F.col(key).alias("query_id"), _double(vector).alias("_query"))
+    rows = points.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias(key), _double(vector).alias("_v"))
+    n = max(1, -(-asked.count() // block))
+    kept = []
     for b in range(n):
-        own = queries.where(F.pmod(F.xxhash64(key), F.lit(n)) == b)
-        q = F.broadcast(own.select(F.col(key).alias("query_id"), F.col(vector).alias("_query")))
-        pairs = points.join(q, F.col(key) != F.col("query_id")).select("query_id", key, measure(vector, "_query").alias("score"))
-        best = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-        out = best if out is None else out.unionByName(best)
-    return out
+        own = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == b).toArrow()
+        if not own.num_rows:
+            continue
+        held = spark.sparkContext.broadcast((own.column(0).to_numpy().astype(np.int64), matrix(own.column(1))))
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            best = BestRows(k, *held.value, metric)
+            for rows in batches:
+                for at in range(0, rows.num_rows, POINTS_AT_ONCE):
+                    part = rows.slice(at, POINTS_AT_ONCE)
+                    best.add(part.column(0).to_numpy(), matrix(part.column(1), best.q.shape[1]))
+            ids, keys = best.rows()
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64())], names=["query_id", key])
+
+        kept.append(rows.mapInArrow(run, f"query_id long, `{key}` long"))
+    if not kept:
+        return points.sparkSession.createDataFrame([], f"query_id long, `{key}` long, score double, rank int")
+    pairs = reduce(DataFrame.unionByName, kept)
+    scored = pairs.join(rows, key).join(asked, "query_id").select("query_id", key, measure("_v", "_query").alias("score"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score") if larger else F.asc("score"), key)
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def upsert_points(old: DataFrame, new: DataFrame, key: str = "vec_id") -> DataFrame:
