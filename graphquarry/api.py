@@ -2,53 +2,60 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphquarry.functions.embed import Embedder, HashEmbedder, embed_distinct
-from graphquarry.operators import ingest, insights, query
+from graphquarry.operators import insights, query
+from graphquarry.operators.dual import DualStore, summary
+from graphquarry.operators.vectors import knn
 from graphquarry.plans import context, templates
 from graphquarry.plans.graph import PropertyGraph
-from graphquarry.sources.collections import Collections
+from graphquarry.sources import scratch
+
+
+class EntityCollections:
+    """The vectors of a store's entities, by collection name."""
+
+    def __init__(self, store: DualStore):
+        self.store = store
+
+    def _label(self, name: str) -> str | None:
+        return next((e.label for e in self.store.graph.entities.values() if e.vector and e.vector.collection == name), None)
+
+    def exists(self, name: str) -> bool:
+        return self._label(name) is not None
+
+    def points(self, name: str) -> DataFrame:
+        label = self._label(name)
+        if label is None:
+            raise KeyError(f"no collection {name}")
+        return self.store.points(label)
+
+    def search(self, name: str, query: DataFrame, k: int, where: Column | None = None, threshold: float = 0) -> DataFrame:
+        return knn(self.points(name), query, k, "cosine", where, threshold)
 
 
 class Engine:
-    """Node tables live in `tables`; an ingestion replaces a table by a new DataFrame and its collection by a new version."""
+    """Ingests into a store that commits nodes, edges and vectors together, and answers from what is committed."""
 
-    def __init__(self, spark: SparkSession, graph: PropertyGraph, embedder: Embedder | None = None):
-        self.spark, self.embedder, self.collections = spark, embedder or HashEmbedder(), Collections(spark)
-        self.tables: dict[str, DataFrame] = {}
-        read = graph.read
-        self.graph = PropertyGraph(spark, lambda t: self.tables[t] if t in self.tables else read(t), [*graph.entities.values()])
+    def __init__(self, spark: SparkSession, graph: PropertyGraph, embedder: Embedder | None = None, root: str | None = None):
+        """root: a folder that executors share, where the store lives on; a new one below spark.checkpoint.dir by default."""
+        self.spark, self.embedder = spark, embedder or HashEmbedder()
+        self.store = DualStore(spark, root or scratch.folder(spark, "engine"), graph, self.embed)
+        self.graph, self.collections = self.store.graph, EntityCollections(self.store)
 
     def embed(self, df: DataFrame, text: str) -> DataFrame:
         return embed_distinct(df, text, self.embedder)
 
-    def vectors_of(self, label: str, rows: DataFrame) -> DataFrame:
-        e = self.graph.entity(label)
-        text = ingest.embed_text(*[c for c in e.vector.embed_fields if c in rows.columns])
-        meta = [c for c in e.vector.metadata if c in rows.columns]
-        return self.embed(rows.select(F.col(e.id).alias("vec_id"), text.alias("_embed"), *meta), "_embed").drop("_embed")
-
     def ingest(self, label: str, rows: DataFrame) -> DataFrame:
-        """Upserts rows into the graph and the entity's collection; returns the summary. Both sides are computed before either is put in place."""
-        e = self.graph.entity(label)
-        nodes = ingest.upsert_nodes(self.graph.nodes(label), rows, e.id)
-        points = None
-        if e.vector:
-            points = self.vectors_of(label, rows)
-            self.collections.upsert(e.vector.collection, points)
-        self.tables[e.table] = nodes
-        both = points if points is not None else rows.select(F.col(e.id).alias("vec_id")).limit(0)
-        return ingest.ingest_summary(ingest.ingest_status(rows, both.withColumnRenamed("vec_id", e.id), e.id))
+        """Upserts rows into all views in one commit; returns the summary. Rows that only one view can take are partly done."""
+        return summary(self.store.ingest_batch(label, rows))
 
     ingest_batch = sync = ingest
 
     def remove(self, label: str, ids: DataFrame) -> None:
-        e = self.graph.entity(label)
-        self.tables[e.table], _ = ingest.delete_nodes(self.graph.nodes(label), [], ids, e.id)
-        if e.vector and self.collections.exists(e.vector.collection):
-            self.collections.remove(e.vector.collection, ids.select(F.col(e.id).alias("vec_id")))
+        self.store.remove(label, ids)
 
     def search_similar(self, collection: str, text: str, k: int = 5, **how) -> DataFrame:
         one = self.spark.createDataFrame([(text,)], "text string")
@@ -81,5 +88,5 @@ class Engine:
 
     def answer_question(self, question: str) -> dict:
         """The rows, their statistics and chart hints."""
-        rows = self.ask(question).cache()
+        rows = scratch.materialise(self.ask(question), "answer")
         return {"rows": rows, "insights": insights.insights(rows), "charts": insights.suggest_charts(rows.columns, rows.count())}

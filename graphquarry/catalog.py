@@ -10,13 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphquarry.functions import text as X
-from graphquarry.functions.embed import embed_distinct
+from graphquarry.functions.embed import HashEmbedder, embed_distinct
+from graphquarry.operators import dual
 from graphquarry.operators import ingest as I
 from graphquarry.operators import insights as N
 from graphquarry.operators import matching as M
 from graphquarry.operators import query as Q
 from graphquarry.operators import vector_index as vector_lists
 from graphquarry.operators import vectors as V
+from graphquarry.operators.dual import DualStore
 from graphquarry.plans import discovery, templates
 from graphquarry.plans import patterns as P
 from graphquarry.plans.graph import Hop, PropertyGraph
@@ -915,3 +917,43 @@ def change_feed(g, t):
     source = g.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{work}/in")
     feed.follow(source, f"{work}/checkpoint").awaitTermination()
     return feed.read().select("user_id", "event_id", "event_type", "value")
+
+
+def _dual(g, read=None):
+    """Documents as entities with vectors, and the orders of customers as edges, in a store of their own."""
+    outer = PropertyGraph(g.spark, read or g.read, [*g.entities.values()])
+    return DualStore(g.spark, scratch.folder(g.spark, "dual"), outer, lambda df, c: embed_distinct(df, c, HashEmbedder(16)))
+
+
+@query("""SELECT doc_id, coalesce(lang, 'xx') = 'en' AND coalesce(text, '') <> '' AS in_vectors, count(*) OVER () AS n_nodes FROM documents WHERE coalesce(lang, 'xx') IN ('en', 'de')""")
+def dual_store(g, t):
+    """Documents really ingested into nodes and vectors: all but French and Spanish ones; German ones are removed and come back without text."""
+    d = t("documents")
+    store = _dual(g, lambda n: d.limit(0) if n == "documents" else g.read(n))
+    store.ingest_batch("Document", d.where("coalesce(lang, 'xx') IN ('en', 'de')"))
+    german = d.where("lang = 'de'")
+    store.remove("Document", german)
+    store.ingest_batch("Document", german.withColumn("text", F.lit(None).cast("string")))
+    nodes = store.nodes("Document")
+    points = store.points("Document").select(F.col("vec_id").alias("_p"))
+    total = nodes.agg(F.count("*").alias("n_nodes"))
+    return nodes.join(points, F.col("doc_id") == F.col("_p"), "left").select("doc_id", F.col("_p").isNotNull().alias("in_vectors")).join(F.broadcast(total))
+
+
+@query("""WITH d AS (SELECT doc_id AS id, text FROM documents UNION ALL SELECT NULL, text FROM documents WHERE lang = 'en')
+SELECT count(*) AS total, count(*) FILTER (id IS NOT NULL AND coalesce(text, '') <> '') AS succeeded, count(*) FILTER (id IS NOT NULL AND coalesce(text, '') = '') AS partially_succeeded,
+count(*) FILTER (id IS NULL) AS failed FROM d""")
+def dual_summary(g, t):
+    """The status of a batch, read back from what was committed; English documents come once more without an id."""
+    d = t("documents")
+    return dual.summary(_dual(g).ingest_batch("Document", d.unionByName(d.where("lang = 'en'").withColumn("doc_id", F.lit(None).cast("long")))))
+
+
+@query("SELECT o_orderkey AS src_id, c_custkey AS dst_id FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_acctbal >= 0 AND o_orderstatus <> 'P'")
+def dual_edges(g, t):
+    """Orders ingested with their edges; customers in debt and pending orders are removed with theirs."""
+    store = _dual(g)
+    store.ingest("Order", t("orders"))
+    store.remove("Customer", t("customer").where("c_acctbal < 0"))
+    store.remove("Order", t("orders").where("o_orderstatus = 'P'"))
+    return store.edges("Order", "PLACED_BY", "Customer").select("src_id", "dst_id")

@@ -21,7 +21,11 @@ class CollectionInfo:
 
 
 class Collections:
-    """A write makes a new table and then takes the old one's name, so readers never see half of it."""
+    """A collection is a view of one table; a write makes a new table and points the view at it in one step.
+
+    So the name always stands for a whole collection, before, during and after a write, and a writer that dies leaves the old one
+    in place. The table before the current one stays for readers that began with it; older ones go.
+    """
 
     def __init__(self, spark: SparkSession, prefix: str = "vec_"):
         self.spark, self.prefix = spark, prefix
@@ -31,12 +35,19 @@ class Collections:
             raise ValueError(f"no identifier: {name!r}")
         return f"{self.prefix}{name}".lower()
 
+    def _versions(self, name: str) -> list[str]:
+        """The tables of a collection, oldest first, the current one included."""
+        begin = f"{self._table(name)}__"
+        return sorted(t.name for t in self.spark.catalog.listTables() if t.name.startswith(begin))
+
     def _put(self, name: str, df: DataFrame, size: int, distance: str) -> None:
-        table, new = self._table(name), f"{self._table(name)}__{uuid.uuid4().hex[:8]}"
+        old = self._versions(name)
+        number = int(old[-1].split("__")[-1][:8]) + 1 if old else 0
+        new = f"{self._table(name)}__{number:08d}_{uuid.uuid4().hex[:8]}"
         df.write.saveAsTable(new)
-        self.spark.sql(f"ALTER TABLE {new} SET TBLPROPERTIES ('size' = '{int(size)}', 'distance' = '{distance}')")
-        self.spark.sql(f"DROP TABLE IF EXISTS {table}")
-        self.spark.sql(f"ALTER TABLE {new} RENAME TO {table}")
+        self.spark.sql(f"CREATE OR REPLACE VIEW {self._table(name)} TBLPROPERTIES ('size' = '{int(size)}', 'distance' = '{distance}') AS SELECT * FROM {new}")
+        for table in old[:-1]:
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
 
     def create(self, name: str, size: int, distance: str = "cosine", payload: str = "") -> bool:
         """False if it exists. payload: further columns as DDL."""
@@ -52,10 +63,13 @@ class Collections:
         return self.spark.catalog.tableExists(self._table(name))
 
     def delete(self, name: str) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {self._table(name)}")
+        tables = self._versions(name)
+        self.spark.sql(f"DROP VIEW IF EXISTS {self._table(name)}")
+        for table in tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
 
     def names(self) -> list[str]:
-        return sorted(t.name[len(self.prefix) :] for t in self.spark.catalog.listTables() if t.name.startswith(self.prefix))
+        return sorted(t.name[len(self.prefix) :] for t in self.spark.catalog.listTables() if t.name.startswith(self.prefix) and t.tableType == "VIEW")
 
     def points(self, name: str) -> DataFrame:
         return self.spark.read.table(self._table(name))

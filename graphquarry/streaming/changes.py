@@ -1,4 +1,4 @@
-"""Change feeds: latest-wins upserts from a stream, safe to run a batch twice."""
+"""Change feeds without deletions: latest-wins upserts from a stream, safe to run a batch twice."""
 
 from __future__ import annotations
 
@@ -6,46 +6,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from graphquarry.operators.ingest import latest
+from graphquarry.streaming.changelog import ChangeFeed, ChangeTable
 
 
-class LatestTable:
-    """The newest row of each key, in versions below a folder: batch n writes version n from the last whole one before it.
+class LatestTable(ChangeFeed):
+    """The newest row of each key, below a folder.
 
-    The state is in the folder alone, so a restarted driver goes on, and a batch that is run again writes the same version.
-    Of older versions one stays, for readers and for a batch that is run again.
+    The state is in the folder alone, so a restarted driver goes on. A batch writes its own rows, and of older states one
+    stays, for readers and for a batch that is run again.
     """
 
     def __init__(self, spark: SparkSession, path: str, schema: StructType, key: str, version: tuple[str, ...]):
-        self.spark, self.path, self.schema, self.key, self.version = spark, path, schema, key, version
+        super().__init__(ChangeTable(spark, path, "rows", schema, (key,), version))
+        self.schema = schema
 
     def versions(self) -> list[int]:
-        """Those that are written to the end."""
-        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
-        done = [n for n in names if n.startswith("version=") and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))]
-        return sorted(int(n.split("=")[1]) for n in done)
-
-    def _at(self, version: int) -> str:
-        return f"{self.path}/version={version:09d}"
-
-    def read(self, before: int | None = None) -> DataFrame:
-        known = [v for v in self.versions() if before is None or v < before]
-        if not known:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(self._at(known[-1]))
+        """The batches whose states are still there."""
+        names = [n for n in self.manifest.files.names("manifest") if n.endswith(".json")]
+        return [self.manifest.load(int(n.split(".")[0]))[1]["batch"] for n in names]
 
     def merge(self, batch: DataFrame, batch_id: int) -> None:
-        old, new = self.read(batch_id), batch.select(*self.schema.names)
-        latest(old.unionByName(new), self.key, *self.version).write.mode("overwrite").parquet(self._at(batch_id))
-        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        for old_version in [v for v in self.versions() if v < batch_id][:-1]:
-            root.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(self.spark._jvm.org.apache.hadoop.fs.Path(self._at(old_version)), True)
+        self.apply(batch, batch_id)
+        self.sweep()
 
 
 def stream_upsert(source: DataFrame, table: LatestTable, checkpoint: str) -> StreamingQuery:
     """Runs over what is there now, then ends; a later call goes on from the checkpoint."""
-    return (
-        source.writeStream.foreachBatch(table.merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
+    return source.writeStream.foreachBatch(table.merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

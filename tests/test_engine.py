@@ -33,6 +33,25 @@ def test_collections(spark):
             bad()
 
 
+def test_readers_during_a_swap(spark, monkeypatch):
+    """The name stands for a whole collection at every step of a write, also of one that dies; a reader goes on with its version."""
+    c = Collections(spark, "t2_")
+    rows = lambda *ids: spark.createDataFrame([(i, [1.0]) for i in ids], "vec_id long, embedding array<float>")
+    seen = lambda: {r.vec_id for r in c.points("x").collect()}
+    c.upsert("x", rows(1))
+    steps, sql = [], spark.sql
+    monkeypatch.setattr(c, "spark", type("Watched", (), {"__getattr__": lambda _, n: getattr(spark, n), "sql": lambda _, q, *a: (steps.append(seen()), sql(q, *a), steps.append(seen()))[1]})())
+    reader = spark.read.table(c._table("x"))
+    c.upsert("x", rows(2))
+    assert reader.count() == 1 and all(s in ({1}, {1, 2}) for s in steps) and steps[-1] == {1, 2}
+    with pytest.raises(Exception, match="broken"):
+        c.upsert("x", rows(3).withColumn("vec_id", F.raise_error(F.lit("broken")).cast("long")))
+    assert seen() == {1, 2} and c.exists("x")
+    monkeypatch.undo()
+    c.delete("x")
+    assert not c.exists("x") and not c._versions("x")
+
+
 @pytest.fixture
 def engine(spark):
     people = spark.createDataFrame([(1, "Alice", "likes long walks", 10), (2, "Bob", "plays chess", None)], "id long, name string, bio string, team_id long")
