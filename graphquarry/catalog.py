@@ -5,12 +5,14 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphquarry.functions import text as X
 from graphquarry.functions.embed import HashEmbedder, embed_distinct
+from graphquarry.functions.redaction import redact_json
 from graphquarry.operators import dual
 from graphquarry.operators import ingest as I
 from graphquarry.operators import insights as N
@@ -19,7 +21,7 @@ from graphquarry.operators import query as Q
 from graphquarry.operators import vector_index as vector_lists
 from graphquarry.operators import vectors as V
 from graphquarry.operators.dual import DualStore
-from graphquarry.plans import discovery, templates
+from graphquarry.plans import discovery, profiling, templates
 from graphquarry.plans import patterns as P
 from graphquarry.plans.graph import Hop, PropertyGraph
 from graphquarry.plans.model import EntityDef
@@ -76,12 +78,18 @@ def project_properties(g, t):
     return I.project_properties(t("supplier").withColumn("s_password", F.lit("x")))
 
 
-@query("""SELECT 'label' AS kind, unnest(['Region','Nation','Customer','Supplier','Part','Order','LineItem','Event','Document']) AS name
-UNION SELECT 'relationship', unnest(['IN_REGION','IN_NATION','PLACED_BY','OF_ORDER','OF_PART','FROM_SUPPLIER'])
-UNION SELECT 'property', column_name FROM information_schema.columns
-WHERE table_name IN ('region','nation','customer','supplier','part','orders','lineitem','events','documents')""")
+LABELS = {"Region": "region", "Nation": "nation", "Customer": "customer", "Supplier": "supplier", "Part": "part", "Order": "orders", "LineItem": "lineitem", "Event": "events", "Document": "documents"}
+LINKS = {"IN_REGION": ("nation n_regionkey",), "IN_NATION": ("customer c_nationkey", "supplier s_nationkey"), "PLACED_BY": ("orders o_custkey",), "OF_ORDER": ("lineitem l_orderkey",), "OF_PART": ("lineitem l_partkey",), "FROM_SUPPLIER": ("lineitem l_suppkey",)}
+
+
+@query(
+    " UNION ALL ".join(f"SELECT 'label' AS kind, '{x}' AS name, count(*) AS n FROM {table}" for x, table in LABELS.items())
+    + "".join(f" UNION ALL SELECT 'relationship', '{x}', " + " + ".join("(SELECT count({1}) FROM {0})".format(*own.split()) for own in ends) for x, ends in LINKS.items())
+    + " UNION ALL SELECT 'property', column_name, count(*) FROM information_schema.columns WHERE table_name IN (" + ", ".join(f"'{x}'" for x in LABELS.values()) + ") GROUP BY column_name"
+)
 def graph_schema(g, t):
-    return g.schema()
+    """Labels with their nodes, relationship types with their edges, properties with the labels that have them."""
+    return g.statistics()
 
 
 @query("SELECT to_json({'n_nationkey': n_nationkey, 'n_name': n_name, 'n_regionkey': n_regionkey})::VARCHAR AS json FROM nation")
@@ -592,15 +600,18 @@ def recommend(g, t):
 
 # Matching
 STOP_SQL = "[" + ", ".join(f"'{w}'" for w in M.STOP_WORDS) + "]"
-WORDS_SQL = "list_distinct(list_filter(regexp_split_to_array(lower({}), '[^a-z0-9_]+'), lambda w: length(w) >= 3 AND NOT list_contains(" + STOP_SQL + ", w)))"
+WORDS_SQL = "list_filter(regexp_split_to_array(lower({}), '[^a-z0-9_]+'), lambda w: length(w) >= 3 AND NOT list_contains(" + STOP_SQL + ", w))"
 
 
-@query(f"""WITH q AS (SELECT conv_id * 1000 + turn AS question_id, unnest({WORDS_SQL.format('text')}) AS w FROM conversations WHERE role = 'user'),
-e0 AS (SELECT item_id AS example_id, {WORDS_SQL.format('text')} AS ws FROM benchmark), e AS (SELECT example_id, len(ws) AS n, unnest(ws) AS w FROM e0)
-SELECT question_id, example_id, count(*) AS overlap, 0.5::DOUBLE AS score FROM q JOIN e USING (w) GROUP BY 1, 2 HAVING count(*) >= 2 OR any_value(n) <= 3""")
+@query(f"""WITH q AS (SELECT conv_id * 1000 + turn AS question_id, {WORDS_SQL.format('text')} AS qs FROM conversations WHERE role = 'user'),
+e AS (SELECT item_id AS example_id, {WORDS_SQL.format('text')} AS ws, item_id % 4 = 0 AS concept FROM benchmark),
+b AS (SELECT question_id, example_id, concept, len(ws) AS n, len(list_filter(ws, lambda w: list_contains(qs, w))) AS overlap FROM q, e)
+SELECT question_id, example_id, overlap, 0.5::DOUBLE AS score FROM b WHERE overlap >= 2 OR (overlap = 1 AND n <= 3 AND NOT concept)""")
 def keyword_match(g, t):
+    """Every fourth benchmark item stands for a concept."""
     q = t("conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"), F.col("text").alias("question"))
-    return M.keyword_match(q, t("benchmark").select(F.col("item_id").alias("example_id"), F.col("text").alias("example")))
+    kind = F.when(F.col("item_id") % 4 == 0, "concept").otherwise("example")
+    return M.keyword_match(q, t("benchmark").select(F.col("item_id").alias("example_id"), F.col("text").alias("example"), kind.alias("kind")))
 
 
 @query("SELECT n_nationkey, CASE WHEN lower(n_name) = 'nation 3' OR replace(lower(n_name), '_', ' ') = 'nation 3' THEN 1.0::DOUBLE ELSE round((3 * n_nationkey + 2) / (sqrt(n_nationkey * n_nationkey + 1) * sqrt(13.0::DOUBLE)), 6) END AS score FROM nation")
@@ -669,17 +680,57 @@ def traversal_scope(g, t):
     return scope.apply(view.nodes("Customer")).select("c_custkey")
 
 
-@query("SELECT 'orders' AS table_name, 'o_custkey' AS column_name, 'customer' AS target UNION ALL SELECT 'lineitem', 'l_orderkey', 'orders' UNION ALL SELECT 'lineitem', 'l_partkey', 'part' UNION ALL SELECT 'lineitem', 'l_suppkey', 'supplier' UNION ALL SELECT 'nation', 'n_regionkey', 'region' UNION ALL SELECT 'customer', 'c_nationkey', 'nation' UNION ALL SELECT 'supplier', 's_nationkey', 'nation'")
+#: Tables of the star schema, with their whole-number and string columns.
+STAR = {
+    "region": (("r_regionkey",), ("r_name",)),
+    "nation": (("n_nationkey", "n_regionkey"), ("n_name",)),
+    "customer": (("c_custkey", "c_nationkey"), ("c_name", "c_mktsegment")),
+    "supplier": (("s_suppkey", "s_nationkey"), ("s_name",)),
+    "part": (("p_partkey", "p_size"), ("p_name", "p_brand", "p_type")),
+    "orders": (("o_orderkey", "o_custkey"), ("o_orderstatus", "o_orderpriority")),
+    "lineitem": (("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"), ("l_returnflag", "l_linestatus")),
+}
+VALUES_SQL = "v AS (" + " UNION ALL ".join(f"SELECT DISTINCT '{t}' AS t, '{c}' AS c, '{k}' || {c}::VARCHAR AS v FROM {t} WHERE {c} IS NOT NULL" for t, kinds in STAR.items() for k, cs in zip("ns", kinds) for c in cs) + ")"
+OVERLAP_SQL = f"""WITH {VALUES_SQL}, n AS (SELECT t, c, count(*) AS n FROM v GROUP BY t, c),
+o AS (SELECT a.t AS table_name, a.c AS column_name, b.t AS other_table, b.c AS other_column, count(*) AS n_common FROM v a JOIN v b ON a.v = b.v AND (a.t, a.c) <> (b.t, b.c) GROUP BY ALL),
+i AS (SELECT o.*, n.n AS n_values FROM o JOIN n ON n.t = table_name AND n.c = column_name)"""
+
+
+@query(f"{OVERLAP_SQL} SELECT table_name, column_name, other_table, other_column, n_values, n_common FROM i")
+def inclusions(g, t):
+    """How far the values of each column are those of another one's, over all rows of all tables."""
+    return profiling.value_overlaps({n: t(n) for n in STAR})
+
+
+KEYS_SQL = "k AS (" + " UNION ALL ".join(f"SELECT '{t}' AS t, '{c}' AS c, count(*) = count(DISTINCT {c}) AS is_key FROM {t}" for t, kinds in STAR.items() for c in kinds[0]) + ")"
+
+
+@query(f"""{OVERLAP_SQL}, {KEYS_SQL} SELECT table_name, column_name, other_table AS target, other_column AS target_column FROM i JOIN k ON k.t = other_table AND k.c = other_column
+WHERE n_common = n_values AND is_key AND table_name <> other_table AND split_part(column_name, '_', 2) = split_part(other_column, '_', 2)""")
 def infer_fks(g, t):
-    names = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
-    schemas = {n: t(n).schema for n in names}
-    rows = [(n, c, target) for n in names for c, target, _ in discovery.foreign_keys(n, schemas)]
-    return g.spark.createDataFrame(rows, "table_name string, column_name string, target string")
+    """From the rows: whole inclusion in another table's key, and names that agree."""
+    found = profiling.foreign_keys({n: t(n) for n in STAR})
+    return g.spark.createDataFrame(found, "table_name string, column_name string, target string, target_column string")
 
 
-@query("SELECT column_name, 'documents' AS table_name FROM information_schema.columns WHERE table_name = 'documents' AND column_name = 'text'")
+@query("""SELECT 'orders' AS table_name, 'o_orderkey' AS key FROM orders HAVING count(*) = count(DISTINCT o_orderkey)
+UNION ALL SELECT 'lineitem', 'l_orderkey,l_linenumber' FROM lineitem HAVING count(*) = count(DISTINCT (l_orderkey, l_linenumber)) AND count(*) > count(DISTINCT l_orderkey)
+UNION ALL SELECT 'conversations', 'conv_id,turn' FROM conversations HAVING count(*) = count(DISTINCT (conv_id, turn))""")
+def candidate_keys(g, t):
+    """Keys of one and two columns, told from the rows; of columns that may hold ids (no prices, dates or texts)."""
+    wanted = {"orders": ["o_orderkey", "o_custkey", "o_orderstatus"], "lineitem": ["l_orderkey", "l_linenumber", "l_returnflag"], "conversations": ["conv_id", "turn", "role"]}
+    rows = [(n, ",".join(k)) for n, cs in wanted.items() for k in profiling.candidate_keys(t(n).select(*cs))]
+    return g.spark.createDataFrame(rows, "table_name string, key string")
+
+
+TEXTS = {"documents": ("text", "lang", "source"), "conversations": ("role", "text"), "benchmark": ("item_id", "text"), "events": ("event_type", "props"), "part": ("p_name", "p_brand", "p_type")}
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c}' AS column_name, round(avg(length({c}::VARCHAR)), 3) AS avg_chars FROM {t} HAVING avg(length({c}::VARCHAR)) >= 40 AND avg(len(regexp_extract_all({c}::VARCHAR, '\\S+'))) >= 5" for t, cs in TEXTS.items() for c in cs))
 def text_columns(g, t):
-    return g.spark.createDataFrame([(c, "documents") for c in discovery.text_columns(t("documents").schema)], "column_name string, table_name string")
+    """String columns that hold texts, by what their rows are like."""
+    parts = [profiling.column_statistics(t(n)).where(profiling.is_text(F.col("avg_chars"), F.col("avg_words"))).select(F.lit(n).alias("table_name"), "column_name", F.round("avg_chars", 3).alias("avg_chars")) for n in TEXTS]
+    return reduce(DataFrame.unionByName, parts)
 
 
 # Text
@@ -723,11 +774,14 @@ def md_metadata(g, t):
     return m.select("doc_id", "m.n_headers", "m.n_links", "m.n_images", F.col("m.front_matter")["title"].alias("title"))
 
 
-@query("""SELECT column_name, CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double' ELSE 'timestamp_ntz' END AS type
-FROM information_schema.columns WHERE table_name IN ('orders', 'part')""")
+TYPED = {"orders": {"o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "string", "o_totalprice": "double", "o_orderdate": "timestamp_ntz", "o_orderpriority": "string"}, "labels": {"doc_id": "bigint", "quality": "int", "toxic": "int"}}
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c}' AS column_name, '{k}' AS type, count(*) AS n_rows, count(*) FILTER ({c} IS NULL) AS n_null FROM {t}" for t, cs in TYPED.items() for c, k in cs.items()))
 def column_types(g, t):
-    rows = [x for n in ("orders", "part") for x in discovery.column_types(t(n).schema).items()]
-    return g.spark.createDataFrame(rows, "column_name string, type string")
+    """Types, with the rows and nulls of each column."""
+    parts = [profiling.column_statistics(t(n)).select(F.lit(n).alias("table_name"), "column_name", "type", "n_rows", "n_null") for n in TYPED]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query(f"SELECT doc_id, md5({chain_sql('text', X.SECRETS)}) AS redacted FROM documents")
@@ -735,6 +789,26 @@ def redact(g, t):
     return t("documents").select("doc_id", F.md5(X.redact(F.col("text"))).alias("redacted"))
 
 
+@query(f"""SELECT conv_id, turn, md5(to_json({{'conv_id': conv_id, 'dbPassword': '***REDACTED***', 'message': {{'parts': [{chain_sql("coalesce(text, '')", X.SECRETS)}, {chain_sql("'password=' || role", X.SECRETS)}], 'role': role}},
+'trace': {{'a': {{'b': {{'c': {{'d': ['***MAX_DEPTH_REACHED***']}}}}}}}}, 'turn': turn}})::VARCHAR) AS redacted FROM conversations""")
+def redact_nested(g, t):
+    """Conversations as JSON trees: secrets by key and in strings, at any depth, and a branch that is too deep."""
+    message = F.struct(F.array(F.coalesce("text", F.lit("")), F.concat(F.lit("password="), F.col("role"))).alias("parts"), "role")
+    deep = F.lit(1)
+    for name in "fedcba":
+        deep = F.struct(deep.alias(name))
+    tree = F.to_json(F.struct("conv_id", F.struct(F.col("text")).alias("dbPassword"), message.alias("message"), deep.alias("trace"), "turn"))
+    return t("conversations").select("conv_id", "turn", F.md5(redact_json(tree)).alias("redacted"))
+
+
+@query("""SELECT event_id, CASE WHEN (props->>'k')::INT % 2 = 0 THEN '{"props":' || replace(props, ' ', '') || ',"session":{"accessToken":"***REDACTED***","user":' || user_id || '}}' ELSE replace(props, ' ', '') END AS redacted FROM events""")
+def redact_events(g, t):
+    """The properties of events as they are logged, half of them with a session around."""
+    even = F.get_json_object("props", "$.k").cast("int") % 2 == 0
+    logged = F.concat(F.lit('{"props": '), F.col("props"), F.lit(', "session": {"user": '), F.col("user_id").cast("string"), F.lit(', "accessToken": ["'), F.col("event_type"), F.lit('"]}}'))
+    return g.nodes("Event").select("event_id", redact_json(F.when(even, logged).otherwise(F.col("props"))).alias("redacted"))
+
+
 @query("SELECT doc_id, CASE WHEN text[1] IN ('{', '[') THEN ceil(ceil(length(text) / 4.0) * 1.2::DOUBLE) ELSE ceil(length(text) / 4.0) END::BIGINT AS tokens FROM documents")
 def token_estimate(g, t):
     return t("documents").select("doc_id", X.token_estimate(F.col("text")).alias("tokens"))

@@ -11,10 +11,55 @@ from pyspark.sql.types import StringType, StructType
 from graphquarry.operators.ingest import SECRET_NAMES
 from graphquarry.plans.model import EntityDef, RelDef, ScopeDef
 
-# What names say of text columns, and of those that aren't worth embedding.
-TEXT_NAMES = ("description", "content", "body", "text", "notes", "comment", "bio", "summary", "message", "title", "name")
-NOT_EMBEDDED = ("_id", "uuid", "hash", "password", "token", "secret", "url", "path", "email", "phone")
-SYNONYMS = {"customer": ("client", "buyer"), "person": ("people", "individual", "member"), "order": ("purchase", "transaction"), "product": ("item", "article"), "supplier": ("vendor",), "user": ("account",)}
+# Names of columns that hold text.
+TEXT_NAMES = ("description", "bio", "notes", "content", "body", "summary", "details", "comment", "message", "text", "remarks")
+# Names of columns that are embedded, and of those that aren't.
+EMBEDDED_NAMES = ("name", "description", "bio", "notes", "content", "body", "summary", "details", "comment", "message", "text", "remarks", "about", "overview", "introduction")
+NOT_EMBEDDED = ("_id", "_at", "_on", "password", "token", "secret", "key", "hash", "salt", "uuid", "guid")
+# What business terms are also called.
+SYNONYMS = {
+    "customer": ("client", "buyer", "patron", "account"),
+    "user": ("member", "person", "individual", "account"),
+    "order": ("purchase", "sale", "transaction"),
+    "product": ("item", "good", "merchandise", "article"),
+    "invoice": ("bill", "statement", "receipt"),
+    "payment": ("transaction", "remittance"),
+    "employee": ("worker", "staff", "personnel", "team member"),
+    "company": ("organization", "business", "enterprise", "firm"),
+    "address": ("location", "place"),
+    "phone": ("telephone", "contact number", "mobile"),
+    "email": ("e-mail", "electronic mail", "contact"),
+    "category": ("type", "class", "group"),
+    "tag": ("label", "keyword"),
+    "comment": ("note", "remark", "feedback"),
+    "post": ("article", "entry", "content"),
+    "file": ("document", "attachment", "upload"),
+    "image": ("photo", "picture", "graphic"),
+    "team": ("group", "department", "division"),
+    "role": ("position", "title", "function"),
+    "permission": ("access", "right", "privilege"),
+}
+# Descriptions of common properties, and of those with a speaking ending or beginning.
+DESCRIPTIONS = {
+    "id": "Unique identifier",
+    "created_at": "Creation timestamp",
+    "updated_at": "Last update timestamp",
+    "deleted_at": "Deletion timestamp (soft deletes)",
+    "email": "Email address",
+    "name": "Name",
+    "status": "Status",
+    "type": "Type",
+    "description": "Description",
+    "notes": "Notes",
+    "total": "Total amount",
+    "quantity": "Quantity",
+    "price": "Price",
+    "amount": "Amount",
+    "date": "Date",
+    "timestamp": "Timestamp",
+}
+ENDINGS = {"_id": "Foreign key to {}", "_at": "{} timestamp", "_on": "{} date", "_count": "Count of {}"}
+BEGINNINGS = {"is_": "Flag indicating if {}", "has_": "Flag indicating has {}"}
 DISCRIMINATORS = ("role_type", "type", "status", "kind", "category", "role")
 
 
@@ -54,7 +99,12 @@ def text_columns(schema: StructType) -> list[str]:
 
 
 def embed_fields(schema: StructType) -> list[str]:
-    return [c for c in text_columns(schema) if not any(p in c.lower() for p in NOT_EMBEDDED)]
+    """Text columns with an embedded name and no excluded one; then further string columns with an embedded name, excluded or not."""
+    low = {c: c.lower() for c in schema.names}
+    named = lambda c, names: any(p in low[c] for p in names)
+    first = [c for c in text_columns(schema) if named(c, EMBEDDED_NAMES) and not named(c, NOT_EMBEDDED)]
+    strings = [f.name for f in schema.fields if isinstance(f.dataType, StringType)]
+    return first + [c for c in strings if c not in first and named(c, EMBEDDED_NAMES)]
 
 
 def properties(schema: StructType) -> list[str]:
@@ -86,12 +136,20 @@ def aliases(label: str) -> list[str]:
     return list(dict.fromkeys(names))
 
 
+def title(name: str) -> str:
+    return name.replace("_", " ").title()
+
+
 def describe(column: str) -> str:
-    words = column.replace("_", " ")
-    for end, text in (("_id", "Identifier of the related {}"), ("_at", "When it was {}"), ("_on", "Date of {}"), ("_count", "Number of {}")):
+    if column in DESCRIPTIONS:
+        return DESCRIPTIONS[column]
+    for end, text in ENDINGS.items():
         if column.endswith(end):
-            return text.format(column[: -len(end)].replace("_", " "))
-    return f"Whether it {words}" if column.startswith(("is_", "has_")) else words.capitalize()
+            return text.format(title(column[: -len(end)]))
+    for begin, text in BEGINNINGS.items():
+        if column.startswith(begin):
+            return text.format(title(column[len(begin) :]))
+    return title(column)
 
 
 def discover(table: str, schemas: dict[str, StructType]) -> EntityDef:

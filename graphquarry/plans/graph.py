@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -136,6 +137,20 @@ class PropertyGraph:
             names |= {("property", c) for c in e.properties or self.nodes(e.label).columns}
         return self.spark.createDataFrame(sorted(names), "kind string, name string")
 
+    def statistics(self) -> DataFrame:
+        """kind, name and n: nodes of each label, edges of each relationship type, labels that have each property. One scan a table."""
+        parts, properties = [], {}
+        for e in self.entities.values():
+            nodes = self.nodes(e.label)
+            counts = [F.struct(F.lit("label").alias("kind"), F.lit(e.label).alias("name"), F.count("*").alias("n"))]
+            counts += [F.struct(F.lit("relationship").alias("kind"), F.lit(r.type).alias("name"), F.count(r.foreign_key).alias("n")) for r in e.relationships]
+            row = nodes.agg(*[c.alias(f"c{i}") for i, c in enumerate(counts)])
+            parts.append(row.select(F.explode(F.array(*[F.col(f"c{i}") for i in range(len(counts))])).alias("c")).select("c.*"))
+            for c in e.properties or nodes.columns:
+                properties[c] = properties.get(c, 0) + 1
+        counted = reduce(DataFrame.unionByName, parts).groupBy("kind", "name").agg(F.sum("n").alias("n"))
+        return counted.unionByName(self.spark.createDataFrame([("property", c, n) for c, n in sorted(properties.items())], "kind string, name string, n long"))
+
     def reach(self, label: str, parent: str, roots: Column, max_hops: int = 10) -> DataFrame:
         """id and hops (the fewest) of every node below the roots along a self-reference, up to max_hops.
 
