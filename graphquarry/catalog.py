@@ -20,6 +20,7 @@ from graphquarry.operators import matching as M
 from graphquarry.operators import query as Q
 from graphquarry.operators import vector_index as vector_lists
 from graphquarry.operators import vectors as V
+from graphquarry.operators import semantic
 from graphquarry.operators.dual import DualStore
 from graphquarry.plans import discovery, profiling, templates
 from graphquarry.plans import patterns as P
@@ -614,16 +615,52 @@ def keyword_match(g, t):
     return M.keyword_match(q, t("benchmark").select(F.col("item_id").alias("example_id"), F.col("text").alias("example"), kind.alias("kind")))
 
 
-@query("SELECT n_nationkey, CASE WHEN lower(n_name) = 'nation 3' OR replace(lower(n_name), '_', ' ') = 'nation 3' THEN 1.0::DOUBLE ELSE round((3 * n_nationkey + 2) / (sqrt(n_nationkey * n_nationkey + 1) * sqrt(13.0::DOUBLE)), 6) END AS score FROM nation")
+@query("SELECT n_nationkey, CASE WHEN lower(n_name) = 'nation_3' THEN 1.0::DOUBLE ELSE round((3 * n_nationkey + 2) / (sqrt(n_nationkey * n_nationkey + 1) * sqrt(13.0::DOUBLE)), 6) END AS score FROM nation")
 def best_match(g, t):
     a, b = F.array(F.col("n_nationkey").cast("double"), F.lit(1.0)), F.array(F.lit(3.0), F.lit(2.0))
-    return g.nodes("Nation").select("n_nationkey", F.round(M.best_match(F.col("n_name"), F.lit("Nation 3"), a, b), 6).alias("score"))
+    return g.nodes("Nation").select("n_nationkey", F.round(M.best_match(F.col("n_name"), F.lit(" Nation_3 "), a, b), 6).alias("score"))
 
 
 @query("SELECT DISTINCT c.conv_id AS question_id, n.entity FROM conversations c, (VALUES ('Greeting', 'the'), ('Hedge', 'thing'), ('Never', '§§')) n(entity, name) WHERE contains(lower(c.text), n.name)")
 def entity_match(g, t):
-    names = [("Greeting", "the"), ("Hedge", "Thing"), ("Never", "§§")]
-    return M.entity_match(t("conversations").select(F.col("conv_id").alias("question_id"), F.col("text").alias("question")), names)
+    names = g.spark.createDataFrame([("Greeting", "the"), ("Hedge", "Thing"), ("Never", "§§")], "entity string, name string")
+    return semantic.dictionary_match(t("conversations").select(F.col("conv_id").alias("question_id"), F.col("text").alias("question")), names)
+
+
+@query("""WITH n AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[0-9A-Za-z_]{6,}'))) AS name FROM benchmark)
+SELECT DISTINCT conv_id AS question_id, left(name, 2) AS entity FROM conversations JOIN n ON contains(lower(text), name) WHERE name <> ''""")
+def dictionary_match(g, t):
+    """All longer words of the benchmark as names of entities, the latter called by two letters."""
+    word = F.explode(F.regexp_extract_all("text", F.lit("[0-9A-Za-z_]{6,}"), F.lit(0)))
+    names = t("benchmark").select(word.alias("name")).distinct().select("name", F.lower(F.substring("name", 1, 2)).alias("entity"))
+    return semantic.dictionary_match(t("conversations").select(F.col("conv_id").alias("question_id"), F.col("text").alias("question")), names)
+
+
+#: Every hundredth vector asks; all are candidates of their label's entity, by their number. Some say what a question says, but for case and spaces.
+MATCH_SQL = """WITH q AS (SELECT vec_id AS question_id, 'Vector ' || vec_id AS question, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 100 = 0),
+c AS (SELECT label::VARCHAR AS entity, vec_id AS priority, ' vector  ' || (vec_id // 50 * 50) AS text, embedding::DOUBLE[] AS e FROM embeddings),
+h AS (SELECT question_id, entity, priority, text, trim(replace(text, '  ', ' ')) = lower(question) AS exact, list_cosine_similarity(q, e) AS s FROM q, c),
+m AS (SELECT *, CASE WHEN exact THEN 1.0::DOUBLE ELSE round(s, 6) END AS score FROM h WHERE exact OR s >= 0.25)"""
+
+
+def _candidates(t):
+    e = t("embeddings")
+    number = F.col("vec_id").cast("string")
+    asked = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("question_id"), F.concat(F.lit("Vector "), number).alias("question"), "embedding")
+    text = F.concat(F.lit(" vector  "), (F.floor(F.col("vec_id") / 50) * 50).cast("string"))
+    return asked, e.select(F.col("label").cast("string").alias("entity"), F.col("vec_id").alias("priority"), text.alias("text"), "embedding")
+
+
+@query(MATCH_SQL + " SELECT question_id, entity, arg_min(score, priority) AS score, arg_min(exact, priority) AS exact FROM m GROUP BY 1, 2")
+def priority_match(g, t):
+    found = semantic.priority_match(*_candidates(t), 0.25, block=200)
+    return found.select("question_id", "entity", F.round("score", 6).alias("score"), "exact")
+
+
+@query(MATCH_SQL + " SELECT question_id, arg_min(entity, (NOT exact, CASE WHEN exact THEN 0 ELSE -s END, priority)) AS entity, max(score) AS score FROM m GROUP BY 1")
+def label_match(g, t):
+    found = semantic.label_match(*_candidates(t), 0.25, block=200)
+    return found.select("question_id", "entity", F.round("score", 6).alias("score"))
 
 
 @query("""WITH h AS (SELECT vec_id % 7 AS question_id, 'e' || (label % 3)::VARCHAR AS entity, 's' || label::VARCHAR AS scope, embedding[1]::DOUBLE AS score FROM embeddings),

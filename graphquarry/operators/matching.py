@@ -61,7 +61,8 @@ def keyword_match(questions: DataFrame, examples: DataFrame) -> DataFrame:
 
 
 def normal(text: Column) -> Column:
-    return F.regexp_replace(F.lower(F.trim(text)), r"[\s_-]+", " ")
+    """Lower case, one space for any white space, none at the ends."""
+    return F.btrim(F.regexp_replace(F.lower(text), r"\s+", " "))
 
 
 def best_match(text: Column, candidate: Column, a: Column | str, b: Column | str) -> Column:
@@ -69,16 +70,6 @@ def best_match(text: Column, candidate: Column, a: Column | str, b: Column | str
     return F.when(normal(text) == normal(candidate), F.lit(1.0)).otherwise(cosine(a, b))
 
 
-def entity_match(questions: DataFrame, names: list[tuple[str, str]]) -> DataFrame:
-    """question_id, entity: those with a name (label, alias or scope) in the question, whatever the case.
-
-    names: the declared (entity, name) pairs, a part of the plan.
-    """
-    low = F.lower("question")
-    found = F.array_distinct(F.array_compact(F.array(*[F.when(low.contains(name.lower()), F.lit(entity)) for entity, name in names])))
-    return questions.select("question_id", F.explode(found).alias("entity")).distinct()
-
-
 def scope_match(hits: DataFrame, k: int, threshold: float = 0) -> DataFrame:
     """Per question the k best (entity, scope) of hits (question_id, entity, scope, score), each once at its best score."""
     once = hits.where(F.col("score") >= threshold).groupBy("question_id", "entity", "scope").agg(F.max("score").alias("score"))
