@@ -27,7 +27,7 @@ from graphquarry.plans import patterns as P
 from graphquarry.plans.graph import Hop, PropertyGraph
 from graphquarry.plans.model import EntityDef
 from graphquarry.plans.predicates import Where, temporal
-from graphquarry.sources import files, scratch, tables
+from graphquarry.sources import files, processing, scratch, tables
 from graphquarry.sources.collections import Collections
 from graphquarry.streaming import changes
 from graphquarry.streaming.changelog import ChangeFeed, ChangeTable
@@ -917,6 +917,36 @@ def file_pipeline(g, t):
     return X.chunk_table(cleaned, "doc_id", "text", *X.CHUNK_SIZES["txt"]).groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.sum(F.char_length("content")).alias("n_chars"))
 
 
+def _bundles(t):
+    """Files of some documents each, by source and number: name, content. Some are broken or of no known type."""
+    d = t("documents").select("doc_id", F.concat_ws("-", F.coalesce("source", F.lit("none")), (F.col("doc_id") % 20).cast("string")).alias("bundle"), F.coalesce("text", F.lit("")).alias("text"), (F.col("doc_id") % 20).alias("k"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"])
+    whole = d.groupBy("bundle", "k").agg(F.array_join(lines, "\n\n").alias("text"))
+    kind = F.when(F.col("k") == 17, ".exe").when(F.col("k") == 18, ".docx").when(F.col("k") == 19, ".md").otherwise(".TXT")
+    content = F.when(F.col("k") == 16, F.lit(" \n\t ")).otherwise(F.col("text"))
+    return whole.select("k", F.concat("bundle", kind).alias("name"), content.alias("text"))
+
+
+@query(f"""WITH d AS (SELECT coalesce(source, 'none') || '-' || doc_id % 20 AS bundle, doc_id % 20 AS k, string_agg(coalesce(text, ''), chr(10) || chr(10) ORDER BY doc_id) AS text FROM documents GROUP BY ALL),
+e AS (SELECT bundle, k, CASE WHEN k = 16 THEN '' WHEN k % 3 = 0 AND k < 16 THEN text || ' more' ELSE text END AS text FROM d),
+f AS (SELECT *, {CLEAN_SQL} AS cleaned FROM e)
+SELECT bundle || CASE k WHEN 17 THEN '.exe' WHEN 18 THEN '.docx' WHEN 19 THEN '.md' ELSE '.TXT' END AS name,
+CASE WHEN k IN (16, 17, 18) OR cleaned = '' THEN 'failed' WHEN k % 3 = 0 THEN 'done' ELSE 'skipped' END AS status,
+CASE WHEN k = 17 THEN 'unsupported type: exe' WHEN k = 18 THEN 'BadZipFile: File is not a zip file' WHEN cleaned = '' THEN 'no text' END AS error,
+CASE WHEN k < 16 AND cleaned <> '' THEN length(cleaned) END AS n_chars FROM f""")
+def file_ledger(g, t):
+    """Files written, processed, some changed, processed again: those that changed are done anew, others skipped, failures tried and told again."""
+    folder, bundles = scratch.folder(g.spark, "files"), _bundles(t)
+    store = processing.FileStore(g.spark, f"{folder}/store", lambda df, c: embed_distinct(df, c, HashEmbedder(8)))
+    processing.write_files(bundles.select("name", F.encode("text", "UTF-8").alias("content")), f"{folder}/in")
+    store.process(f"{folder}/in")
+    changed = bundles.where("k % 3 = 0 AND k < 16").select("name", F.encode(F.concat("text", F.lit(" more")), "UTF-8").alias("content"))
+    processing.write_files(changed, f"{folder}/in")
+    report = store.process(f"{folder}/in")
+    length = F.when(~F.col("name").endswith(".md"), F.col("text_length"))
+    return report.join(store.ledger().select("name", "text_length"), "name").select("name", "status", "error", length.alias("n_chars"))
+
+
 class LetterEmbedder:
     """Counts of some letters: an embedder that SQL can follow."""
 

@@ -24,7 +24,7 @@ from graphquarry.operators.ingest import embed_text
 from graphquarry.plans.graph import PropertyGraph
 from graphquarry.plans.model import EntityDef
 from graphquarry.sources.store import Manifest
-from graphquarry.streaming.changelog import ChangeTable, used
+from graphquarry.streaming.changelog import ChangeTable, StepFailed, commit_together, sweep
 
 SEQ = "_seq"
 STATUS = "in_graph boolean, in_vectors boolean, n_edges long, error string"
@@ -87,20 +87,10 @@ class DualStore:
         states[table.name] = table.stage(states.get(table.name, {}), *with_seq)
 
     def _run(self, operation: str, steps: list[tuple[str, Callable[[dict, int], None]]]) -> None:
-        """Runs the steps on a copy of the states, then commits them together; after an error deletes what they wrote."""
-        version, now = self.manifest.load()
-        states = dict(now)
-        view = "manifest"
         try:
-            for view, step in steps:
-                step(states, version + 1)
-            view = "manifest"
-            self.manifest.commit(states, version)
-        except Exception as e:
-            before = set().union(*map(used, now.values()))
-            for path in set().union(*map(used, states.values())) - before:
-                self.manifest.files.drop(path)
-            raise InconsistentWrite(operation, view, e) from e
+            commit_together(self.manifest, steps)
+        except StepFailed as e:
+            raise InconsistentWrite(operation, e.step, e.cause) from e
 
     def _seeded(self, e: EntityDef, states: dict, seq: int) -> None:
         """Before its first change, a label's rows in the graph's own table are taken over."""
@@ -212,13 +202,7 @@ class DualStore:
 
     def sweep(self, keep: int = 2) -> None:
         """Deletes files that none of the last `keep` versions reads."""
-        last = self.manifest.version()
-        kept = set().union(*(used(s) for v in range(max(1, last - keep + 1), last + 1) for s in self.manifest.load(v)[1].values()))
-        for folder in [f for f in self.manifest.files.names() if f != "manifest"]:
-            for name in self.manifest.files.names(folder):
-                if f"{folder}/{name}" not in kept:
-                    self.manifest.files.drop(f"{folder}/{name}")
-        self.manifest.forget(keep)
+        sweep(self.manifest, keep)
 
 
 def summary(status: DataFrame) -> DataFrame:

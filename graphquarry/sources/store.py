@@ -47,6 +47,14 @@ class Files:
             self._fs.delete(hidden, False)
         return done
 
+    def mkdirs(self) -> None:
+        self._fs.mkdirs(self._path(""))
+
+    def qualified(self, folder: str) -> str:
+        """A folder as Spark names it in paths of files."""
+        path = self._hadoop.Path(folder)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+
     def drop(self, name: str) -> None:
         self._fs.delete(self._path(name), True)
 

@@ -125,6 +125,42 @@ def used(state: dict) -> set[str]:
     return {*state.get("base", {}).values(), *(r for runs in state.get("runs", {}).values() for r in runs)}
 
 
+class StepFailed(RuntimeError):
+    def __init__(self, step: str, cause: Exception):
+        super().__init__(f"{step}: {cause}")
+        self.step, self.cause = step, cause
+
+
+def commit_together(manifest: Manifest, steps: list[tuple[str, Callable[[dict, int], None]]]) -> int:
+    """Runs named steps on a copy of the manifest's states (each gets it and the new version) and commits what they staged at once.
+
+    After an error nothing is committed, and what was staged is deleted.
+    """
+    version, now = manifest.load()
+    states, name = dict(now), "manifest"
+    try:
+        for name, step in steps:
+            step(states, version + 1)
+        name = "manifest"
+        return manifest.commit(states, version)
+    except Exception as e:
+        before = set().union(*map(used, now.values()))
+        for path in set().union(*map(used, states.values())) - before:
+            manifest.files.drop(path)
+        raise StepFailed(name, e) from e
+
+
+def sweep(manifest: Manifest, keep: int = 2) -> None:
+    """Deletes the files that none of the last `keep` versions of several tables reads."""
+    last = manifest.version()
+    kept = set().union(*(used(s) for v in range(max(1, last - keep + 1), last + 1) for s in manifest.load(v)[1].values()))
+    for folder in [f for f in manifest.files.names() if f != "manifest"]:
+        for name in manifest.files.names(folder):
+            if f"{folder}/{name}" not in kept:
+                manifest.files.drop(f"{folder}/{name}")
+    manifest.forget(keep)
+
+
 class ChangeFeed:
     """One table that follows a stream of changes; a batch that is run again changes nothing."""
 
