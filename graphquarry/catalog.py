@@ -98,11 +98,14 @@ def format_json(g, t):
     return Q.as_json(g.nodes("Nation"))
 
 
-@query("SELECT n_nationkey::VARCHAR AS id, 'Nation' AS label, n_name AS name FROM nation UNION ALL SELECT r_regionkey::VARCHAR, 'Region', r_name FROM region")
+@query("""SELECT n_nationkey::VARCHAR AS id, 'Nation' AS label, n_name AS name FROM nation UNION ALL SELECT r_regionkey::VARCHAR, 'Region', r_name FROM region
+UNION ALL SELECT user_id::VARCHAR, 'User', arg_max(event_type, event_id) FROM events GROUP BY user_id""")
 def format_graph(g, t):
+    """Nodes once each: users by their events, of which the last one counts."""
     n = Q.graph_nodes(g.nodes("Nation"), "Nation", "n_nationkey").select("id", "label", F.col("properties")["n_name"].alias("name"))
     r = Q.graph_nodes(g.nodes("Region"), "Region", "r_regionkey").select("id", "label", F.col("properties")["r_name"].alias("name"))
-    return n.unionByName(r)
+    u = Q.graph_nodes(g.nodes("Event"), "User", "user_id", "event_id").select("id", "label", F.col("properties")["event_type"].alias("name"))
+    return n.unionByName(r).unionByName(u)
 
 
 @query("SELECT 'IN_REGION' AS type, n_nationkey::VARCHAR AS start, n_regionkey::VARCHAR AS \"end\" FROM nation")
@@ -343,9 +346,13 @@ def incident_edges(g, t):
 
 @query("SELECT DISTINCT b.l_orderkey AS related FROM lineitem a JOIN lineitem b ON a.l_partkey = b.l_partkey WHERE a.l_orderkey = 1 AND b.l_orderkey <> 1")
 def related_nodes(g, t):
-    mine = g.nodes("LineItem").where("l_orderkey = 1").select(F.col("l_partkey").alias("part")).distinct()
-    others = g.nodes("LineItem").where("l_orderkey <> 1")
-    return others.join(mine, others.l_partkey == F.col("part"), "left_semi").select(F.col("l_orderkey").alias("related")).distinct()
+    return g.sharing("LineItem", "l_partkey", F.col("l_orderkey") == 1)
+
+
+@query("""SELECT DISTINCT 'IN_NATION' AS type, 'Customer' AS other_label, c_custkey::VARCHAR AS other_id FROM customer WHERE c_nationkey = 3
+UNION SELECT 'IN_NATION', 'Supplier', s_suppkey::VARCHAR FROM supplier WHERE s_nationkey = 3""")
+def neighbours(g, t):
+    return g.neighbours("Nation", 3, "IN_NATION")
 
 
 @query("SELECT r_name, n_name, s_suppkey, 2 AS hops FROM region JOIN nation ON n_regionkey = r_regionkey JOIN supplier ON s_nationkey = n_nationkey WHERE r_name = 'EUROPE'")
@@ -432,6 +439,21 @@ def paginate(g, t):
     return Q.page_rows(g.nodes("Customer").select("c_custkey"), 3, 20, "c_custkey")
 
 
+@query("""SELECT l_orderkey, l_linenumber, l_extendedprice FROM (SELECT *, row_number() OVER (ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS k, count(*) OVER () AS n FROM lineitem)
+WHERE (k - 1) // 100 = n // 200""")
+def deep_page(g, t):
+    """The page in the middle of all line items, by price: read from the ranges that hold its rows."""
+    rows = t("lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    ranges = Q.Ranges(rows, F.desc("l_extendedprice"), F.col("l_orderkey"), F.col("l_linenumber"))
+    return ranges.slice(ranges.total // 200 * 100, 100)
+
+
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders")
+def global_ranks(g, t):
+    """The place of each order among all, without a sort in one task."""
+    return Q.Ranges(t("orders").select("o_orderkey", "o_totalprice"), F.desc("o_totalprice"), F.col("o_orderkey")).ranked().select("o_orderkey", "rank")
+
+
 @query("SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations) WHERE k <= 3")
 def history_last_n(g, t):
     return Q.history_last(t("conversations"), 3).select("conv_id", "turn", "role")
@@ -710,9 +732,9 @@ def question_relationship(g, t):
     return templates.answer(g, "list nations and their region").select("n_name", "r_name")
 
 
-@query("SELECT DISTINCT c_custkey FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_orderstatus = 'P' AND o_totalprice > 450000")
+@query("SELECT DISTINCT c_custkey FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_orderstatus = 'P'")
 def traversal_scope(g, t):
-    view = PropertyGraph(g.spark, lambda n: g.read(n).where("o_totalprice > 450000").withColumn("status", F.col("o_orderstatus")) if n == "orders" else g.read(n), [*g.entities.values()])
+    view = PropertyGraph(g.spark, lambda n: g.read(n).withColumn("status", F.col("o_orderstatus")) if n == "orders" else g.read(n), [*g.entities.values()])
     (scope,) = discovery.traversal_scopes(view, "Customer", PLACED, {"P": "with_pending"})
     return scope.apply(view.nodes("Customer")).select("c_custkey")
 
@@ -1016,15 +1038,16 @@ def sync_relationships(g, t):
     return I.sync_summary(status)
 
 
-@query("""WITH s AS (SELECT d.doc_id IS NOT NULL AS g, e.vec_id IS NOT NULL AS v FROM documents d FULL JOIN embeddings e ON d.doc_id = e.vec_id)
-SELECT count(*) AS total, count(*) FILTER (g AND v) AS succeeded, count(*) FILTER (g <> v) AS partially_succeeded, count(*) FILTER (NOT g AND NOT v) AS failed FROM s""")
+@query("SELECT count(*) AS total, count(*) AS succeeded, 0::BIGINT AS partially_succeeded, 0::BIGINT AS failed FROM orders")
 def ingest_summary(g, t):
-    return I.ingest_summary(I.ingest_status(t("documents"), t("embeddings").withColumnRenamed("vec_id", "doc_id"), "doc_id"))
+    """Orders ingested: an entity without vectors succeeds in the graph alone. The counts are read back."""
+    return dual.summary(_dual(g).ingest_batch("Order", t("orders")))
 
 
-@query("SELECT DISTINCT doc_id, doc_id IN (SELECT vec_id FROM embeddings) AS in_vectors FROM documents")
+@query("SELECT doc_id, true AS in_graph, coalesce(text, '') <> '' AS in_vectors FROM documents")
 def dual_ingest(g, t):
-    return I.ingest_status(t("documents"), t("embeddings").withColumnRenamed("vec_id", "doc_id"), "doc_id").where("in_graph").select("doc_id", "in_vectors")
+    """Documents ingested into nodes and vectors; the status is read back from both."""
+    return _dual(g).ingest_batch("Document", t("documents")).select("doc_id", "in_graph", "in_vectors")
 
 
 @query("SELECT DISTINCT md5(text || role) AS id, text AS question, role AS query FROM conversations")

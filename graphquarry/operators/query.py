@@ -6,6 +6,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructType
+
+from graphquarry.operators.ingest import latest
+from graphquarry.sources import scratch
 
 DEFAULT_LIMIT, MAX_LIMIT = 100, 1000
 
@@ -30,10 +34,53 @@ class Page:
     total: int
 
 
+#: Pages that end beyond this row are read from ranges; up to it each task keeps its first rows and one merges them.
+DEEP = 10_000
+
+
+class Ranges:
+    """A result in its order, cut into ranges that are written out, with the number of each range's first row.
+
+    Any page is read from the ranges that hold its rows and from no other; ranks of all rows come without a sort in one task.
+    The order has to be total. What the driver holds is a count a range. Where keys are frequent, a total order still splits them.
+    """
+
+    def __init__(self, df: DataFrame, *order: Column | str, ranges: int | None = None):
+        spark = df.sparkSession
+        ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.order, self.columns = order, df.columns
+        dealt = df.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()).sortWithinPartitions(*order)
+        path = scratch.folder(spark, "ranges")
+        dealt.write.partitionBy("_range").parquet(path)
+        schema = StructType([*df.schema.fields]).add("_range", IntegerType())
+        self.rows = spark.read.schema(schema).parquet(path)
+        self.counts = {r["_range"]: r["n"] for r in self.rows.groupBy("_range").agg(F.count("*").alias("n")).collect()}
+        self.first, self.total = {}, 0
+        for at in sorted(self.counts):
+            self.first[at] = self.total
+            self.total += self.counts[at]
+
+    def slice(self, offset: int, n: int) -> DataFrame:
+        """Rows offset to offset + n - 1, in order."""
+        held = [at for at, first in self.first.items() if first < offset + n and first + self.counts[at] > offset]
+        own = self.rows.where(F.col("_range").isin(held)).select(*[f"`{c}`" for c in self.columns])
+        return own.orderBy(*self.order).offset(offset - self.first[held[0]] if held else 0).limit(n)
+
+    def ranked(self, name: str = "rank") -> DataFrame:
+        """All rows with their numbers, from 1."""
+        starts = self.rows.sparkSession.createDataFrame(list(self.first.items()), "_at int, _first long")
+        inside = F.row_number().over(Window.partitionBy("_range").orderBy(*self.order))
+        numbered = self.rows.join(F.broadcast(starts), F.col("_range") == F.col("_at")).withColumn(name, F.col("_first") + inside)
+        return numbered.select(*[f"`{c}`" for c in self.columns], name)
+
+
 def page_rows(df: DataFrame, page: int, per_page: int, *order: Column | str) -> DataFrame:
     """One page; the order has to be total for pages to be stable."""
     per_page, page = max(1, min(per_page, MAX_LIMIT)), max(1, page)
-    return df.orderBy(*order).offset((page - 1) * per_page).limit(per_page)
+    offset = (page - 1) * per_page
+    if offset + per_page > DEEP:
+        return Ranges(df, *order).slice(offset, per_page)
+    return df.orderBy(*order).offset(offset).limit(per_page)
 
 
 def paginate(df: DataFrame, page: int, per_page: int, *order: Column | str) -> Page:
@@ -62,10 +109,15 @@ def as_json(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns)).alias("json"))
 
 
-def graph_nodes(df: DataFrame, label: str, key: str) -> DataFrame:
-    """id, label, properties: each node once."""
+def graph_nodes(df: DataFrame, label: str, key: str, sequence: str | None = None) -> DataFrame:
+    """id, label, properties: each node once. Of several rows with its id the last one counts, by the column sequence."""
+    if sequence is not None:
+        df = latest(df, key, sequence)
+    elif df.columns:
+        # Without a sequence rows of one id are taken to be equal.
+        df = df.dropDuplicates([key])
     props = F.create_map(*[x for c in df.columns for x in (F.lit(c), F.col(c).cast("string"))])
-    return df.dropDuplicates([key]).select(F.col(key).cast("string").alias("id"), F.lit(label).alias("label"), props.alias("properties"))
+    return df.select(F.col(key).cast("string").alias("id"), F.lit(label).alias("label"), props.alias("properties"))
 
 
 def graph_relationships(edges: DataFrame, type_: str) -> DataFrame:

@@ -137,6 +137,21 @@ class PropertyGraph:
             names |= {("property", c) for c in e.properties or self.nodes(e.label).columns}
         return self.spark.createDataFrame(sorted(names), "kind string, name string")
 
+    def neighbours(self, label: str, key, type_: str | None = None, limit: int | None = None) -> DataFrame:
+        """type, other_label, other_id of nodes one edge away, whichever way it points, each once; of one type, if given."""
+        edges = self.incident_edges(label, key)
+        own = edges if type_ is None else edges.where(F.col("type") == type_)
+        once = own.select("type", "other_label", "other_id").distinct()
+        return once if limit is None else once.orderBy("other_label", "other_id", "type").limit(limit)
+
+    def sharing(self, label: str, through: str, rows: Column) -> DataFrame:
+        """Other rows of label that share a value of a column (a foreign key) with those for which `rows` holds; distinct ids."""
+        e = self.entity(label)
+        mine = self.nodes(label).where(rows).select(F.col(through).alias("_value"), F.col(e.id).alias("_id")).distinct()
+        others = self.nodes(label).join(mine.select("_value").distinct(), F.col(through) == F.col("_value"), "left_semi")
+        ids = others.select(F.col(e.id).alias("related")).distinct()
+        return ids.join(mine.select("_id").distinct(), F.col("related") == F.col("_id"), "left_anti")
+
     def statistics(self) -> DataFrame:
         """kind, name and n: nodes of each label, edges of each relationship type, labels that have each property. One scan a table."""
         parts, properties = [], {}
