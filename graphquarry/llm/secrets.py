@@ -4,8 +4,9 @@ Two models of order 2 are trained: one of random strings, one of ordinary identi
 long token of key characters outside all base spans) is a secret if its log-likelihood ratio a
 character is above BAR. The labelled samples: random strings are generated over the alphabets and layouts of
 keys, together with the values that the base patterns find in a sample of about TRAIN_DOCS documents; ordinary ones are
-generated names, paths, UUIDs, dates, numbers and rulers, together with all other long tokens of the same documents. What
-documents add weighs DOCS_WEIGHT of what is generated. From the documents the driver gets counts of three
+generated names, paths, UUIDs, dates, numbers and rulers, the names and words in source files of Python's own library (half of its
+files, CODE_FILES at most; they weigh as much as what is generated), and all other long tokens of the same documents. What
+documents add weighs DOCS_WEIGHT of that. From the documents the driver gets counts of three
 characters in a row, which the alphabet bounds, whatever the documents hold.
 
 Spans are code points, end exclusive, of the whole match. Defined cases: a null or empty text has none; overlapping spans of
@@ -18,10 +19,13 @@ from __future__ import annotations
 import random
 import re
 import string
+import sysconfig
+import zlib
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from itertools import accumulate
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +48,8 @@ BAR = 0.15
 TRAIN_DOCS = 2000
 DOCS_WEIGHT = 0.1
 GENERATED = 6000
+#: Source files that teach ordinary names; where Python comes without sources, the generated ones do alone.
+CODE_FILES = 400
 ALPHABET = string.ascii_letters + string.digits + "+/_=-."
 #: So many sightings weigh as much as what the shorter context says.
 LEAN = 4.0
@@ -94,10 +100,26 @@ def codes(token: str) -> list[int]:
 
 
 def tally(tokens: Iterable[str]) -> np.ndarray:
-    table = np.zeros(SIDE**3)
-    for t in tokens:
-        np.add.at(table, codes(t), 1)
-    return table
+    return np.bincount([c for t in tokens for c in codes(t)], minlength=SIDE**3).astype(float)
+
+
+def code_words(files: int = CODE_FILES) -> set[str]:
+    """Distinct words and names in sources of Python's library: those whose path has an even checksum, no tests, first by checksum."""
+    root = Path(sysconfig.get_paths()["stdlib"])
+    known = {zlib.crc32(p.relative_to(root).as_posix().encode()): p for p in root.rglob("*.py") if not {"site-packages", "test", "tests"} & set(p.relative_to(root).parts)}
+    chosen = [known[c] for c in sorted(known) if c % 2 == 0][:files]
+    return {w for p in chosen for w in WORD.findall(p.read_text("utf-8", "ignore"))}
+
+
+#: Filled once in a driver's life.
+_ORDINARY: dict[str, np.ndarray] = {}
+
+
+def ordinary_table() -> np.ndarray:
+    if not _ORDINARY:
+        made, read = tally(ordinary_names()), tally(sorted(code_words()))
+        _ORDINARY["table"] = made + read * (made.sum() / read.sum() if read.sum() else 0)
+    return _ORDINARY["table"]
 
 
 def chances(table: np.ndarray) -> np.ndarray:
@@ -201,7 +223,7 @@ def train(docs: DataFrame, n_docs: int = TRAIN_DOCS) -> np.ndarray:
     for r in counts.collect():  # two tables at most: SIDE ** 3 numbers each
         seen[r["kind"], r["code"]] = r["n"]
     tables = []
-    for own, made in zip(seen, (tally(random_strings()), tally(ordinary_names()))):
+    for own, made in zip(seen, (tally(random_strings()), ordinary_table())):
         tables.append(made + own * (DOCS_WEIGHT * made.sum() / own.sum() if own.sum() else 0))
     return log_ratios(*tables)
 
