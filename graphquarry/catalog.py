@@ -27,6 +27,7 @@ from graphquarry.plans import patterns as P
 from graphquarry.plans.graph import Hop, PropertyGraph
 from graphquarry.plans.model import EntityDef
 from graphquarry.plans.predicates import Where, temporal
+from graphquarry.plans.steps import Steps
 from graphquarry.sources import files, processing, scratch, tables
 from graphquarry.sources.collections import Collections
 from graphquarry.streaming import changes
@@ -48,6 +49,7 @@ def query(sql: str | None = None):
     return put
 
 
+CLEAN_SQL = r"trim(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g'), '', '', 'g'), ' ')"
 CUSTOMER = "c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment"
 ORDER = "o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority"
 PLACED = Hop("PLACED_BY", "Order", "incoming")
@@ -407,6 +409,34 @@ def insights(g, t):
     return out.withColumn("sum", F.round("sum", 2)).withColumn("avg", F.round("avg", 4))
 
 
+@query("""SELECT doc_id || ' (integer)' AS doc_id, coalesce('''' || CASE WHEN length(text) > 50 THEN left(text, 47) || '...' ELSE text END || ''' (string)', 'null') AS text,
+coalesce('''' || lang || ''' (string)', 'null') AS lang, '''2024-01-0' || doc_id % 7 || ''' (string date - compare as: property < ''2024-01-0' || doc_id % 7 || ''')' AS day, '[' || doc_id || ',1] (array)' AS pair FROM documents""")
+def labelled_values(g, t):
+    """Documents as examples show them: each value with its type."""
+    day = F.concat(F.lit("2024-01-0"), (F.col("doc_id") % 7).cast("string"))
+    d = t("documents").select("doc_id", F.regexp_replace("text", "^[0-9]{4}-[0-9]{2}-", "").alias("text"), "lang", day.alias("day"), F.array(F.col("doc_id"), F.lit(1).cast("long")).alias("pair"))
+    return N.labelled(d)
+
+
+@query("""WITH r AS (SELECT c_custkey, c_name, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 50)
+SELECT 'c_custkey,c_name' AS headers, string_agg(c_custkey || ',' || c_name, ';' ORDER BY c_acctbal DESC, c_custkey) AS rows FROM r""")
+def chat_table(g, t):
+    """The fifty richest customers as the one row that a chat shows."""
+    top = t("customer").orderBy(F.desc("c_acctbal"), "c_custkey").select("c_custkey", "c_name")
+    one = N.as_table(top, 50)
+    return one.select(F.array_join("headers", ",").alias("headers"), F.array_join(F.transform("rows", lambda r: F.array_join(r, ",")), ";").alias("rows"))
+
+
+@query(f"""WITH c AS (SELECT doc_id, lang, {CLEAN_SQL} AS text FROM documents WHERE lang <> 'de')
+SELECT doc_id, md5(lower(text)) AS cleaned, length(text) AS n_chars FROM c WHERE length(text) > 100""")
+def steps(g, t):
+    """A chain of named steps, changed after it was made: one removed, one replaced, one put before another."""
+    chain = Steps().add("measure", lambda d: d.withColumn("n_chars", F.char_length("text")), 90).add("clean", lambda d: d.withColumn("text", X.clean_text(F.col("text"))), 10)
+    chain.add("none", lambda d: d.limit(0), 20).add("upper", lambda d: d.withColumn("text", F.upper("text")), 95)
+    chain.before("clean", lambda d: d.where("lang <> 'de'")).remove("none").after("measure", lambda d: d.where("n_chars > 100")).replace("upper", lambda d: d.withColumn("cleaned", F.md5(F.lower("text"))))
+    return chain.run(t("documents").select("doc_id", "lang", "text")).select("doc_id", "cleaned", F.col("n_chars").cast("long").alias("n_chars"))
+
+
 @query("SELECT c_mktsegment, round(100.0::DOUBLE * count(*) FILTER (c_acctbal > 0) / count(*), 4) AS share FROM customer GROUP BY c_mktsegment")
 def ratio(g, t):
     share = F.try_divide(F.lit(100.0) * F.count(F.when(F.col("c_acctbal") > 0, 1)), F.count("*"))
@@ -798,7 +828,6 @@ def text_stats(g, t):
     return t("documents").select("doc_id", *X.text_statistics(F.col("text")))
 
 
-CLEAN_SQL = r"trim(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g'), '', '', 'g'), ' ')"
 
 
 @query(f"SELECT doc_id, md5(regexp_replace(regexp_replace({CLEAN_SQL}, '[ \\t]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')) AS cleaned FROM documents")
