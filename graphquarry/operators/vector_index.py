@@ -17,7 +17,7 @@ Rows without a vector aren't indexed; vectors of another length than the first o
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import astuple, dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -62,6 +62,8 @@ def k_means(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Model:
+    """Goes to tasks as its plain fields, since they can't import this class."""
+
     metric: str
     centres: np.ndarray  # lists x size
     codes: np.ndarray  # parts x 256 x size / parts
@@ -147,6 +149,8 @@ class VectorIndex:
         depth: how many rows a query scores exactly; 0 is no bound, so with all lists probed the result is that of knn_join.
         """
         probes, depth = self.probes if probes is None else probes, self.depth if depth is None else depth
+        if not self.counts:
+            return self.spark.createDataFrame([], f"query_id long, `{self.key}` long, score double, rank int")
         measure, larger = METRICS[self.model.metric]
         asked = queries.where(F.col(vector).isNotNull()).select(F.col(self.key).alias("query_id"), F.col(vector).cast("array<double>").alias("query"))
         probed = self._probe(asked, probes)
@@ -173,12 +177,13 @@ class VectorIndex:
 
     def _probe(self, asked: DataFrame, probes: int) -> DataFrame:
         """asked with one row for each of its nearest lists."""
-        held = self.spark.sparkContext.broadcast(self.model)
+        held = self.spark.sparkContext.broadcast(astuple(self.model))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            model = Model(*held.value)
             for b in batches:
                 if b.num_rows:
-                    lists = held.value.nearest_lists(matrix(b.column(1)), probes)
+                    lists = model.nearest_lists(matrix(b.column(1)), probes)
                     again = np.repeat(np.arange(b.num_rows), lists.shape[1])
                     out = b.take(pa.array(again))
                     yield pa.RecordBatch.from_arrays([*out.columns, pa.array(lists.ravel().astype(np.int32))], names=["query_id", "query", "list"])
@@ -186,12 +191,12 @@ class VectorIndex:
         return asked.mapInArrow(run, "query_id long, query array<double>, list int")
 
     def _nearest(self, depth: int):
-        held, key = self.spark.sparkContext.broadcast(self.model), self.key
+        held, key = self.spark.sparkContext.broadcast(astuple(self.model)), self.key
 
         def run(at: tuple, rows: pa.Table, asked: pa.Table) -> pa.Table:
             out = [[], [], []]
             if rows.num_rows and asked.num_rows:
-                model, ids = held.value, rows.column(key).to_numpy()
+                model, ids = Model(*held.value), rows.column(key).to_numpy()
                 codes = np.frombuffer(b"".join(rows.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1)
                 parts = np.arange(codes.shape[1])
                 for query, table in zip(asked.column("query_id").to_pylist(), model.tables(matrix(asked.column("query")), at[0].as_py())):
@@ -245,13 +250,14 @@ def build(points: DataFrame, path: str, metric: str = "cosine", lists: int | Non
     sample = whole.where(share).limit(2 * SAMPLE).select("embedding").toArrow()  # about SAMPLE rows
     x = matrix(sample.column(0)) if sample.num_rows else np.zeros((1, 1))
     model = train(x, min(list_count(n) if lists is None else lists, MOST_LISTS), metric)
-    held = spark.sparkContext.broadcast(model)
+    held = spark.sparkContext.broadcast(astuple(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model(*held.value)
         for b in batches:
             for at in range(0, b.num_rows, 4096):
                 own = b.slice(at, 4096)
-                own_lists, codes = held.value.encode(matrix(own.column(1), held.value.centres.shape[1]))
+                own_lists, codes = model.encode(matrix(own.column(1), model.centres.shape[1]))
                 yield pa.RecordBatch.from_arrays(
                     [own.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), own.column(1), pa.array(own_lists.astype(np.int32))], names=[key, "codes", "embedding", "list"]
                 )
