@@ -42,6 +42,11 @@ def ascii_lower(text: Column) -> Column:
     )
 
 
+def quoted(name: str) -> str:
+    """A column's name as F.col takes it, whatever characters it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 _OWN: dict[str, str] = {}
 
 

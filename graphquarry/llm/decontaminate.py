@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from graphquarry.llm.common import quoted
+
 WINDOW = 10
 SHINGLE = 5
 #: Words of the items in one broadcast block; a block has one item at least.
@@ -262,7 +264,7 @@ def mark(
         counts = _counts(docs.select("text"), [sc.broadcast(vars(b)) for b in blocks])
         for b, own in zip(blocks, counts):
             rank(b, own, shingle)
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_doc"), F.col("text").alias("_text"))
+    packed = docs.select(F.struct(*[F.col(quoted(c)) for c in keep]).alias("_doc"), F.col("text").alias("_text"))
     out = _found(packed, [sc.broadcast(vars(b)) for b in blocks])
     hit = F.aggregate(
         F.transform("_spans", lambda x, i: F.when(i % 2 == 0, -x).otherwise(x)), F.lit(0).cast("long"), lambda a, b: a + b

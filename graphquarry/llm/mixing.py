@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphquarry.llm.common import join_hot, materialise, null_safe_key, text_or_empty, word_count
+from graphquarry.llm.common import join_hot, materialise, null_safe_key, quoted, text_or_empty, word_count
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_EPOCHS = 3
@@ -153,7 +153,7 @@ def take(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST
     Each row travels as one struct, so no column of docs can clash with the operator's own. Rows that are alike take the
     same, but where the cut goes through them: then as many as the mix says take one more, drawn by an even hash of their row numbers.
     """
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    whole = F.struct(*[F.col(quoted(c)) for c in docs.columns])
     numbered = materialise(docs.select(whole.alias("_doc"), F.monotonically_increasing_id().alias("_row")), "mix-rows")
     rows = sized(numbered.select("_doc.doc_id", "_doc.source", "_doc.text", "_doc", "_row"), "_doc", "_row")
     blocks = planned(rows, weights, most, seed)

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphquarry.llm.common import WHITE, materialise, text_or_empty, word_array
+from graphquarry.llm.common import WHITE, materialise, quoted, text_or_empty, word_array
 
 WINDOW = 5
 
@@ -142,7 +142,7 @@ def keep(docs: DataFrame, policy: Policy = POLICIES["web", 2]) -> DataFrame:
     The row number adds nothing to the bits, but keeps Catalyst from moving the filter below the arrays of
     measure(), where it would inline them into their lambdas.
     """
-    whole = docs.select(F.struct(*docs.columns).alias("doc_id"), F.col("text"))
+    whole = docs.select(F.struct(*map(quoted, docs.columns)).alias("doc_id"), F.col("text"))
     nothing = F.least(F.monotonically_increasing_id(), F.lit(0))
     book = ledger(whole).withColumn("fail_bits", F.col("fail_bits").bitwiseOR(nothing))
     return apply_policy(book, policy).where("kept").select("doc_id.*")
