@@ -812,6 +812,30 @@ def candidate_keys(g, t):
     return g.spark.createDataFrame(rows, "table_name string, key string")
 
 
+FOUND_SQL = " UNION ALL ".join(
+    f"SELECT '{source}' AS source, 'BELONGS_TO_{column.upper()}' AS type, '{target}' AS target, count({column}) AS n_edges FROM {table}"
+    for source, table, column, target in (
+        ("Nation", "nation", "n_regionkey", "Region"), ("Customer", "customer", "c_nationkey", "Nation"), ("Supplier", "supplier", "s_nationkey", "Nation"), ("Order", "orders", "o_custkey", "Customer"),
+        ("Lineitem", "lineitem", "l_orderkey", "Order"), ("Lineitem", "lineitem", "l_partkey", "Part"), ("Lineitem", "lineitem", "l_suppkey", "Supplier"),
+    )
+)
+
+
+@query(FOUND_SQL)
+def discovered_graph(g, t):
+    """A graph whose entities and relationships were told from rows, and its edges."""
+    found = PropertyGraph(g.spark, t, profiling.discover_entities({n: t(n).select(*[c for kinds in cs for c in kinds]) for n, cs in STAR.items()}))
+    edges = [found.edges(e.label, r.type, r.target).select(F.lit(e.label).alias("source"), F.lit(r.type).alias("type"), F.lit(r.target).alias("target")) for e in found.entities.values() for r in e.relationships]
+    return reduce(DataFrame.unionByName, edges).groupBy("source", "type", "target").agg(F.count("*").alias("n_edges"))
+
+
+@query("SELECT c_custkey, o_orderkey FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_acctbal > 9000")
+def inverse_relationship(g, t):
+    """Customers and their orders, along the relationship's inverse name."""
+    hop = discovery.inverse_hops([*g.entities.values()])["Customer"]["HAS_ORDERS"]
+    return g.traverse("Customer", [hop], F.col("c_acctbal") > 9000).select("c_custkey", "o_orderkey")
+
+
 TEXTS = {"documents": ("text", "lang", "source"), "conversations": ("role", "text"), "benchmark": ("item_id", "text"), "events": ("event_type", "props"), "part": ("p_name", "p_brand", "p_type")}
 
 

@@ -7,7 +7,7 @@ also be taken apart: `ingest_batch` keeps the rows that reach the graph though t
 
 Who is who: a row needs an id; a row whose embed fields are empty has no vector (in a strict
 ingestion that fails the whole batch); an entity without a vector definition has no such view, and its rows succeed in the graph alone.
-An existing node keeps the properties that the new row leaves null. A relationship is made where the key isn't null and the
+Rows of one batch have distinct ids, else any one of them counts. An existing node keeps the properties that the new row leaves null. A relationship is made where the key isn't null and the
 target exists, once; one whose key has changed is replaced; removing a node removes its edges at either end.
 """
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
 from graphquarry.operators.ingest import SECRET_NAMES
+from graphquarry.plans.graph import Hop
 from graphquarry.plans.model import EntityDef, RelDef, ScopeDef
 
 # Names of columns that hold text.
@@ -152,12 +153,20 @@ def describe(column: str) -> str:
     return title(column)
 
 
-def discover(table: str, schemas: dict[str, StructType]) -> EntityDef:
-    """An entity for a table: properties, and a relationship for each foreign key."""
-    label = "".join(w.title() for w in singular(table).split("_"))
-    rels = tuple(RelDef(f"BELONGS_TO_{re.sub('_id$', '', c).upper()}", "".join(w.title() for w in singular(t).split("_")), c) for c, t, _ in foreign_keys(table, schemas))
+def label_of(table: str) -> str:
+    return "".join(w.title() for w in singular(table).split("_"))
+
+
+def discover(table: str, schemas: dict[str, StructType], found: list[tuple[str, str, str]] | None = None, key: str | None = None) -> EntityDef:
+    """An entity for a table: properties, and a relationship for each foreign key.
+
+    found: the foreign keys (column, table, column) and key the id column, if they are known from rows; else names tell them.
+    """
+    links = foreign_keys(table, schemas) if found is None else found
+    rels = tuple(RelDef(f"BELONGS_TO_{re.sub('_id$', '', c).upper()}", label_of(t), c) for c, t, _ in links)
     names = schemas[table].names
-    key = "id" if "id" in names else names[0]
+    key = key or ("id" if "id" in names else names[0])
+    label = label_of(table)
     return EntityDef(label, table, key, tuple(properties(schemas[table])), rels, None, tuple(aliases(label)))
 
 
@@ -175,6 +184,15 @@ def inverse(entity: EntityDef, rel: RelDef) -> str:
     return f"HAS_{plural(snake(entity.label)).upper()}"
 
 
+def inverse_hops(entities: list[EntityDef]) -> dict[str, dict[str, Hop]]:
+    """label -> name -> step against a relationship that points to the label. Of several of one name the first stays."""
+    out: dict[str, dict[str, Hop]] = {}
+    for e in entities:
+        for r in e.relationships:
+            out.setdefault(r.target, {}).setdefault(inverse(e, r), Hop(r.type, e.label, "incoming"))
+    return out
+
+
 def enabled(entity: bool | None, operation: bool | None, everywhere: bool = True) -> bool:
     """Whether a row event is followed: the entity's word counts before the operation's, and that before the general one."""
     return next((x for x in (entity, operation) if x is not None), everywhere)

@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegralType, MapType, NumericType, StringType, StructType, VariantType
 
-from graphquarry.plans.discovery import singular
+from graphquarry.plans.discovery import discover, singular
+from graphquarry.plans.model import EntityDef
 
 #: A sketch may be off by so much before a column is no candidate any more.
 SKETCH_SLACK = 0.85
@@ -118,3 +119,15 @@ def foreign_keys(tables: dict[str, DataFrame]) -> list[tuple[str, str, str, str]
     keys = {name: [k[0] for k in candidate_keys(df, 1)] for name, df in tables.items()}
     whole = value_overlaps(tables).where("n_common = n_values AND table_name <> other_table").collect()
     return sorted((r.table_name, r.column_name, r.other_table, r.other_column) for r in whole if r.other_column in keys[r.other_table] and names_agree(r.column_name, r.other_table, r.other_column))
+
+
+def discover_entities(tables: dict[str, DataFrame]) -> list[EntityDef]:
+    """Entities with keys and relationships as the rows have them; a table without a key of one column goes by its first column."""
+    schemas, found = {n: df.schema for n, df in tables.items()}, foreign_keys(tables)
+    out = []
+    for name, df in tables.items():
+        keys = candidate_keys(df, 1)
+        links = [(c, other, key) for t, c, other, key in found if t == name]
+        own = next((k[0] for k in keys if k[0] not in {c for c, _, _ in links}), None)
+        out.append(discover(name, schemas, links, own or df.columns[0]))
+    return out
