@@ -19,7 +19,6 @@ TEMPLATES = (
     ("list_all", re.compile(r"^(?:show|list|find|get|display)\s+(?:me\s+)?(?:all\s+)?(?P<label>[\w ]+?)\??$", re.I)),
 )
 FUNCTIONS = {"average": F.avg, "avg": F.avg, "sum": F.sum, "total": F.sum, "minimum": F.min, "min": F.min, "maximum": F.max, "max": F.max}
-LIMIT = 100
 
 
 def detect(question: str) -> tuple[str, dict[str, str]] | None:
@@ -51,7 +50,13 @@ def literal(value: str):
     return value.strip("'\"")
 
 
-def answer(graph: PropertyGraph, question: str, limit: int = LIMIT) -> DataFrame:
+def answer(graph: PropertyGraph, question: str, limit: int | None = None) -> DataFrame:
+    """The rows that a question asks for: all of them, or no more than a given limit."""
+    rows = _plan(graph, question)
+    return rows if limit is None else rows.limit(limit)
+
+
+def _plan(graph: PropertyGraph, question: str) -> DataFrame:
     found = detect(question)
     if found is None:
         raise ValueError(f"no template for {question!r}")
@@ -65,12 +70,12 @@ def answer(graph: PropertyGraph, question: str, limit: int = LIMIT) -> DataFrame
     if name == "aggregation":
         return rows.agg(FUNCTIONS[p["function"].lower()](p["property"]).alias("result"))
     if name in ("filtering", "find_by_property"):
-        return rows.where(compare(p["property"], p.get("operator") or "=", literal(p["value"]))).limit(limit)
+        return rows.where(compare(p["property"], p.get("operator") or "=", literal(p["value"])))
     if name == "relationship_query":
         other, _ = find_label(graph, p["other"])
         for direction, source, target in (("outgoing", label, other), ("incoming", other, label)):
             for r in graph.entity(source).relationships:
                 if r.target == target:
-                    return graph.traverse(label, [Hop(r.type, other, direction)]).limit(limit)
+                    return graph.traverse(label, [Hop(r.type, other, direction)])
         raise KeyError(f"{label} and {other} are not related")
-    return rows.limit(limit)
+    return rows

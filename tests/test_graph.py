@@ -156,3 +156,15 @@ def test_metadata_criteria(spark):
     assert ids({}) == [3, 2, 1, 4] and ids({}, limit=1) == [3]
     assert ids({"kind": "pdf", "size": (15, None)}) == [2] and ids({"kind": ["pdf", "txt"], "size": (None, 20)}) == [2, 1]
     assert ids({}, after="2024-02-01") == [3, 2] and ids({}, before="2024-02-01") == [2, 1]
+
+
+def test_answers_are_whole(spark):
+    """More rows than the hundred that once was the most."""
+    many = spark.range(250).selectExpr("id", "id AS total", "id % 120 AS owner_id")
+    owners = spark.range(120).selectExpr("id")
+    entities = [EntityDef("Bill", "bills", "id", relationships=(RelDef("OWED_BY", "Owner", "owner_id"),)), EntityDef("Owner", "owners", "id")]
+    g = PropertyGraph(spark, {"bills": many, "owners": owners}.__getitem__, entities)
+    assert templates.answer(g, "list bills where total >= 10").count() == 240
+    assert templates.answer(g, "show all bills").count() == 250
+    assert templates.answer(g, "show all bills", limit=7).count() == 7
+    assert templates.answer(g, "list owners and their bills").count() == 250
