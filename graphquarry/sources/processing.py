@@ -31,19 +31,35 @@ TEXTS = {"txt": "txt", "text": "txt", "log": "txt", "md": "md", "markdown": "md"
 BINARY = {"docx": files.docx_text}
 
 
-def write_files(df: DataFrame, folder: str) -> None:
-    """Writes rows (name, content) as files of a folder that all executors share, over those of the same names."""
+def write_files(df: DataFrame, folder: str, part: str | None = None) -> None:
+    """Writes rows (name, content) as files of a folder that all executors share, over those of the same names.
+
+    part: a column that orders the rows of a name, whose contents then follow each other in its file, each but the first with its bytes
+    `before` in front. A file is written as its parts come, so no task holds a whole one.
+    """
     Manifest(df.sparkSession, folder).files.mkdirs()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = pafs.FileSystem.from_uri(folder)
-        for b in batches:
-            for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                with store.open_output_stream(f"{root}/{name}") as out:
-                    out.write(content)
-            yield b.select(["name"])
-
-    df.select("name", "content").mapInArrow(run, "name string").count()
+        last, out = None, None
+        try:
+            for b in batches:
+                for name, content, before in zip(*b.columns):
+                    if out is not None and part is not None and name.as_py() == last:
+                        out.write(before.as_py())
+                    else:
+                        if out is not None:
+                            out.close()
+                        last = name.as_py()
+                        out = store.open_output_stream(f"{root}/{last}")
+                    out.write(content.as_py())
+                yield b.select(["name"])
+        finally:
+            if out is not None:
+                out.close()
+
+    rows = df if part is None else df.repartition("name").sortWithinPartitions("name", part)
+    rows.select("name", "content", "before" if part else F.lit(b"").alias("before")).mapInArrow(run, "name string").count()
 
 
 def guarded(read: Callable[[bytes], str]):
@@ -85,13 +101,13 @@ class FileStore:
         same = F.coalesce((F.col("hash") == F.col("_hash")) & (F.col("_status") == "done"), F.lit(False)) & F.lit(not force)
         plan = scratch.materialise(seen.select("name", "hash", same.alias("skip"), F.col("_n").alias("n_chunks")), "files-plan")
         todo = plan.where("NOT skip").select("name", "hash")
-        texts = scratch.materialise(self._extracted(found.join(todo, "name")), "files-text")
-        chunks = scratch.materialise(self._cut(texts.where("error IS NULL")), "files-chunks")
-        counts = chunks.groupBy(F.col("name").alias("_n")).agg(F.count("*").alias("n_chunks"))
-        done = texts.join(counts, F.col("name") == F.col("_n"), "left")
-        error = F.coalesce("error", F.when(F.col("n_chunks").isNull(), "no text"))
+        # One row a chunk, and one for a file without any: whole texts are neither stored nor shuffled.
+        cut = scratch.materialise(self._cut(folder, todo), "files-chunks")
+        chunks = cut.where("chunk_index IS NOT NULL").select("name", "chunk_index", "total_chunks", "content", "start_position", "end_position")
+        files_ = cut.where("coalesce(chunk_index, 0) = 0")
+        error = F.coalesce("error", F.when(F.col("chunk_index").isNull(), "no text"))
         status = F.when(error.isNull(), "done").otherwise("failed")
-        rows = scratch.materialise(done.select("name", "hash", status.alias("status"), error.alias("error"), F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"), F.char_length("text").cast("long").alias("text_length")), "files-rows")
+        rows = scratch.materialise(files_.select("name", "hash", status.alias("status"), error.alias("error"), F.coalesce("total_chunks", F.lit(0)).cast("long").alias("n_chunks"), "text_length"), "files-rows")
 
         def put_chunks(states: dict, seq: int) -> None:
             old = self._chunks.read(states.get("chunks", {})).select("name", "chunk_index").join(rows.select("name"), "name", "left_semi")
@@ -121,32 +137,36 @@ class FileStore:
     def sweep(self, keep: int = 2) -> None:
         sweep(self.manifest, keep)
 
-    def _found(self, folder: str) -> DataFrame:
-        """name, content of all files below the folder."""
+    def _found(self, folder: str, extensions: list[str] | None = None) -> DataFrame:
+        """name, content of all files below the folder, or of those with some extensions, whatever the case: others aren't read."""
         at = re.sub("^file:/+", "file:/", self.manifest.files.qualified(folder))
-        raw = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-        return raw.select(F.expr(f"substring(regexp_replace(path, '^file:/+', 'file:/'), {len(at) + 2})").alias("name"), "content")
-
-    def _extracted(self, found: DataFrame) -> DataFrame:
-        """name, hash, kind, text, error. Only bytes that need a parser go to Python."""
+        raw = self.spark.read.format("binaryFile").option("recursiveFileLookup", True)
+        if extensions:
+            any_case = lambda e: "".join(f"[{x.lower()}{x.upper()}]" if x.isalpha() else x for x in e)
+            raw = raw.option("pathGlobFilter", "*.{" + ",".join(map(any_case, extensions)) + "}")
+        return raw.load(folder).select(F.expr(f"substring(regexp_replace(path, '^file:/+', 'file:/'), {len(at) + 2})").alias("name"), "content")
+
+    def _cut(self, folder: str, todo: DataFrame) -> DataFrame:
+        """name, hash, error, text_length and the columns of chunks: a row a chunk, or one with nulls for a file without any. Only bytes that need a parser go to Python."""
         extension = F.when(F.col("name").contains("."), F.lower(F.substring_index("name", ".", -1))).otherwise("")
-        found = found.withColumn("_e", extension)
-        none = F.lit(None).cast("string")
-        parts = [found.where(~F.col("_e").isin(*TEXTS, *BINARY)).select("name", "hash", F.lit("default").alias("kind"), none.alias("text"), F.concat(F.lit("unsupported type: "), F.col("_e")).alias("error"))]
+        others = todo.where(~extension.isin(*TEXTS, *BINARY)).select("name", "hash", F.concat(F.lit("unsupported type: "), extension).alias("error"))
+        nothing = [F.lit(None).cast(kind).alias(c) for c, kind in (("text_length", "long"), ("total_chunks", "int"), ("chunk_index", "int"), ("content", "string"))]
+        parts = [others.select("name", "hash", "error", *nothing)]
         read = F.try_validate_utf8(F.col("content").cast("string"))
         for kind, clean in (("txt", X.clean_text), ("md", lambda t: X.clean_markdown(X.clean_text(t)))):
-            own = found.where(F.col("_e").isin(*[e for e, k in TEXTS.items() if k == kind]))
-            parts.append(own.select("name", "hash", F.lit(kind).alias("kind"), self._cleaned(read, clean), F.when(read.isNull(), "not UTF-8").alias("error")))
+            own = self._found(folder, [e for e, k in TEXTS.items() if k == kind]).join(todo, "name")
+            texts = own.select("name", "hash", read.alias("_read")).select("name", "hash", F.when(F.col("_read").isNull(), "not UTF-8").alias("error"), self._cleaned(F.col("_read"), clean))
+            parts.append(self._chunked(texts, kind))
         for kind, parse in BINARY.items():
-            both = found.where(F.col("_e") == kind).select("name", "hash", guarded(parse)("content").alias("_r"))
-            parts.append(both.select("name", "hash", F.lit(kind).alias("kind"), self._cleaned(F.col("_r.text"), X.clean_document), F.col("_r.error").alias("error")))
-        return reduce(DataFrame.unionByName, parts)
+            both = self._found(folder, [kind]).join(todo, "name").select("name", "hash", guarded(parse)("content").alias("_r"))
+            parts.append(self._chunked(both.select("name", "hash", F.col("_r.error").alias("error"), self._cleaned(F.col("_r.text"), X.clean_document)), kind))
+        placed = chunk_positions(reduce(DataFrame.unionByName, parts), "name")
+        return placed.select("name", "hash", "error", "text_length", *[F.col(c).cast("int").alias(c) for c in ("chunk_index", "total_chunks")], "content", "start_position", "end_position")
 
     def _cleaned(self, text: Column, clean: Callable[[Column], Column]) -> Column:
         """Null where nothing but white space is left."""
         cleaned = clean(text)
         return F.when(F.btrim(cleaned, F.lit(" \t\n\r\x0b\x00")) != "", cleaned).alias("text")
 
-    def _cut(self, texts: DataFrame) -> DataFrame:
-        parts = [X.chunk_table(texts.where(F.col("kind") == kind), "name", "text", *X.CHUNK_SIZES[kind]) for kind in ("txt", "md", *BINARY)]
-        return chunk_positions(reduce(DataFrame.unionByName, parts), "name").select("name", F.col("chunk_index").cast("int").alias("chunk_index"), F.col("total_chunks").cast("int").alias("total_chunks"), "content", "start_position", "end_position")
+    def _chunked(self, texts: DataFrame, kind: str) -> DataFrame:
+        return X.exploded_chunks(texts.withColumn("text_length", F.char_length("text").cast("long")), "text", *X.CHUNK_SIZES[kind])

@@ -81,3 +81,15 @@ def test_a_run_that_dies_is_run_again(store, folder):
     (folder / "a.txt").write_bytes(b"\xff\xfe")
     assert run(store, folder)["a.txt"] == ("failed", "not UTF-8")
     assert "a.txt" not in {r.name for r in store.chunks().collect()}
+
+
+def test_files_are_written_part_by_part(spark, tmp_path, store):
+    """A file may be larger than any task holds: its parts are rows, repeated ones included, and what is processed isn't stored whole."""
+    from graphquarry.sources.processing import write_files
+
+    rows = [("a.txt", 3, "third"), ("a.txt", 1, "first"), ("b.txt", 1, "alone"), ("a.txt", 2, "second"), ("a.txt", 3, "third")]
+    df = spark.createDataFrame(rows, "name string, part int, content string").withColumn("content", F.encode("content", "UTF-8")).withColumn("before", F.lit(b"-"))
+    write_files(df, f"file://{tmp_path}/in", "part")
+    assert (tmp_path / "in" / "a.txt").read_text() == "first-second-third-third" and (tmp_path / "in" / "b.txt").read_text() == "alone"
+    assert run(store, tmp_path / "in") == {"a.txt": ("done", None), "b.txt": ("done", None)}
+    assert {r.name: r.text_length for r in store.ledger().collect()} == {"a.txt": 24, "b.txt": 5}
