@@ -1,8 +1,9 @@
 """Matching questions with large dictionaries: by names that stand in them, and by candidates in the order of priority.
 
-Dictionaries are tables, not parts of a plan. They meet the questions in blocks: a block of names is held by every task as an
-Aho-Corasick automaton, which reads a question once however many names there are; a block of candidates as a matrix. Questions
-are never shuffled for that, and what a block finds for a question is merged by an aggregate.
+Dictionaries are tables, not parts of a plan. A block of names is held by every task as an
+Aho-Corasick automaton, which reads a question once however many names there are. Candidates meet questions in groups of a
+shuffle, a piece of the ones with a piece of the others, as products of matrices; nothing of either goes through the driver.
+What a block or piece finds for a question is merged by an aggregate.
 """
 
 from __future__ import annotations
@@ -22,6 +23,9 @@ from graphquarry.operators.vectors import block_scores, matrix
 NAME_BLOCK = 200_000
 CANDIDATE_BLOCK = 4096
 QUESTIONS_AT_ONCE = 256
+#: Questions and candidates of a group. Every question is sent once for each piece of candidates, and the other way round.
+QUESTION_PIECE = 20_000
+CANDIDATE_PIECE = 20_000
 
 
 def blocks(df: DataFrame, key: Column, size: int) -> Iterator[pa.Table]:
@@ -69,42 +73,58 @@ def dictionary_match(texts: DataFrame, names: DataFrame, key: str = "question_id
 
 def _near(questions: DataFrame, candidates: DataFrame, threshold: float, best: bool, block: int) -> DataFrame:
     """question_id, entity, priority, text, score: per question and entity the first candidate by priority that passes; or (best) the closest one."""
-    spark = questions.sparkSession
-    asked = questions.where(F.col("embedding").isNotNull()).select("question_id", F.col("embedding").cast("array<double>").alias("v"))
-    named = candidates.where(F.col("embedding").isNotNull()).select("entity", "priority", "text", F.col("embedding").cast("array<double>").alias("v"))
-    kind, out = questions.schema["question_id"].dataType.simpleString(), []
-    for part in blocks(named, F.concat_ws("|", "entity", "text"), block):
-        part = part.sort_by([("entity", "ascending"), ("priority", "ascending"), ("text", "ascending")])
-        entity, priority, text = (part.column(c).to_pylist() for c in ("entity", "priority", "text"))
-        codes = np.unique(np.array(entity, object).astype(str), return_inverse=True)[1]
-        held = spark.sparkContext.broadcast((entity, priority, text, codes, matrix(part.column("v"))))
-
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            entity, priority, text, codes, c = held.value
-            for whole in batches:
-                for at in range(0, whole.num_rows, QUESTIONS_AT_ONCE):
-                    b = whole.slice(at, QUESTIONS_AT_ONCE)
-                    rows, cols, values = [], [], []
-                    for i, s in enumerate(block_scores("cosine", c, matrix(b.column(1), c.shape[1])).T):
-                        pass_ = np.flatnonzero(s >= threshold)
-                        if best:
-                            pass_ = pass_[np.argsort(-s[pass_], kind="stable")[:1]]
-                        elif len(pass_):
-                            # Candidates stand by priority, so the first of an entity is the one that counts.
-                            pass_ = pass_[np.unique(codes[pass_], return_index=True)[1]]
-                        rows += [i] * len(pass_)
-                        cols += pass_.tolist()
-                        values += s[pass_].tolist()
-                    columns = [
-                        b.column(0).take(pa.array(rows, pa.int64())), pa.array([entity[j] for j in cols], pa.string()), pa.array([priority[j] for j in cols], pa.int64()),
-                        pa.array([text[j] for j in cols], pa.string()), pa.array(values, pa.float64()),
-                    ]
-                    yield pa.RecordBatch.from_arrays(columns, names=["question_id", "entity", "priority", "matched_text", "score"])
-
-        out.append(asked.mapInArrow(run, f"question_id {kind}, entity string, priority long, matched_text string, score double"))
-    if not out:
-        return spark.createDataFrame([], f"question_id {kind}, entity string, priority long, matched_text string, score double")
-    return reduce(DataFrame.unionByName, out)
+    asked = questions.where(F.col("embedding").isNotNull()).select("question_id", F.col("embedding").cast("array<float>" if _floats(questions, candidates) else "array<double>").alias("v"))
+    named = candidates.where(F.col("embedding").isNotNull()).select("entity", "priority", "text", F.col("embedding").cast("array<float>" if _floats(questions, candidates) else "array<double>").alias("v"))
+    kind = questions.schema["question_id"].dataType.simpleString()
+    n_asked, n_named = (max(1, -(-df.count() // size)) for df, size in ((asked, QUESTION_PIECE), (named, CANDIDATE_PIECE)))
+    own = lambda n, *by: F.pmod(F.xxhash64(*by), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    # Rows that are alike in all of these differ in their place in a task, so a piece isn't filled by copies.
+    spread = F.concat_ws("|", "entity", "text", F.col("priority").cast("string"))
+    left = asked.select("question_id", "v", own(n_asked, "question_id").alias("_q"), every(n_named).alias("_c"))
+    right = named.withColumn("_c", own(n_named, spread, F.monotonically_increasing_id())).select("entity", "priority", "text", "v", "_c", every(n_asked).alias("_q"))
+
+    def run(asked: pa.Table, named: pa.Table) -> pa.Table:
+        found = [[], [], []]
+        if asked.num_rows and named.num_rows:
+            named = named.sort_by([("entity", "ascending"), ("priority", "ascending"), ("text", "ascending")])
+            codes = named.column("entity").combine_chunks().dictionary_encode()
+            codes = np.nan_to_num(np.asarray(codes.indices.to_numpy(zero_copy_only=False), float), nan=-1).astype(np.int64)
+            for at in range(0, asked.num_rows, QUESTIONS_AT_ONCE):
+                q = matrix(asked.column("v").slice(at, QUESTIONS_AT_ONCE))
+                # Of each question: the best candidate so far, or the first of each entity; a block more at a time.
+                for start in range(0, named.num_rows, block):
+                    c = matrix(named.column("v").slice(start, block), q.shape[1])
+                    scores, own = block_scores("cosine", c, q).T, codes[start : start + block]
+                    if best:
+                        top = scores.argmax(1)
+                        rows = np.flatnonzero(scores[np.arange(len(top)), top] >= threshold)
+                        cols = top[rows]
+                    else:
+                        # Candidates stand by entity and priority: the first that passes among those of an entity counts.
+                        edges = np.flatnonzero(np.diff(own, prepend=own[0] - 1))
+                        places = np.where(scores >= threshold, np.arange(len(own)), len(own))
+                        first = np.minimum.reduceat(places, edges, axis=1)
+                        rows, _ = np.nonzero(first < len(own))
+                        cols = first[first < len(own)]
+                    for column, values in zip(found, (rows + at, cols + start, scores[rows, cols])):
+                        column.append(values)
+        rows, cols, values = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in found)
+        if len(rows):
+            # One row a question (and entity) leaves the task.
+            group = rows if best else rows * (codes.max() + 2) + codes[cols] + 1
+            order = np.lexsort((cols, -values, group) if best else (cols, group))
+            kept = order[np.flatnonzero(np.diff(group[order], prepend=-1))]
+            rows, cols, values = rows[kept], cols[kept], values[kept]
+        asked, named = asked.select(["question_id"]).take(pa.array(rows, pa.int64())), named.select(["entity", "priority", "text"]).take(pa.array(cols, pa.int64()))
+        return pa.table([asked.column(0), *named.columns, pa.array(values, pa.float64())], names=["question_id", "entity", "priority", "matched_text", "score"])
+
+    return left.groupBy("_q", "_c").cogroup(right.groupBy("_q", "_c")).applyInArrow(run, f"question_id {kind}, entity string, priority long, matched_text string, score double")
+
+
+def _floats(*sides: DataFrame) -> bool:
+    """Whether vectors are stored as floats on both sides: then they are sent as such, and scored as doubles."""
+    return all(df.schema["embedding"].dataType.simpleString() == "array<float>" for df in sides)
 
 
 def _all_hits(questions: DataFrame, candidates: DataFrame, threshold: float, best: bool, block: int) -> DataFrame:
