@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphquarry.operators.query import top_per_group
-from graphquarry.operators.vectors import METRICS, knn_join, matrix
+from graphquarry.operators.vectors import METRICS, POINTS_AT_ONCE, BestRows, knn_join, matrix
 
 #: Rows that train the model, drawn by a hash of the key.
 SAMPLE = 20_000
@@ -158,16 +158,17 @@ class VectorIndex:
         read = sorted(load.keys() & self.counts.keys())
         sizes = self.spark.createDataFrame([(at, -(-self.counts[at] // ROWS_AT_ONCE), -(-load[at] // QUERIES_AT_ONCE)) for at in read], "list int, n_rows int, n_queries int")
         rows = self.rows.where(F.col("list").isin(read))
+        held = "codes" if depth else "embedding"  # without a depth the vectors themselves are compared
         cut = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         sides = [
-            rows.select("list", self.key, "codes").join(F.broadcast(sizes), "list").select("list", self.key, "codes", cut(self.key, "n_rows").alias("piece"), every("n_queries").alias("block")),
+            rows.select("list", self.key, held).join(F.broadcast(sizes), "list").select("list", self.key, held, cut(self.key, "n_rows").alias("piece"), every("n_queries").alias("block")),
             probed.join(F.broadcast(sizes), "list").select("list", "query_id", "query", every("n_rows").alias("piece"), cut("query_id", "n_queries").alias("block")),
         ]
         by = ["list", "piece", "block"]
-        near = sides[0].groupBy(*by).cogroup(sides[1].groupBy(*by)).applyInArrow(self._nearest(depth), f"query_id long, `{self.key}` long, list int, far double")
-        if depth:
-            near = top_per_group(near, depth, "query_id", F.asc("far"), F.col(self.key))
+        nearest = self._nearest(depth) if depth else self._exact(k)
+        near = sides[0].groupBy(*by).cogroup(sides[1].groupBy(*by)).applyInArrow(nearest, f"query_id long, `{self.key}` long, list int, far double")
+        near = top_per_group(near, depth or k, "query_id", F.asc("far"), F.col(self.key))
         vectors = rows.select("list", F.col(self.key).alias("_key"), F.col("embedding").alias("_v"))
         found = near.join(vectors, (near["list"] == vectors["list"]) & (near[self.key] == F.col("_key"))).join(asked, "query_id")
         scored = found.select("query_id", self.key, measure("query", "_v").alias("score"))
@@ -213,6 +214,23 @@ class VectorIndex:
 
         return run
 
+    def _exact(self, k: int):
+        """As _nearest, by the vectors: the k best rows of each query, so that no pair of the others leaves its task."""
+        key, metric = self.key, self.model.metric
+
+        def run(at: tuple, rows: pa.Table, asked: pa.Table) -> pa.Table:
+            ids, keys, far = (np.zeros(0, np.int64),) * 3
+            if rows.num_rows and asked.num_rows:
+                best = BestRows(k, asked.column("query_id").to_numpy(), matrix(asked.column("query")), metric)
+                for start in range(0, rows.num_rows, POINTS_AT_ONCE):
+                    part = rows.slice(start, POINTS_AT_ONCE)
+                    best.add(part.column(key).to_numpy(), matrix(part.column("embedding"), best.q.shape[1]))
+                ids, keys = best.rows()
+                far = -best.scores[np.isfinite(best.scores)]
+            return pa.table([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array([at[0].as_py()] * len(ids), pa.int32()), pa.array(far, pa.float64())], names=["query_id", key, "list", "far"])
+
+        return run
+
     def tune(self, queries: DataFrame, k: int = 10, recall: float = 0.95, vector: str = "embedding") -> VectorIndex:
         """The index with the fewest probes, then the least depth, that find this share of the k true neighbours of a sample of queries."""
         some = queries.where(F.col(vector).isNotNull()).orderBy(F.xxhash64(self.key), self.key).limit(TUNING_QUERIES)

@@ -103,3 +103,15 @@ def test_edges(spark, tmp_path):
     with pytest.raises(ValueError):
         vector_index.build(one, f"file://{tmp_path}/dot", "dot")
     assert vectors.knn_join(spark.createDataFrame([], schema), one, 3).collect() == []
+
+
+def test_an_exact_search_lets_few_rows_out(clustered, tmp_path):
+    """k rows a query leave each group of the exact search, not every pair."""
+    import pyarrow as pa
+
+    index = vector_index.build(clustered, f"file://{tmp_path}/index", "euclid", lists=3)
+    x = np.arange(40.0).reshape(20, 2)
+    rows = pa.table({"vec_id": pa.array(range(20), pa.int64()), "embedding": pa.array(x.tolist())})
+    asked = pa.table({"query_id": pa.array([0, 5], pa.int64()), "query": pa.array([x[0].tolist(), x[5].tolist()])})
+    got = index._exact(3)((pa.scalar(0),), rows, asked)
+    assert sorted(zip(got["query_id"].to_pylist(), got["vec_id"].to_pylist())) == [(0, 1), (0, 2), (0, 3), (5, 3), (5, 4), (5, 6)]
