@@ -53,6 +53,14 @@ class ChangeTable:
         row = F.max_by(F.struct(*df.columns), F.struct(*self.version, F.coalesce(F.col(GONE), F.lit(False))))
         return df.groupBy(*[F.col(k).alias(f"_k_{k}") for k in self.key]).agg(row.alias("_row")).select("_row.*")
 
+    def _write_newest(self, df: DataFrame, path: str) -> str:
+        """Rows are shuffled once, to their bucket, and both told apart and written there."""
+        by = df.withColumn("_bucket", self._bucket()).repartition("_bucket")
+        row = F.max_by(F.struct(*df.columns), F.struct(*self.version, F.coalesce(F.col(GONE), F.lit(False))))
+        newest = by.groupBy("_bucket", *[F.col(k).alias(f"_k_{k}") for k in self.key]).agg(row.alias("_row")).select("_bucket", "_row.*")
+        newest.sortWithinPartitions("_bucket", *self.key).write.partitionBy("_bucket").parquet(f"{self.root}/{path}")
+        return path
+
     def _write(self, rows: DataFrame, path: str) -> str:
         by = rows.withColumn("_bucket", self._bucket())
         by.repartition("_bucket").sortWithinPartitions("_bucket", *self.key).write.partitionBy("_bucket").parquet(f"{self.root}/{path}")
@@ -66,7 +74,7 @@ class ChangeTable:
         if deletes is not None:
             others = [F.lit(None).cast(f.dataType).alias(f.name) if f.name not in (*self.key, *self.version) else F.col(f.name) for f in self.schema.fields]
             parts.append(deletes.select(*others).withColumn(GONE, F.lit(True)))
-        run = self._write(self._newest(reduce(DataFrame.unionByName, parts)), f"{self.name}/run-{uuid.uuid4().hex}")
+        run = self._write_newest(reduce(DataFrame.unionByName, parts), f"{self.name}/run-{uuid.uuid4().hex}")
         touched = self._touched(run)
         pending = {str(b): [*state.get("runs", {}).get(str(b), []), run] for b in touched}
         return self._merged(state | {"runs": {**state.get("runs", {}), **pending}})
@@ -86,7 +94,7 @@ class ChangeTable:
         chosen = [b for b, runs in state.get("runs", {}).items() if runs and (buckets is None or b in buckets)]
         if not chosen:
             return state
-        new = self._write(self._newest(self._parts(state, chosen)), f"{self.name}/base-{uuid.uuid4().hex}")
+        new = self._write_newest(self._parts(state, chosen), f"{self.name}/base-{uuid.uuid4().hex}")
         return state | {"base": {**state.get("base", {}), **{b: new for b in chosen}}, "runs": {b: r for b, r in state["runs"].items() if b not in chosen}}
 
     def _load(self, path: str, buckets: list[str]) -> DataFrame:
@@ -105,8 +113,9 @@ class ChangeTable:
 
     def changes(self, state: dict) -> DataFrame:
         """The newest row of each key, deleted ones included."""
-        pending = [b for b, runs in state.get("runs", {}).items() if runs]
-        quiet = [b for b in state.get("base", {}) if b not in pending]
+        # A bucket of one file set, base or run, holds each key once already.
+        parts = {b: (b in state.get("base", {})) + len(state.get("runs", {}).get(b, [])) for b in {**state.get("base", {}), **state.get("runs", {})}}
+        pending, quiet = [b for b, n in parts.items() if n > 1], [b for b, n in parts.items() if n == 1]
         merged, still = self._newest(self._parts(state, pending)) if pending else None, self._parts(state, quiet) if quiet else None
         both = [x for x in (merged, still) if x is not None]
         return reduce(DataFrame.unionByName, both) if both else self.spark.createDataFrame([], self._stored)

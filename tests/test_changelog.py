@@ -96,3 +96,14 @@ def test_two_writers(spark, tmp_path):
     with pytest.raises(ConcurrentCommit):
         m.commit({"a": 2}, 0)
     assert m.load() == (1, {"a": 1})
+
+
+def test_one_run_is_read_as_it_stands(spark, tmp_path):
+    """Each key stands once in a run, so a table of one needs no aggregate, and columns are pruned in its scan."""
+    schema = spark.createDataFrame([], "id long, v string, _seq long").schema
+    table = ChangeTable(spark, f"file://{tmp_path}", "t", schema, ("id",), ("_seq",), 2)
+    state = table.stage({}, spark.createDataFrame([(1, "a", 1), (1, "b", 2), (2, "c", 1)], schema))
+    assert {(r.id, r.v) for r in table.read(state).collect()} == {(1, "b"), (2, "c")}
+    assert "Aggregate" not in table.read(state)._jdf.queryExecution().executedPlan().toString()
+    again = table.stage(state, spark.createDataFrame([(2, "d", 3)], schema))
+    assert {(r.id, r.v) for r in table.read(again).collect()} == {(1, "b"), (2, "d")}
