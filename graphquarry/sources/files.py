@@ -56,12 +56,27 @@ def markdown_file(spark: SparkSession, path: str) -> DataFrame:
     return raw.withColumn("content", X.clean_markdown(X.clean_text(F.col("content")))).withColumn("metadata", X.markdown_metadata(F.col("content")))
 
 
-def docx_text(data: bytes) -> str:
-    """The paragraphs of a document, tables included, one a line."""
+def docx_parts(file) -> Iterator[str]:
+    """The paragraphs of a document, tables included, with line ends between them. What was read is let go, so a paragraph is held at a time."""
     w = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
-    root = ElementTree.fromstring(zipfile.ZipFile(io.BytesIO(data)).read("word/document.xml"))
-    blank = {f"{w}tab": "\t", f"{w}br": "\n"}
-    return "\n".join("".join(n.text or "" if n.tag == f"{w}t" else blank.get(n.tag, "") for n in p.iter()) for p in root.iter(f"{w}p"))
+    blank, above, begun = {f"{w}tab": "\t", f"{w}br": "\n"}, [], False
+    with zipfile.ZipFile(file) as z, z.open("word/document.xml") as xml:
+        for event, x in ElementTree.iterparse(xml, ("start", "end")):
+            if event == "start":
+                above.append(x)
+                continue
+            above.pop()
+            if any(a.tag == f"{w}p" for a in above):
+                continue
+            for p in x.iter(f"{w}p") if x.tag == f"{w}p" else ():
+                yield "\n" * begun + "".join(n.text or "" if n.tag == f"{w}t" else blank.get(n.tag, "") for n in p.iter())
+                begun = True
+            if above:
+                above[-1].remove(x)
+
+
+def docx_text(data: bytes) -> str:
+    return "".join(docx_parts(io.BytesIO(data)))
 
 
 @register("docx")

@@ -1,34 +1,44 @@
 """Folders of files processed step by step: a ledger of what was done, chunks with vectors, an error for each file that fails.
 
 A run reads every file's bytes once for a hash and compares it with the ledger: unchanged files that were done are skipped (unless forced).
-The others are extracted by type, cut by their type's chunk size, embedded and stored; a file that can't be read, has no
+The others are extracted by type, cut by their type's chunk size, embedded and stored. Files are read by parts, so they may be larger than
+a task's memory, from file systems that pyarrow opens. A file that can't be read, has no
 known type or no text becomes a row with its error and stops no other. Ledger and chunks are committed together, so
 a run that dies leaves both as they were and is simply run again. A changed file's old chunks go; so do those of one that fails now.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
-from collections.abc import Callable, Iterator
-from functools import reduce
+import shutil
+import tempfile
+from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 
-import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
+from graphquarry.functions import streams as S
 from graphquarry.functions import text as X
-from graphquarry.operators.ingest import chunk_positions
 from graphquarry.sources import files, scratch
 from graphquarry.sources.store import Manifest
 from graphquarry.streaming.changelog import ChangeTable, commit_together, sweep
 
 LEDGER = "name string, hash string, status string, error string, n_chunks long, text_length long, _seq long"
 CHUNKS = "name string, chunk_index int, total_chunks int, content string, start_position long, end_position long, embedding array<float>, _seq long"
+CUT = [
+    ("name", pa.string()), ("hash", pa.string()), ("skip", pa.bool_()), ("known_chunks", pa.int64()), ("error", pa.string()), ("text_length", pa.int64()),
+    ("total_chunks", pa.int32()), ("chunk_index", pa.int32()), ("content", pa.string()), ("start_position", pa.int64()), ("end_position", pa.int64()),
+]
 #: Extension -> what it is read as, and the chunk sizes' name.
 TEXTS = {"txt": "txt", "text": "txt", "log": "txt", "md": "md", "markdown": "md", "mdown": "md"}
-BINARY = {"docx": files.docx_text}
+BINARY = {"docx": files.docx_parts}
+#: Rows that Python hands over at once.
+BATCH = 500
 
 
 def write_files(df: DataFrame, folder: str, part: str | None = None) -> None:
@@ -62,21 +72,57 @@ def write_files(df: DataFrame, folder: str, part: str | None = None) -> None:
     rows.select("name", "content", "before" if part else F.lit(b"").alias("before")).mapInArrow(run, "name string").count()
 
 
-def guarded(read: Callable[[bytes], str]):
-    """read as a UDF that gives (text, error) and never fails."""
+def opened(folder: str) -> tuple[pafs.FileSystem, str]:
+    """The file system and path of a folder as Hadoop names it. Local names may hold any character."""
+    return (pafs.LocalFileSystem(), re.sub("^file:/+", "/", folder)) if folder.startswith("file:") else pafs.FileSystem.from_uri(folder)
 
-    @F.pandas_udf("text string, error string")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for s in parts:
-            out = []
-            for content in s:
-                try:
-                    out.append((read(content), None))
-                except Exception as e:  # whatever a broken file makes its reader raise is that file's error
-                    out.append((None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(out, columns=["text", "error"])
 
-    return run
+def digest(stream) -> str:
+    found = hashlib.sha256()
+    while data := stream.read(S.STEP):
+        found.update(data)
+    return found.hexdigest()
+
+
+def chunk_rows(text: Callable[[], Iterable[str]], kind: str) -> Iterator[dict]:
+    """A row a chunk of a text that can be read again, or one for a text without any."""
+    n, shown = 0, False
+    for p in text():
+        n, shown = n + len(p), shown or p.strip(" \t\n\r\x0b\x00") != ""
+    cut = lambda: S.semantic_chunks(text, n, *X.CHUNK_SIZES[kind])
+    total, start = sum(1 for _ in cut()) if shown else 0, 0
+    if not total:
+        yield {"text_length": n if shown else None, "total_chunks": 0}
+        return
+    for i, c in enumerate(cut()):
+        yield {"text_length": n, "total_chunks": total, "chunk_index": i, "content": c, "start_position": start, "end_position": start + len(c)}
+        start += len(c)
+
+
+def file_rows(store: pafs.FileSystem, root: str, name: str) -> Iterator[dict]:
+    """chunk_rows of a file, or a row with its error. It is read again for each pass, part by part."""
+    path, extension = f"{root}/{name}", name.rpartition(".")[2].lower() if "." in name else ""
+
+    def text() -> Iterator[str]:
+        with store.open_input_stream(path) as f:
+            yield from S.decoded(f)
+
+    if extension in TEXTS:
+        kind = TEXTS[extension]
+        try:
+            yield from chunk_rows({"txt": lambda: S.clean_text(text()), "md": lambda: S.clean_markdown(text)}[kind], kind)
+        except UnicodeDecodeError:
+            yield {"error": "not UTF-8"}
+    elif extension in BINARY:
+        with tempfile.SpooledTemporaryFile(S.STEP) as f:  # its parser seeks, which not all stores allow
+            with store.open_input_stream(path) as given:
+                shutil.copyfileobj(given, f, S.STEP)
+            try:
+                yield from chunk_rows(lambda: S.clean_document(BINARY[extension](f)), extension)
+            except Exception as e:  # whatever a broken file makes its reader raise is that file's error
+                yield {"error": f"{type(e).__name__}: {e}"}
+    else:
+        yield {"error": f"unsupported type: {extension}"}
 
 
 class FileStore:
@@ -95,16 +141,10 @@ class FileStore:
 
     def process(self, folder: str, force: bool = False) -> DataFrame:
         """name, status (done, skipped, failed), n_chunks, error of every file below the folder; names are relative to it."""
-        found = self._found(folder)
-        known = self.ledger().select(F.col("name").alias("_name"), F.col("hash").alias("_hash"), F.col("n_chunks").alias("_n"), F.col("status").alias("_status"))
-        seen = found.select("name", F.sha2("content", 256).alias("hash")).join(known, F.col("name") == F.col("_name"), "left")
-        same = F.coalesce((F.col("hash") == F.col("_hash")) & (F.col("_status") == "done"), F.lit(False)) & F.lit(not force)
-        plan = scratch.materialise(seen.select("name", "hash", same.alias("skip"), F.col("_n").alias("n_chunks")), "files-plan")
-        todo = plan.where("NOT skip").select("name", "hash")
-        # One row a chunk, and one for a file without any: whole texts are neither stored nor shuffled.
-        cut = scratch.materialise(self._cut(folder, todo), "files-chunks")
+        # One row a chunk, and one for a file without any: whole texts are neither stored, shuffled nor held.
+        cut = scratch.materialise(self._cut(folder, force), "files-chunks")
         chunks = cut.where("chunk_index IS NOT NULL").select("name", "chunk_index", "total_chunks", "content", "start_position", "end_position")
-        files_ = cut.where("coalesce(chunk_index, 0) = 0")
+        files_ = cut.where("NOT skip AND coalesce(chunk_index, 0) = 0")
         error = F.coalesce("error", F.when(F.col("chunk_index").isNull(), "no text"))
         status = F.when(error.isNull(), "done").otherwise("failed")
         rows = scratch.materialise(files_.select("name", "hash", status.alias("status"), error.alias("error"), F.coalesce("total_chunks", F.lit(0)).cast("long").alias("n_chunks"), "text_length"), "files-rows")
@@ -119,7 +159,7 @@ class FileStore:
             states["ledger"] = self._ledger.stage(states.get("ledger", {}), rows.withColumn("_seq", F.lit(seq).cast("long")))
 
         commit_together(self.manifest, [("chunks", put_chunks), ("ledger", put_ledger)])
-        skipped = plan.where("skip").select("name", F.lit("skipped").alias("status"), "n_chunks", F.lit(None).cast("string").alias("error"))
+        skipped = cut.where("skip").select("name", F.lit("skipped").alias("status"), F.col("known_chunks").alias("n_chunks"), F.lit(None).cast("string").alias("error"))
         return skipped.unionByName(rows.select("name", "status", "n_chunks", "error"))
 
     def forget(self, names: DataFrame) -> None:
@@ -137,36 +177,37 @@ class FileStore:
     def sweep(self, keep: int = 2) -> None:
         sweep(self.manifest, keep)
 
-    def _found(self, folder: str, extensions: list[str] | None = None) -> DataFrame:
-        """name, content of all files below the folder, or of those with some extensions, whatever the case: others aren't read."""
+    def _found(self, folder: str) -> DataFrame:
+        """name of all files below the folder. Their bytes aren't read."""
         at = re.sub("^file:/+", "file:/", self.manifest.files.qualified(folder))
-        raw = self.spark.read.format("binaryFile").option("recursiveFileLookup", True)
-        if extensions:
-            any_case = lambda e: "".join(f"[{x.lower()}{x.upper()}]" if x.isalpha() else x for x in e)
-            raw = raw.option("pathGlobFilter", "*.{" + ",".join(map(any_case, extensions)) + "}")
-        return raw.load(folder).select(F.expr(f"substring(regexp_replace(path, '^file:/+', 'file:/'), {len(at) + 2})").alias("name"), "content")
-
-    def _cut(self, folder: str, todo: DataFrame) -> DataFrame:
-        """name, hash, error, text_length and the columns of chunks: a row a chunk, or one with nulls for a file without any. Only bytes that need a parser go to Python."""
-        extension = F.when(F.col("name").contains("."), F.lower(F.substring_index("name", ".", -1))).otherwise("")
-        others = todo.where(~extension.isin(*TEXTS, *BINARY)).select("name", "hash", F.concat(F.lit("unsupported type: "), extension).alias("error"))
-        nothing = [F.lit(None).cast(kind).alias(c) for c, kind in (("text_length", "long"), ("total_chunks", "int"), ("chunk_index", "int"), ("content", "string"))]
-        parts = [others.select("name", "hash", "error", *nothing)]
-        read = F.try_validate_utf8(F.col("content").cast("string"))
-        for kind, clean in (("txt", X.clean_text), ("md", lambda t: X.clean_markdown(X.clean_text(t)))):
-            own = self._found(folder, [e for e, k in TEXTS.items() if k == kind]).join(todo, "name")
-            texts = own.select("name", "hash", read.alias("_read")).select("name", "hash", F.when(F.col("_read").isNull(), "not UTF-8").alias("error"), self._cleaned(F.col("_read"), clean))
-            parts.append(self._chunked(texts, kind))
-        for kind, parse in BINARY.items():
-            both = self._found(folder, [kind]).join(todo, "name").select("name", "hash", guarded(parse)("content").alias("_r"))
-            parts.append(self._chunked(both.select("name", "hash", F.col("_r.error").alias("error"), self._cleaned(F.col("_r.text"), X.clean_document)), kind))
-        placed = chunk_positions(reduce(DataFrame.unionByName, parts), "name")
-        return placed.select("name", "hash", "error", "text_length", *[F.col(c).cast("int").alias(c) for c in ("chunk_index", "total_chunks")], "content", "start_position", "end_position")
-
-    def _cleaned(self, text: Column, clean: Callable[[Column], Column]) -> Column:
-        """Null where nothing but white space is left."""
-        cleaned = clean(text)
-        return F.when(F.btrim(cleaned, F.lit(" \t\n\r\x0b\x00")) != "", cleaned).alias("text")
-
-    def _chunked(self, texts: DataFrame, kind: str) -> DataFrame:
-        return X.exploded_chunks(texts.withColumn("text_length", F.char_length("text").cast("long")), "text", *X.CHUNK_SIZES[kind])
+        raw = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+        return raw.select(F.expr(f"substring(regexp_replace(path, '^file:/+', 'file:/'), {len(at) + 2})").alias("name"))
+
+    def _cut(self, folder: str, force: bool) -> DataFrame:
+        """CUT: a row for a file to skip, or a row a chunk, or one without a chunk.
+
+        A file is hashed, cleaned and cut by one task, since all three are sequential, but by parts: what the task holds doesn't grow with the file.
+        """
+        done = F.when((F.col("status") == "done") & F.lit(not force), F.col("hash"))
+        known = self.ledger().select("name", done.alias("known_hash"), F.col("n_chunks").alias("known_chunks"))
+        at, schema = self.manifest.files.qualified(folder), pa.schema(CUT)
+
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+            store, root = opened(at)
+            for b in batches:
+                for file in b.to_pylist():
+                    with store.open_input_stream(f"{root}/{file['name']}") as f:
+                        same = {"name": file["name"], "hash": digest(f), "skip": False}
+                    if same["hash"] == file["known_hash"]:
+                        yield same | {"skip": True, "known_chunks": file["known_chunks"]}
+                    else:
+                        yield from (same | row for row in file_rows(store, root, file["name"]))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found = rows(batches)
+            while some := list(islice(found, BATCH)):
+                yield pa.RecordBatch.from_pylist(some, schema)
+
+        # Few files of any size each: dealt over more tasks than there are cores, so that no core gets many large ones.
+        tasks = 4 * self.spark.sparkContext.defaultParallelism
+        return self._found(folder).join(known, "name", "left").repartition(tasks, "name").mapInArrow(run, from_arrow_schema(schema))

@@ -57,8 +57,10 @@ class ChangeTable:
         """Rows are shuffled once, to their bucket, and both told apart and written there."""
         by = df.withColumn("_bucket", self._bucket()).repartition("_bucket")
         row = F.max_by(F.struct(*df.columns), F.struct(*self.version, F.coalesce(F.col(GONE), F.lit(False))))
-        newest = by.groupBy("_bucket", *[F.col(k).alias(f"_k_{k}") for k in self.key]).agg(row.alias("_row")).select("_bucket", "_row.*")
-        newest.sortWithinPartitions("_bucket", *self.key).write.partitionBy("_bucket").parquet(f"{self.root}/{path}")
+        keys = [f"_k_{k}" for k in self.key]
+        newest = by.groupBy("_bucket", *[F.col(k).alias(f"_k_{k}") for k in self.key]).agg(row.alias("_row")).select("_bucket", *keys, "_row.*")
+        # By the keys as they were grouped: rows that the aggregate has sorted aren't sorted once more.
+        newest.sortWithinPartitions("_bucket", *keys).drop(*keys).write.partitionBy("_bucket").parquet(f"{self.root}/{path}")
         return path
 
     def _write(self, rows: DataFrame, path: str) -> str:
