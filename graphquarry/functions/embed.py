@@ -33,6 +33,7 @@ class HashEmbedder:
 
 
 def embed_distinct(df: DataFrame, text: str, embedder: Embedder, out: str = "embedding") -> DataFrame:
-    """df with vectors, each distinct text embedded once. Texts meet by a hash, so that whole ones are compared but not sorted by."""
-    once = embedder.embed(df.select(text).distinct(), text, out).withColumnRenamed(text, "_text").withColumn("_hash", F.xxhash64("_text"))
-    return df.join(once, (F.xxhash64(text) == F.col("_hash")) & F.col(text).eqNullSafe(F.col("_text")), "left").drop("_text", "_hash")
+    """df with vectors, each distinct text embedded once. Vectors find their rows by the texts' SHA-256, so no text travels with one."""
+    digest = F.coalesce(F.unhex(F.sha2(F.col(text), 256)), F.lit(b""))  # a null is no empty text
+    once = embedder.embed(df.select(text).distinct(), text, out).select(digest.alias("_digest"), out)
+    return df.withColumn("_digest", digest).join(once, "_digest", "left").drop("_digest")

@@ -18,7 +18,7 @@ from itertools import islice
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
@@ -49,27 +49,25 @@ def write_files(df: DataFrame, folder: str, part: str | None = None) -> None:
     """
     Manifest(df.sparkSession, folder).files.mkdirs()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(rows: Iterator[Row]) -> None:
         store, root = pafs.FileSystem.from_uri(folder)
         last, out = None, None
         try:
-            for b in batches:
-                for name, content, before in zip(*b.columns):
-                    if out is not None and part is not None and name.as_py() == last:
-                        out.write(before.as_py())
-                    else:
-                        if out is not None:
-                            out.close()
-                        last = name.as_py()
-                        out = store.open_output_stream(f"{root}/{last}")
-                    out.write(content.as_py())
-                yield b.select(["name"])
+            for name, content, before in rows:
+                if out is not None and part is not None and name == last:
+                    out.write(before)
+                else:
+                    if out is not None:
+                        out.close()
+                    last, out = name, store.open_output_stream(f"{root}/{name}")
+                out.write(content)
         finally:
             if out is not None:
                 out.close()
 
     rows = df if part is None else df.repartition("name").sortWithinPartitions("name", part)
-    rows.select("name", "content", "before" if part else F.lit(b"").alias("before")).mapInArrow(run, "name string").count()
+    # Rows go to Python in batches of some bytes; Arrow's are of some rows, whatever these hold.
+    rows.select("name", "content", "before" if part else F.lit(b"").alias("before")).foreachPartition(run)
 
 
 def opened(folder: str) -> tuple[pafs.FileSystem, str]:

@@ -126,3 +126,11 @@ def test_file_rows_travel(tmp_path):
     code = "import sys; from pyspark import cloudpickle; print(cloudpickle.load(open('f', 'rb'))(sys.argv[1])); assert 'graphquarry' not in sys.modules"
     done = subprocess.run([sys.executable, "-c", code, str(tmp_path)], cwd=tmp_path, capture_output=True, text=True, timeout=60)
     assert done.returncode == 0 and "some text" in done.stdout, done.stderr
+
+
+def test_vectors_find_their_texts(spark):
+    """Repeated, empty and null texts each get the vector of their text."""
+    df = spark.createDataFrame([(0, "a b"), (1, None), (2, ""), (3, "a b"), (4, "c")], "id int, text string")
+    got = {r.id: r.embedding for r in embed_distinct(df, "text", HashEmbedder(8)).collect()}
+    want = {r.id: r.embedding for r in HashEmbedder(8).embed(df, "text").collect()}
+    assert got == want and len(got) == 5 and embed_distinct(df, "text", HashEmbedder(8)).columns == ["id", "text", "embedding"]
